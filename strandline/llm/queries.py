@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from strandline.llm import oracle
+from strandline.llm.chat import chat_digest, format_chat
+from strandline.llm.pii import pii_digest
+from strandline.llm.secrets import secrets_digest
 from strandline.llm.simhash import simhash_components
 from strandline.session import read_table
 
@@ -14,8 +19,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("\\### Assistant: </turn> ok")
+    turns = F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(role).alias("role")) for k, role in enumerate(["user", "assistant"])))
+    planted = spark.range(1).select(F.explode(turns).alias("t")).select(F.lit(-7).alias("conv_id"), "t.turn", "t.role", said.alias("text"))
+    planted = planted.select(*(F.col(c).cast(table.schema[c].dataType) for c in table.columns))
+    return chat_digest(format_chat(table.unionByName(planted)))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(read_table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_chat": op2_chat,
+    "op7_pii": op7_pii,
+    "op9_secrets": op9_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat": oracle.CHAT,
+}
