@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import oracle
+from strandline.llm import language, oracle, pieces
 from strandline.llm.chat import chat_digest, format_chat
+from strandline.llm.decontaminate import contaminated
 from strandline.llm.pii import pii_digest
+from strandline.llm.quality import quality
 from strandline.llm.secrets import secrets_digest
 from strandline.llm.simhash import simhash_components
+from strandline.llm.topk import grid_vectors, top_k
+from strandline.llm.toxicity import toxicity
 from strandline.session import read_table
 
 
@@ -28,21 +32,53 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(format_chat(table.unionByName(planted)))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces_digest(read_table(spark, sf_dir, "documents"), pieces.load())
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = grid_vectors(read_table(spark, sf_dir, "embeddings"))
+    return top_k(rows, F.col("vec_id") % 20 == 0, 20).select("query_id", "rank", "vec_id", "score")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(read_table(spark, sf_dir, "pages"), language.train(read_table(spark, sf_dir, "documents")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
+    "op3_toxicity": op3_toxicity,
+    "op4_pieces": op4_pieces,
+    "op5_top_k": op5_top_k,
+    "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
+    "op8_language": op8_language,
     "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": oracle.CHAT,
+    "op5_top_k": oracle.TOP_K,
 }

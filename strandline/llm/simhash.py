@@ -23,6 +23,8 @@ from strandline.session import checkpoint
 
 #: Rows of one key that one task compares among themselves; a larger key is cut into chunks of this size and its chunk pairs are spread over tasks.
 CHUNK = 256
+#: Ids of copies that may be broadcast.
+MOST_BROADCAST = 400_000
 #: Odd multipliers that derive further 64-bit hashes from a shingle's hash.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -230,5 +232,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     width = 64 * WIDE_WORDS // WIDE_BLOCKS
     keys = [[(width * i, width * (i + 1))] for i in range(WIDE_BLOCKS)]
     found = groups(prints, keys, WIDE_CHECK, wide_distance(similarity, 64 * WIDE_CHECK))
-    gone = found.filter("id <> component").select(F.col("id").alias("_gone")).distinct()
+    gone = checkpoint(found.filter("id <> component").select(F.col("id").alias("_gone")).distinct())
+    if gone.count() <= MOST_BROADCAST:  # a few megabytes; beyond it the texts are shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
