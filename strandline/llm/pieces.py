@@ -8,21 +8,27 @@ bytes, so decoding gives every text back exactly.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Stretches of at most so many characters are remembered, and so many of them, before a worker starts afresh.
-MEMO_CHARS, MEMO = 24, 150_000
+#: Words of at most so many characters are remembered, and so many of them, before a worker starts afresh.
+MEMO_CHARS, MEMO = 24, 300_000
+#: Rows that are encoded at once.
+ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -92,57 +98,78 @@ class Codec:
         # no piece runs on into a space mark or over a line feed, so a best path may be cut there
         self.stretch = None if crossing else re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+").findall
         self.fallback = min(normal, default=0.0) - 10.0
+        self.known = frozenset(p for p, k in zip(v.pieces, v.kinds, strict=True) if k == "n" and len(p) == 1).issuperset
 
-    def best_path(self, s: str) -> tuple[int, ...]:
+    def best_path(self, s: str) -> list[int]:
         """Ids with the largest sum of scores over one stretch; each character by bytes costs ``fallback``."""
-        n, lost = len(s), self.fallback
-        best, back = [0.0] + [-1e300] * n, [(-1, 1)] * (n + 1)
-        done = 0
-        for end, (k, size, score) in self.automaton.iter(s):
-            while done <= end:
-                if best[done] + lost > best[done + 1]:
-                    best[done + 1] = best[done] + lost
-                done += 1
-            value = best[end + 1 - size] + score
-            if value > best[end + 1]:
-                best[end + 1], back[end + 1] = value, (k, size)
+        n = len(s)
+        best, back = [0.0] + [-1e300] * n, [None] * (n + 1)
+        if self.known(s):  # every character is a piece, and any piece beats its bytes
+            for end, link in self.automaton.iter(s):
+                end += 1
+                value = best[end - link[1]] + link[2]
+                if value > best[end]:
+                    best[end], back[end] = value, link
+        else:
+            lost, done = self.fallback, 0
+            for end, link in self.automaton.iter(s):
+                end += 1
+                while done < end:  # bytes of the characters passed since
+                    done += 1
+                    if best[done - 1] + lost > best[done]:
+                        best[done] = best[done - 1] + lost
+                value = best[end - link[1]] + link[2]
+                if value > best[end]:
+                    best[end], back[end] = value, link
         out: list[int] = []
-        at = n
-        while at > 0:
-            k, size = back[at]
-            if k >= 0:
-                out.append(k)
+        while n > 0:
+            link = back[n]
+            if link:
+                out.append(link[0])
+                n -= link[1]
             else:
-                out += [self.byte_ids[b] for b in reversed(s[at - 1].encode("utf-8", "surrogatepass"))]
-            at -= size
-        return tuple(reversed(out))
-
-    def _marked(self, s: str) -> list[int]:
-        out: list[int] = []
-        memo = self.memo
-        for part in self.stretch(s) if self.stretch else [s]:
-            ids = memo.get(part)
-            if ids is None:
-                ids = self.best_path(part)
-                if len(part) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[part] = ids
-            out += ids
+                n -= 1
+                out += [self.byte_ids[b] for b in reversed(s[n].encode("utf-8", "surrogatepass"))]
+        out.reverse()
         return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def _slow(self, s: str) -> tuple[int, ...]:
+        """Ids of a marked text, stretch by stretch."""
+        return tuple(k for part in (self.stretch(s) if self.stretch else [s]) for k in self.best_path(part))
+
+    def _words(self, text: str) -> Iterable[int]:
+        """Ids of a text without a mark of its own, a space before it."""
+        if not self.stretch or text[:1] == " " or "  " in text:
+            return self._slow(SPACE + text.replace(" ", SPACE))
+        # single spaces: every word with the mark before it is cut off from the others
+        words, memo = text.split(" "), self.memo
+        found = list(map(memo.get, words))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    word = words[k]
+                    ids = memo.get(word)
+                    if ids is None:
+                        ids = self._slow(SPACE + word)
+                        if len(word) <= MEMO_CHARS:
+                            if len(memo) >= MEMO:
+                                memo.clear()
+                            memo[word] = ids
+                    found[k] = ids
+        return chain.from_iterable(found)
+
+    def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text: a space mark before it, marks for spaces; a mark of its own goes by bytes.  An empty text has none."""
         if not text:
-            return []
+            return np.zeros(0, dtype=np.int32)
         if SPACE not in text:
-            return self._marked(SPACE + text.replace(" ", SPACE))
+            return np.fromiter(self._words(text), dtype=np.int32)
         own = [self.byte_ids[b] for b in SPACE.encode()]
         out: list[int] = []
-        for k, part in enumerate((" " + text).split(SPACE)):
+        for k, part in enumerate(text.split(SPACE)):
             out += own if k else []
-            out += self._marked(part.replace(" ", SPACE)) if part else []
-        return out
+            out += self._slow((SPACE if k == 0 else "") + part.replace(" ", SPACE))
+        return np.array(out, dtype=np.int32)
 
     def decode(self, ids) -> str:
         """The text of ids; control ids say nothing, and bytes that are no UTF-8 become replacement marks."""
@@ -161,45 +188,89 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
+_CODECS: dict[int, Codec] = {}
+
+
+def _codec(sent) -> Codec:
+    """The worker's codec of a broadcast vocabulary, kept from task to task."""
+    if sent.id not in _CODECS:
+        _CODECS.clear()
+        _CODECS[sent.id] = Codec(sent.value)
+    return _CODECS[sent.id]
+
+
+class _Sent(NamedTuple):
+    """A broadcast vocabulary and a name for it."""
+
+    id: int
+    held: object
+
+    @property
+    def value(self) -> Vocabulary:
+        return self.held.value
+
+
+def _send(df: DataFrame, vocabulary: Vocabulary) -> _Sent:
+    return _Sent(hash((len(vocabulary.pieces), tuple(vocabulary.scores[:100]), vocabulary.kinds)), df.sparkSession.sparkContext.broadcast(vocabulary))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS):
+            yield batch.slice(low, ROWS)
+
+
 def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the array ``into`` of piece ids; a null text has none.  The vocabulary (a fixed file) is broadcast."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    """``docs`` with the array ``into`` of piece ids after its own columns; a null text has none.  The vocabulary (a fixed file) is broadcast."""
+    rows = docs.drop(into)
+    sent, place = _send(docs, vocabulary), rows.columns.index(text_col)
+    schema = StructType([*rows.schema.fields, StructField(into, ArrayType(IntegerType()))])
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(sent.value)
-        for batch in texts:
-            yield pd.Series([np.array(codec.encode(t), dtype=np.int32) for t in batch], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(sent)
+        for batch in _slices(batches):
+            ids = [codec.encode(t) for t in batch.column(place).to_pylist()]
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, into])
 
-    return docs.withColumn(into, encode(docs[text_col].cast("string")))
+    return rows.mapInArrow(run, schema)
 
 
 def decode_pieces(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-    """``docs`` with the text ``into`` of the ids; null ids give an empty text."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    """``docs`` with the text ``into`` of the ids after its own columns; null ids give an empty text."""
+    rows = docs.drop(into)
+    sent, place = _send(docs, vocabulary), rows.columns.index(ids_col)
+    schema = StructType([*rows.schema.fields, StructField(into, StringType())])
 
-    @F.pandas_udf("string")
-    def decode(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(sent.value)
-        for batch in lists:
-            yield pd.Series([codec.decode(x.tolist() if x is not None else []) for x in batch], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(sent)
+        for batch in _slices(batches):
+            column = pa.array([codec.decode(x or []) for x in batch.column(place).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, into])
 
-    return docs.withColumn(into, decode(docs[ids_col]))
+    return rows.mapInArrow(run, schema)
 
 
 def pieces_digest(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Of each document: tokens, byte tokens, a hash of the ids, and whether decoding gave the text back."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("before"), F.char_length("text").alias("n_chars"), "text")
-    rows = encode_pieces(rows, vocabulary).drop("text")
-    rows = decode_pieces(rows, vocabulary)
-    first_byte = vocabulary.kinds.index("b")
-    byte_tokens = F.size(F.filter("ids", lambda k: k.between(first_byte, first_byte + 255)))
-    return rows.select(
-        "doc_id",
-        "n_chars",
-        F.size("ids").alias("n_tokens"),
-        byte_tokens.alias("n_byte_tokens"),
-        F.sha2(F.concat_ws(" ", F.transform("ids", lambda k: k.cast("string"))), 256).alias("ids_sha256"),
-        (F.xxhash64("decoded") == F.col("before")).alias("round_trip"),
-    )
+    """Of each document: characters, tokens, byte tokens, SHA-256 of the ids (32-bit little endian), and whether decoding gave the text back.
+
+    Encoding and decoding share one pass, so the ids stay in the worker.
+    """
+    sent = _send(docs, vocabulary)
+    rows = docs.select(docs["doc_id"].cast("string").alias("id"), docs["text"].cast("string").alias("text"))
+    bytes_of = np.array([k == "b" for k in vocabulary.kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(sent)
+        for batch in _slices(batches):
+            out = []
+            for text in batch.column(1).to_pylist():
+                ids = codec.encode(text)
+                out.append((len(text or ""), len(ids), int(bytes_of[ids].sum()), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), codec.decode(ids.tolist()) == (text or "")))
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "n_chars", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip"])
+
+    found = rows.mapInArrow(run, "id string, n_chars int, n_tokens int, n_byte_tokens int, ids_sha256 string, round_trip boolean")
+    return found.withColumn("id", F.col("id").cast(docs.schema["doc_id"].dataType)).withColumnRenamed("id", "doc_id")
