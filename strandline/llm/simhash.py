@@ -117,12 +117,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _verifier(words: int, distance: int):
-    """Sorted rows of (g, s0, s1, part, f0..) in, links (a, b) between first words out."""
+    """Rows of (g, part, root, f0..) sorted by g in, a spanning forest (a, b) of each group's links between different roots out."""
 
     def verified(rows: pd.DataFrame) -> pd.DataFrame:
-        g, part = rows["g"].to_numpy(), rows["part"].to_numpy()
+        g, part, root = rows["g"].to_numpy(), rows["part"].to_numpy(), rows["root"].to_numpy()
         f = [rows[f"f{k}"].to_numpy().view(np.uint64) for k in range(words)]
-        node = rows["node"].to_numpy()
         ends_a, ends_b = [], []
         here = np.arange(len(g))
         lag = 1
@@ -133,26 +132,28 @@ def _verifier(words: int, distance: int):
                 break
             there = here + lag
             # part: 0 all pairs of the chunk, else only pairs between the two chunks
-            apart = np.zeros(len(here), dtype=np.int32)
+            open_ = (root[here] != root[there]) & ((part[here] == 0) | (part[here] != part[there]))
+            one, two = here[open_], there[open_]
+            apart = np.zeros(len(one), dtype=np.int32)
             for x in f:
-                apart += np.bitwise_count(x[here] ^ x[there])
-            ok = (apart <= distance) & ((part[here] == 0) | (part[here] != part[there]))
-            ends_a.append(here[ok])
-            ends_b.append(there[ok])
+                apart += np.bitwise_count(x[one] ^ x[two])
+            ends_a.append(one[apart <= distance])
+            ends_b.append(two[apart <= distance])
             lag += 1
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (ends_a, ends_b))
         if not len(a):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = _forest(a, b)
-        return pd.DataFrame({"a": node[a], "b": node[b]})
+        names, place = np.unique(root, return_inverse=True)
+        a, b = _forest(place[a], place[b])
+        return pd.DataFrame({"a": names[a], "b": names[b]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
         for batch in batches:
             rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
             g = rows["g"].to_numpy()
-            cut = int(np.searchsorted(-(g[::-1] == g[-1]).astype(np.int8), 0)) if len(g) else 0
-            last = len(g) - cut  # the last group may go on in the next batch
+            same = int(np.argmax(g[::-1] != g[-1])) if len(g) and g[0] != g[-1] else len(g)
+            last = len(g) - same  # the last group may go on in the next batch
             kept = rows.iloc[last:]
             if last:
                 yield verified(rows.iloc[:last])
@@ -162,37 +163,47 @@ def _verifier(words: int, distance: int):
     return run
 
 
-def links(nodes: DataFrame, keys: list[list[tuple[int, int]]], words: int, distance: int) -> DataFrame:
-    """Links ``(a, b)`` between nodes of ``(node, f)`` that share a key and differ in at most ``distance`` bits of their first ``words`` words.
+def links(nodes: DataFrame, keys: list[list[tuple[int, int]]], words: int, distance: int, first_key: int = 0) -> DataFrame:
+    """Links ``(a, b)`` between the roots of nodes ``(root, f)`` that share a key and differ in at most ``distance`` bits of their first ``words`` words.
 
-    The links span the same components as all such pairs do.  A key with many
-    rows is cut into chunks and its chunk pairs go to different tasks.
+    They span the same components of roots as all such pairs do.  The rows are
+    shuffled once; before, the keys alone are counted, and a key with many rows
+    is cut into chunks whose pairs go to different tasks.
     """
-    tags = [F.xxhash64(F.lit(k), *(_bits(low, high) for low, high in blocks)) for k, blocks in enumerate(keys)]
-    rows = nodes.select("node", *(F.col("f")[k].alias(f"f{k}") for k in range(words)), F.explode(F.array(*tags)).alias("key"))
-    large = rows.groupBy("key").count().filter(F.col("count") > CHUNK).select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("n"))
+    tags = [F.xxhash64(F.lit(first_key + k), *(_bits(low, high) for low, high in blocks)) for k, blocks in enumerate(keys)]
+    rows = nodes.select("root", *(F.col("f")[k].alias(f"f{k}") for k in range(words)), F.explode(F.array(*tags)).alias("key"))
+    large = nodes.select(F.explode(F.array(*tags)).alias("key")).groupBy("key").count().filter(F.col("count") > CHUNK)
+    large = checkpoint(large.select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("n")))
+    if large.count() <= MOST_BROADCAST:  # a few megabytes; beyond it this join shuffles the rows once more
+        large = F.broadcast(large)
     rows = rows.join(large, "key", "left")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
+    own = F.pmod(F.xxhash64("f0", F.lit(7)), F.col("n")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, own).alias("s0"), F.greatest(i, own).alias("s1"), F.when(i == own, 0).when(i > own, 1).otherwise(2).alias("part")))
     none = F.array(F.struct(F.lit(0).alias("s0"), F.lit(0).alias("s1"), F.lit(0).alias("part")))
     rows = rows.withColumn("c", F.explode(F.when(F.col("n").isNull(), none).otherwise(pairs)))
-    rows = rows.select(F.xxhash64("key", "c.s0", "c.s1").alias("g"), F.col("c.part").alias("part"), "node", *(f"f{k}" for k in range(words)))
+    rows = rows.select(F.xxhash64("key", "c.s0", "c.s1").alias("g"), F.col("c.part").cast("tinyint").alias("part"), "root", *(f"f{k}" for k in range(words)))
     return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_verifier(words, distance), "a bigint, b bigint").distinct()
 
 
-def groups(prints: DataFrame, keys: list[list[tuple[int, int]]], check: int, distance: int) -> DataFrame:
+def groups(prints: DataFrame, keys: list[list[tuple[int, int]]], check: int, distance: int, rounds: int = 1) -> DataFrame:
     """``(id, f, component)``: the component is the least id reachable over links.
 
-    ``prints`` must be cheap to reread (a checkpoint).  Null ids take part but
-    name no component; a component of null ids only has a null name.
+    ``prints`` must be cheap to reread (a checkpoint).  The keys are used in
+    ``rounds``; what one has joined, the next takes as one, so a large group of
+    near copies is linked once rather than under every key.  Null ids take part
+    but name no component; a component of null ids only has a null name.
     """
     tagged = prints.withColumn("node", F.xxhash64("f"))
-    once = tagged.groupBy("node").agg(F.min("id").alias("least"), F.first("f").alias("f"))
-    once = checkpoint(once)
-    found = connected_components(links(once, keys, check, distance))
-    named = once.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
-    linked = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    return tagged.join(linked, "node").select("id", "f", "component")
+    nodes = checkpoint(tagged.groupBy("node").agg(F.min("id").alias("least"), F.first("f").alias("f")).withColumn("root", F.col("node")))
+    for r in range(rounds):
+        low, high = len(keys) * r // rounds, len(keys) * (r + 1) // rounds
+        found = connected_components(links(nodes, keys[low:high], check, distance, low)).select(F.col("node").alias("old"), F.col("component").alias("new"))
+        nodes = nodes.join(found, F.col("root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new")
+        if r < rounds - 1:
+            nodes = checkpoint(nodes)
+    nodes = checkpoint(nodes.select("node", "least", "root"))
+    named = nodes.groupBy("root").agg(F.min("least").alias("component"))
+    return tagged.join(nodes.join(named, "root").select("node", "component"), "node").select("id", "f", "component")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3, blocks: int = 5, seed: int = 42) -> DataFrame:
@@ -208,8 +219,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("f")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: The wide form of the pipeline: 64 blocks of 18 bits from 1152, verified on 256 bits.
-WIDE_WORDS, WIDE_BLOCKS, WIDE_CHECK = 18, 64, 4
+#: The wide form of the pipeline: 64 blocks of 18 bits from 1152, verified on 256 bits, in four rounds.
+WIDE_WORDS, WIDE_BLOCKS, WIDE_CHECK, WIDE_ROUNDS = 18, 64, 4, 4
 
 
 def wide_distance(similarity: float, bits: int) -> int:
@@ -231,7 +242,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = checkpoint(fingerprints(docs, id_col, text_col, size, WIDE_WORDS))
     width = 64 * WIDE_WORDS // WIDE_BLOCKS
     keys = [[(width * i, width * (i + 1))] for i in range(WIDE_BLOCKS)]
-    found = groups(prints, keys, WIDE_CHECK, wide_distance(similarity, 64 * WIDE_CHECK))
+    found = groups(prints, keys, WIDE_CHECK, wide_distance(similarity, 64 * WIDE_CHECK), WIDE_ROUNDS)
     gone = checkpoint(found.filter("id <> component").select(F.col("id").alias("_gone")).distinct())
     if gone.count() <= MOST_BROADCAST:  # a few megabytes; beyond it the texts are shuffled
         gone = F.broadcast(gone)
