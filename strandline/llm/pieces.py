@@ -129,7 +129,8 @@ class Codec:
                 n -= link[1]
             else:
                 n -= 1
-                out += [self.byte_ids[b] for b in reversed(s[n].encode("utf-8", "surrogatepass"))]
+                char = " " if s[n] == SPACE else s[n]  # a text's own marks do not come here
+                out += [self.byte_ids[b] for b in reversed(char.encode("utf-8", "surrogatepass"))]
         out.reverse()
         return out
 
