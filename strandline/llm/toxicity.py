@@ -25,6 +25,8 @@ GATES = 3 * HIDDEN
 PER_CLASS, MOST_CHARS, ROW_WINDOWS = 1500, 20_000, 12
 EPOCHS, BATCH, RATE = 5, 256, 4e-3
 THRESHOLD = 0.3
+#: Standard deviations from which a bucket's evidence starts its embedding.
+SURE = 3.0
 #: Words that a worker keeps projected before it starts afresh, and words of text that are scored at once.
 CACHE, AT_ONCE = 60_000, 150_000
 
@@ -258,6 +260,23 @@ def _line(values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(a, 0.05)), float(b)
 
 
+def _evidence(p: dict[str, np.ndarray], vocabulary: tuple, codes: list[np.ndarray], y: np.ndarray) -> None:
+    """Start the first dimension of each embedding from how far its bucket's share of toxic texts is from that of the others, in standard deviations; doubtful ones start at 0."""
+    bucket, grams, begin = vocabulary
+    ends = [*begin[1:], len(grams)]
+    toxic, total = max(y.sum(), 1.0), float(len(y))
+    for name, size in (("words", WORDS), ("chars", GRAMS)):
+        seen = np.zeros((2, size))
+        for code, label in zip(codes, y, strict=True):
+            own = np.unique(code)
+            held = bucket[own] if name == "words" else np.concatenate([grams[begin[k] : ends[k]] for k in own])
+            seen[int(label), np.unique(held)] += 1
+        share = seen.sum(0) / total
+        spread = np.sqrt(share * (1 - share) * (1 / toxic + 1 / max(total - toxic, 1.0))) + 1e-9
+        z = (seen[1] / toxic - seen[0] / max(total - toxic, 1.0)) / spread
+        p[name][:, 0] = np.where(np.abs(z) >= SURE, np.clip(z, -10, 10) * 0.3, 0.0)
+
+
 def _cut(values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     """The value that parts the classes with the best weighted F1: the middle of the two values beside it."""
     order = np.argsort(-values)
@@ -289,9 +308,10 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
     kept = rng.random(len(sample)) < 0.2
     if len(set(y[kept].tolist())) < 2 or len(set(y[~kept].tolist())) < 2:
         kept = np.zeros(len(sample), dtype=bool)
+    codes = {k: np.array([place[w] for w in texts[k]]) for k in np.nonzero(~kept)[0]}
+    _evidence(model.p, vocabulary, list(codes.values()), y[~kept])
     ids, owner = [], []
-    for k in np.nonzero(~kept)[0]:
-        code = np.array([place[w] for w in texts[k]])
+    for k, code in codes.items():
         starts = windows_of(len(code))
         if len(starts) > ROW_WINDOWS:
             starts = rng.choice(starts, ROW_WINDOWS, replace=False)
