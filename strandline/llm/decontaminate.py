@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 12
+Q = 8
 #: Edits allowed, as a share of the item's characters.
-EDITS = 0.05
+EDITS = 0.08
 #: Characters of text that are filtered at once, and characters of benchmark items in one broadcast part.
 AT_ONCE, PART_CHARS = 1_000_000, 4_000_000
 _TABLE_BITS = 21
