@@ -11,7 +11,7 @@ from strandline.config import ClusterMerge, Hough
 from strandline.operators import kernels
 from strandline.operators.lines import cluster_lines, merge_clusters
 from strandline.operators.slicing import pixel_to_world, raster_counts, slice_extents, slice_members
-from strandline.session import checkpoint
+from strandline.session import broadcast_if_small, checkpoint
 
 
 def _halo(settings: Hough) -> int:
@@ -27,7 +27,7 @@ def tiled_cells(cells: DataFrame, settings: Hough = Hough()) -> DataFrame:
     size, halo = settings.tile_cells, _halo(settings)
     peak = cells.groupBy("slice_id").agg(F.max("n").alias("peak"))
     tiles = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + d) / size).cast("int") for d in (-halo, 0, halo))))
-    rows = cells.join(peak, "slice_id").withColumn("tile_row", F.explode(tiles("row"))).withColumn("tile_col", F.explode(tiles("col")))
+    rows = cells.join(broadcast_if_small(peak, 100_000), "slice_id").withColumn("tile_row", F.explode(tiles("row"))).withColumn("tile_col", F.explode(tiles("col")))
     return rows.filter("tile_row >= 0 and tile_col >= 0")
 
 
@@ -79,13 +79,20 @@ def hough_segments(edges: DataFrame, settings: Hough = Hough()) -> DataFrame:
     return edges.groupBy("slice_id", "tile_row", "tile_col").applyInPandas(run, schema)
 
 
+def hough_space(edges: DataFrame, angles: int = 180) -> DataFrame:
+    """``(slice_id, angle, rho, votes)``: how many edge cells lie on each line, angles in steps of pi / ``angles``, rho in cells; votes are summed before they are shuffled."""
+    rows = edges.withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(angles - 1))))
+    theta = F.col("angle") * (np.pi / angles) - np.pi / 2
+    rho = F.rint(F.col("col") * F.cos(theta) + F.col("row") * F.sin(theta)).cast("int")
+    return rows.groupBy("slice_id", "angle", rho.alias("rho")).agg(F.count("*").alias("votes"))
+
+
 def slice_lines(points: DataFrame, thickness: float, settings: Hough = Hough()) -> DataFrame:
     """``SEGMENTS`` found in the height bands of the points, each at its band's middle height; no points, no lines."""
     members = slice_members(points, thickness)
     extents = checkpoint(slice_extents(members, settings.cell_size))
-    pixels = hough_segments(canny_cells(raster_counts(members, extents), settings), settings)
-    centres = members.select("slice_id", "z_center").distinct()
-    rows = pixels.join(extents, "slice_id").join(centres, "slice_id")
+    pixels = hough_segments(canny_cells(checkpoint(raster_counts(members, extents)), settings), settings)
+    rows = pixels.join(extents, "slice_id")
     world = {}
     for i in (0, 1):
         world[f"x{i}"] = pixel_to_world(F.col(f"px{i}"), F.col("x_min"), F.col("x_max"), F.col("nx"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.session import broadcast_if_small
+
 
 def by_class(points: DataFrame, code: int, planar: bool = False) -> DataFrame:
     """Points of one class (1 pipes, 2 fittings), without heights if ``planar``."""
@@ -49,8 +51,8 @@ def slice_members(points: DataFrame, thickness: float) -> DataFrame:
 
 
 def slice_extents(members: DataFrame, cell_size: float) -> DataFrame:
-    """``(slice_id, x_min, x_max, y_min, y_max, nx, ny)``: planar extent and grid of each band; an extent without width is padded by a cell."""
-    e = members.groupBy("slice_id").agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    """``(slice_id, z_center, x_min, x_max, y_min, y_max, nx, ny)``: planar extent and grid of each band; an extent without width is padded by a cell."""
+    e = members.groupBy("slice_id").agg(F.first("z_center").alias("z_center"), F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
     for a in "xy":
         low, high = F.col(f"{a}_min"), F.col(f"{a}_max")
         e = e.withColumn(f"{a}_max", F.when(high <= low, low + cell_size).otherwise(high))
@@ -60,13 +62,17 @@ def slice_extents(members: DataFrame, cell_size: float) -> DataFrame:
 
 
 def raster_counts(members: DataFrame, extents: DataFrame) -> DataFrame:
-    """``(slice_id, row, col, n)`` of the cells that hold points: equal parts of the extent, the last one closed."""
+    """``(slice_id, row, col, n)`` of the cells that hold points: equal parts of the extent, the last one closed.
+
+    Extents are a row a band and broadcast after a check, so only the partial
+    counts of cells are shuffled, never the points.
+    """
 
     def place(a: str) -> Column:
         width = (F.col(f"{a}_max") - F.col(f"{a}_min")) / F.col(f"n{a}")
         return F.least(F.floor((F.col(a) - F.col(f"{a}_min")) / width), F.col(f"n{a}") - 1).cast("int")
 
-    rows = members.join(extents, "slice_id")
+    rows = members.select("slice_id", "x", "y").join(broadcast_if_small(extents, 100_000), "slice_id")
     return rows.groupBy("slice_id", place("y").alias("row"), place("x").alias("col")).agg(F.count("*").alias("n"))
 
 

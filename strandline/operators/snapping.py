@@ -20,7 +20,7 @@ def ghosts(segments: DataFrame, points: DataFrame, reach: float) -> DataFrame:
     """``(seg_id)`` of the segments that have no point within ``reach`` of either end, in the plane."""
     s = G.ends()
     tips = segments.select("seg_id", F.explode(F.array(F.struct(s.x0.alias("tx"), s.y0.alias("ty")), F.struct(s.x1.alias("tx"), s.y1.alias("ty")))).alias("e")).select("seg_id", "e.tx", "e.ty")
-    near = radius_join(points.select("x", "y"), tips, ["x", "y"], ["tx", "ty"], reach).select(F.col("seg_id").alias("near_id")).distinct()
+    near = radius_join(points.select("x", "y"), tips, ["x", "y"], ["tx", "ty"], reach, few=True).select(F.col("seg_id").alias("near_id")).distinct()
     return segments.select("seg_id").join(near, F.col("seg_id") == F.col("near_id"), "left_anti")
 
 
@@ -37,7 +37,7 @@ def samples(segments: DataFrame, settings: Snap = Snap()) -> DataFrame:
 def box_points(sample_rows: DataFrame, points: DataFrame, settings: Snap = Snap()) -> DataFrame:
     """Points in each sample's oriented box, of samples with enough points in the circle about the box and in the box itself."""
     radius = math.sqrt(settings.tangential_length**2 + settings.normal_length**2)
-    near = radius_join(points.select("point_id", "x", "y", "z"), sample_rows, ["x", "y"], ["sx", "sy"], radius)
+    near = radius_join(points.select("point_id", "x", "y", "z"), sample_rows, ["x", "y"], ["sx", "sy"], radius, few=True)
     dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
     u, v = dx * F.col("tx") + dy * F.col("ty"), dx * F.col("nx") + dy * F.col("ny")
     near = near.withColumns({"u": u, "v": v, "in_box": (F.abs(u) <= settings.tangential_length) & (F.abs(v) <= settings.normal_length)})

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
-from strandline.session import checkpoint
+from strandline.session import broadcast_if_small, checkpoint
 
 
 def cell(value: Column, size: float) -> Column:
@@ -26,15 +26,18 @@ def _around(columns: list[Column], size: float) -> Column:
     return F.array(*(F.struct(*((c + d).alias(f"c{i}") for i, (c, d) in enumerate(zip(cells, shift, strict=True)))) for shift in product((-1, 0, 1), repeat=len(cells))))
 
 
-def radius_join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], radius: float, by: tuple[str, str] | None = None, strict: bool = False) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], radius: float, by: tuple[str, str] | None = None, strict: bool = False, few: bool = False) -> DataFrame:
     """Pairs of rows at most ``radius`` apart (less, if ``strict``), with the squared distance ``d2``.
 
     ``left_on`` and ``right_on`` name the coordinates, in two or three
     dimensions; ``by`` names a column of either side that must be equal.  The
     right side is the one that is copied to its neighbour cells, so give the
-    smaller one there.  The two sides must not share column names.
+    smaller one there; if it is ``few`` against the left one its size is checked
+    and, where it fits, broadcast, so that the left side is not shuffled.  The
+    two sides must not share column names.
     """
     near = right.withColumn("_c", F.explode(_around([F.col(c) for c in right_on], radius)))
+    near = broadcast_if_small(near) if few else near
     own = left.select("*", *(cell(F.col(c), radius).alias(f"_l{i}") for i, c in enumerate(left_on)))
     on = reduce(lambda a, b: a & b, (F.col(f"_l{i}") == F.col(f"_c.c{i}") for i in range(len(left_on))))
     if by:
@@ -58,10 +61,13 @@ def segment_cells(s: G.Ends, size: float, around: bool) -> Column:
 
 
 def near_segments(points: DataFrame, pipes: DataFrame, threshold: float, planar: bool = True) -> DataFrame:
-    """Points closer than ``threshold`` to any segment of ``pipes(x0 .. z1)``; all columns of ``points(x, y, z, ..)`` stay."""
+    """Points closer than ``threshold`` to any segment of ``pipes(x0 .. z1)``; all columns of ``points(x, y, z, ..)`` stay.
+
+    While the pipes' cells fit a broadcast the points are not shuffled.
+    """
     size = max(4 * threshold, 1e-9)
     p = pipes.select(*(F.col(c).alias(f"p{c}") for c in G.Ends._fields))
-    p = p.withColumn("_c", F.explode(segment_cells(G.ends("p"), size, True)))
+    p = broadcast_if_small(p.withColumn("_c", F.explode(segment_cells(G.ends("p"), size, True))))
     own = points.withColumns({"_cx": cell(F.col("x"), size), "_cy": cell(F.col("y"), size)})
     s = G.ends("p")
     d = G.distance_xy(F.col("x"), F.col("y"), s) if planar else G.distance(F.col("x"), F.col("y"), F.col("z"), s)

@@ -265,6 +265,11 @@ def thin_points(spark, sf_dir):
     return spatial.thin(_points(spark, sf_dir, 2), 0.02)
 
 
+@query
+def source_thinning(spark, sf_dir):
+    return spatial.thin(_points(spark, sf_dir, 1), 0.02, planar=False)
+
+
 @query
 def hdbscan_components(spark, sf_dir):
     # clusters of one class-2 sample of bounded density, part by part beyond the exact bound
@@ -289,6 +294,11 @@ def hough_segments(spark, sf_dir):
     return detection.hough_segments(detection.canny_cells(_cells(spark, sf_dir), COARSE), COARSE)
 
 
+@query
+def hough_space(spark, sf_dir):
+    return detection.hough_space(detection.canny_cells(_cells(spark, sf_dir), COARSE)).filter("votes >= 10")
+
+
 @query
 def slice_lines(spark, sf_dir):
     return detection.slice_lines(_points(spark, sf_dir, 1), THICKNESS, COARSE)
@@ -414,6 +424,12 @@ def geojson_roundtrip(spark, sf_dir):
     return rounded(geojson.pipes_of(features).select(F.col("pos").cast("int").alias("pos"), "x0", "y0", "z0", "x1", "y1", "z1"))
 
 
+@query
+def geojson_edges(spark, sf_dir):
+    features = geojson.parse_collections(geojson.collection(_collection(spark, sf_dir), "cloud"))
+    return rounded(geojson.edges_of(features).drop("pos"))
+
+
 @query
 def geojson_components(spark, sf_dir):
     features = geojson.parse_collections(geojson.collection(_collection(spark, sf_dir), "cloud"))

@@ -317,6 +317,7 @@ s AS (SELECT chain_id, part, i, j, count(*) AS inliers, round(sum(d * d), 9) AS
     "class_share_table": f"SELECT * FROM ({_with('GT', 'DET', more=_MATCH)}{_shares('pipes', 'count', ['correct', 'partial', 'missed', 'false_positives'], 'report')} UNION ALL {_shares('pipes', 'length', ['coverage', 'missed_length', 'false_positive_length'], 'report')}) UNION ALL SELECT * FROM ({_with('GT_COMP', 'DET_COMP', more=_COMP)}{_shares('components', 'count', ['found', 'missed', 'false_positives'], 'report')})",
     "geojson_features": "SELECT 'pipe_' || n AS id, 'LineString' AS kind, 'pipe' AS feature_type, 0 AS n_bbox, 25832 AS epsg FROM (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM supplier) UNION ALL SELECT 'chain_' || n, 'LineString', 'snapped_chain', 0, 25832 FROM (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM supplier) UNION ALL SELECT 'comp_' || n, 'Point', 'component', 6, 25832 FROM (SELECT row_number() OVER () - 1 AS n FROM supplier, range(2))",
     "geojson_roundtrip": _with("GT") + f"SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS pos, {_r('x0', 'y0', 'z0', 'x1', 'y1', 'z1')} FROM gt",
+    "geojson_edges": _with("GT") + f"SELECT 0 AS edge, {_r('x0', 'y0', 'z0', 'x1', 'y1', 'z1')} FROM gt",
     "geojson_components": _with("GT_COMP", more=_FIT) + f"SELECT {_r('min_x', 'min_y', 'min_z', 'max_x', 'max_y', 'max_z', 'cx', 'cy', 'cz')} FROM fit",
     "obj_lines": _with("GT", more=_segment_text("gt", "id")) + _TEXT,
     "obj_missed": _with("GT", "DET", more=f"{_MATCH}, lost AS (SELECT * FROM gt WHERE id IN (SELECT id FROM labels WHERE label = 'missed')), {_segment_text('lost', 'id')}") + _TEXT,

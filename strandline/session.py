@@ -25,6 +25,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` checkpointed, and marked for broadcast if it has at most ``most`` (narrow) rows; beyond, joins shuffle."""
+    from pyspark.sql import functions as F
+
+    kept = checkpoint(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

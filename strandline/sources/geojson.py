@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.schema import FEATURES
-
-_COLLECTION = "struct<type: string, name: string, features: array<struct<type: string, id: string, bbox: array<double>, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>>"
+_FEATURES = "array<struct<type: string, id: string, bbox: array<double>, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
+_COLLECTION = f"struct<type: string, name: string, features: {_FEATURES}>"
 
 
 def parse_collections(texts: DataFrame, column: str = "value") -> DataFrame:
     """Rows of type Feature in the collections' order: ``(pos, type, id, bbox, geometry, properties)``; ids become strings, a null list of features is empty."""
     parsed = texts.select(F.from_json(column, _COLLECTION).alias("c"))
-    rows = parsed.select(F.posexplode(F.coalesce(F.col("c.features"), F.expr(f"cast(array() as array<struct<{_as_struct(FEATURES)}>>)"))).alias("pos", "f"))
+    rows = parsed.select(F.posexplode(F.coalesce(F.col("c.features"), F.expr(f"cast(array() as {_FEATURES})"))).alias("pos", "f"))
     return rows.select("pos", "f.*").filter(F.col("type") == "Feature")
 
 
-def _as_struct(ddl: str) -> str:
-    fields = ddl.replace("bbox array<double>", "bbox: array<double>")
-    return fields.replace("type string, id string", "type: string, id: string").replace("geometry struct", "geometry: struct").replace("properties map", "properties: map")
-
-
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     """Features of the files at a path that Spark can read, one collection a file."""
     return parse_collections(spark.read.text(path, wholetext=True))
@@ -67,8 +61,6 @@ def _feature(part: int, order: Column, name: Column, kind: str, geometry: Column
 
 def _numbered(df: DataFrame, by: str) -> DataFrame:
     """Rows with their place in order of ``by``; features are few, as one file holds them."""
-    from pyspark.sql import Window
-
     return df.withColumn("at", F.row_number().over(Window.orderBy(by)) - 1)
 
 

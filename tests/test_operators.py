@@ -271,3 +271,14 @@ def test_geometry_measures(spark):
     got = rows.select(G.distance_xy(x, y, s).alias("a"), G.line_distance_xy(x, y, s).alias("b"), G.line_distance_z(x, y, z, s).alias("c"), G.distance(x, y, z, s).alias("d"), G.place_on_segment(x, y, z, s).alias("t")).collect()
     assert got[0]["a"] == 5 and got[0]["b"] == 5 and got[0]["c"] == 2 and got[0]["t"] == 0
     assert got[1]["a"] == pytest.approx(math.hypot(1, 4)) and got[1]["b"] == 4 and got[1]["t"] == 1 and got[1]["d"] == pytest.approx(math.sqrt(1 + 16 + 4))
+
+
+def test_hough_space_peaks_on_the_line(spark):
+    edges = spark.createDataFrame([(0, 7, c) for c in range(40)], "slice_id int, row int, col int")
+    best = detection.hough_space(edges).orderBy(F.desc("votes"), "angle").first()
+    assert (best["votes"], abs(best["rho"])) == (40, 7)
+
+
+def test_planar_and_spatial_thinning_differ(spark):
+    rows = [(1, 0.0, 0.0, 0.0, 1), (2, 0.0, 0.0, 5.0, 1), (3, 0.01, 0.0, 5.0, 1)]
+    assert spatial.thin(points(spark, rows), 0.1).count() == 1 and spatial.thin(points(spark, rows), 0.1, planar=False).count() == 2
