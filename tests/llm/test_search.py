@@ -193,3 +193,21 @@ def test_pipeline_on_planted_corpus(spark, tmp_path, words):
     assert all(codec.decode(r["ids"]) == r["text"] for r in got.values())
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+
+
+def test_stages_on_edge_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars int, extra string"
+    rows = [(1, None, None, None, None, None), (2, "", "en", "s", 0, "x"), (3, "word " * 20_000, "en", "s", 1, "x"), (3, "word " * 20_000, "en", "s", 1, "y"), (None, "no id here", "en", "s", 1, "x"), (4, "z" * 60_000, "en", "s", 1, "x")]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(None, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        got = sorted(repr(r["doc_id"]) for r in found.collect())
+        wanted = [1, 3, 3, 4, None] if name == "simhash_near_dedup" else [1, 2, 3, 3, 4, None]
+        assert got == sorted(map(repr, wanted)), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    docs.drop("extra").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 5
