@@ -225,7 +225,7 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
     """Fit on at most ``per_class`` labelled rows a class, of ids whose crc32 modulo 5 is not 0."""
-    sample, share = labelled_sample(docs, labels, "quality", remainder(F.col("doc_id"), 5) != 0, per_class, most_chars)
+    sample, share = labelled_sample(docs, labels, "quality", remainder(F.col("doc_id"), 5) != 0, (per_class, per_class), most_chars)
     return fit(sample, share)
 
 

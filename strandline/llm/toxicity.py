@@ -21,9 +21,9 @@ from strandline.llm.sampling import labelled_sample, remainder
 LENGTH, STRIDE = 32, 16
 WORDS, GRAMS, DIM, HIDDEN, ATTEND = 8192, 16384, 12, 12, 8
 GATES = 3 * HIDDEN
-#: Bounds of the training sample: rows of each class, characters of a row, windows of a row.
-PER_CLASS, MOST_CHARS, ROW_WINDOWS = 1500, 20_000, 12
-EPOCHS, BATCH, RATE = 5, 256, 4e-3
+#: Bounds of the training sample: rows of label 0 and of label 1, characters of a row, windows of a row.
+PER_CLASS, MOST_CHARS, ROW_WINDOWS = (4500, 1500), 20_000, 8
+EPOCHS, BATCH, RATE = 4, 256, 4e-3
 THRESHOLD = 0.3
 #: Standard deviations from which a bucket's evidence starts its embedding.
 SURE = 3.0
@@ -260,6 +260,14 @@ def _line(values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(max(a, 0.05)), float(b)
 
 
+def _vocabulary(words: list[bytes], at_once: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_features`` of many words, worked out in parts to spare memory."""
+    parts = [word_features(words[low : low + at_once]) for low in range(0, len(words), at_once)]
+    shifts = np.cumsum([0, *(len(g) for _, g, _ in parts)])
+    grams = np.concatenate([g.astype(np.int32) for _, g, _ in parts])
+    return np.concatenate([b for b, _, _ in parts]), grams, np.concatenate([f + s for (_, _, f), s in zip(parts, shifts, strict=False)])
+
+
 def _evidence(p: dict[str, np.ndarray], vocabulary: tuple, codes: list[np.ndarray], y: np.ndarray) -> None:
     """Start the first dimension of each embedding from how far its bucket's share of toxic texts is from that of the others, in standard deviations; doubtful ones start at 0."""
     bucket, grams, begin = vocabulary
@@ -301,14 +309,13 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
     if len(set(y.tolist())) < 2:
         model.slope, model.shift = 0.0, -4.0
         return model
-    texts = [words_of(t) for t, _ in sample]
-    listed = sorted({w for t in texts for w in t})
-    place = {w: k for k, w in enumerate(listed)}
-    vocabulary = word_features(listed)
     kept = rng.random(len(sample)) < 0.2
     if len(set(y[kept].tolist())) < 2 or len(set(y[~kept].tolist())) < 2:
         kept = np.zeros(len(sample), dtype=bool)
-    codes = {k: np.array([place[w] for w in texts[k]]) for k in np.nonzero(~kept)[0]}
+    place: dict[bytes, int] = {}
+    codes = {k: np.array([place.setdefault(w, len(place)) for w in words_of(sample[k][0])], dtype=np.int32) for k in np.nonzero(~kept)[0]}
+    vocabulary, size = _vocabulary(list(place)), len(place)
+    place.clear()
     _evidence(model.p, vocabulary, list(codes.values()), y[~kept])
     ids, owner = [], []
     for k, code in codes.items():
@@ -332,7 +339,7 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
         at = rng.permutation(np.nonzero(use)[0])
         for low in range(0, len(at), batch):
             part = at[low : low + batch]
-            drop = (rng.random(len(listed)) > 0.3).astype(np.float32)
+            drop = (rng.random(size) > 0.3).astype(np.float32)
             value[part], g = _step(model.p, vocabulary, ids[:, part], y[owner[part]], drop)
             done += 1
             for k, v in model.p.items():
@@ -342,7 +349,7 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
                 s += 0.01 * (d * d - s)
                 v -= (RATE * (m / (1 - 0.9**done)) / (np.sqrt(s / (1 - 0.99**done)) + 1e-7)).astype(np.float32)
     held = np.nonzero(kept)[0] if kept.any() else np.arange(len(sample))
-    values = np.concatenate([model.text_values([texts[k] for k in held[low : low + 64]]) for low in range(0, len(held), 64)])
+    values = np.concatenate([model.text_values([words_of(sample[k][0]) for k in held[low : low + 64]]) for low in range(0, len(held), 64)])
     share = min(max(share, 0.01), 0.99)
     own = y[held].mean()
     weight = np.where(y[held] == 1, share / own, (1 - share) / (1 - own))
@@ -353,8 +360,8 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
-    """Fit on at most ``per_class`` labelled rows a class, of ids whose crc32 modulo 4 is not 2."""
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
+    """Fit on at most ``per_class`` labelled rows of label 0 and of label 1, of ids whose crc32 modulo 4 is not 2."""
     sample, share = labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), 4) != 2, per_class, most_chars)
     return fit(sample, share)
 
