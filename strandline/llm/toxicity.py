@@ -27,8 +27,12 @@ EPOCHS, BATCH, RATE = 4, 256, 4e-3
 THRESHOLD = 0.3
 #: Standard deviations from which a bucket's evidence starts its embedding.
 SURE = 3.0
-#: Words that a worker keeps projected before it starts afresh, and words of text that are scored at once.
-CACHE, AT_ONCE = 60_000, 150_000
+#: Largest slope of the line that makes a value a probability.
+STEEPEST = 3.0
+#: Words whose inputs a worker keeps before it starts afresh, and words of text that are scored at once.
+CACHE, AT_ONCE = 150_000, 150_000
+#: New words whose n-grams are worked out at once.
+WORDS_AT_ONCE = 20_000
 
 # ASCII letters in lower case, digits as 0, other ASCII marks as space; bytes of other letters stay
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -80,30 +84,46 @@ class Model:
     cache: dict[bytes, int] = field(default_factory=dict, repr=False)
     rows: list[np.ndarray] = field(default_factory=list, repr=False)
 
-    def project(self, words: list[bytes]) -> np.ndarray:
-        """Gate inputs of both directions for each word."""
+    def embed(self, words: list[bytes]) -> np.ndarray:
+        """Inputs of each word, and a 1 for the bias."""
         bucket, grams, begin = word_features(words)
         mean = np.add.reduceat(self.p["chars"][grams], begin, axis=0) / np.diff([*begin, len(grams)])[:, None]
-        x = np.concatenate([self.p["words"][bucket], mean.astype(np.float32)], axis=1)
-        return np.concatenate([x @ self.p["in_f"] + self.p["bias_f"], x @ self.p["in_b"] + self.p["bias_b"]], axis=1)
-
-    def window_values(self, gates: np.ndarray) -> np.ndarray:
-        """Values of windows from their gate inputs (steps, windows, 2 * GATES)."""
-        steps, count, _ = gates.shape
-        out = np.empty((steps, count, 2 * HIDDEN), dtype=np.float32)
-        for side, rec, order in (("f", self.p["rec_f"], range(steps)), ("b", self.p["rec_b"], range(steps - 1, -1, -1))):
-            low = 0 if side == "f" else GATES
-            h = np.zeros((count, HIDDEN), dtype=np.float32)
+        return np.concatenate([self.p["words"][bucket], mean, np.ones((len(words), 1))], axis=1).astype(np.float32)
+
+    def window_values(self, x: np.ndarray) -> np.ndarray:
+        """Values of windows from their words' inputs (steps, windows, 2 * DIM + 1).
+
+        States are kept with windows along the rows' end, so that every gate is
+        one stretch of memory.
+        """
+        steps, count, _ = x.shape
+        out = np.empty((steps, 2 * HIDDEN, count), dtype=np.float32)
+        half = np.where(np.arange(GATES) < 2 * HIDDEN, 0.5, 1.0).astype(np.float32)[:, None]  # a sigmoid by tanh
+        for low, side, order in ((0, "f", range(steps)), (HIDDEN, "b", range(steps - 1, -1, -1))):
+            into = half * np.concatenate([self.p[f"in_{side}"], self.p[f"bias_{side}"][None]]).T
+            again = half * self.p[f"rec_{side}"].T
+            h = np.zeros((HIDDEN, count), dtype=np.float32)
             for t in order:
-                a, r = gates[t, :, low : low + GATES], h @ rec
-                rz = np.tanh((a[:, : 2 * HIDDEN] + r[:, : 2 * HIDDEN]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-                n = np.tanh(a[:, 2 * HIDDEN :] + rz[:, :HIDDEN] * r[:, 2 * HIDDEN :])
-                h = n + rz[:, HIDDEN:] * (h - n)
-                out[t, :, low // 3 : low // 3 + HIDDEN] = h
-        return _pooled(self.p, out)[0]
+                a, r = into @ x[t].T, again @ h
+                rz, n = r[: 2 * HIDDEN], r[2 * HIDDEN :]
+                rz += a[: 2 * HIDDEN]
+                np.tanh(rz, out=rz)
+                rz += np.float32(1)
+                rz *= np.float32(0.5)
+                n *= rz[:HIDDEN]
+                n += a[2 * HIDDEN :]
+                np.tanh(n, out=n)
+                h = h - n
+                h *= rz[HIDDEN:]
+                h += n
+                out[t, low : low + HIDDEN] = h
+        weight = np.einsum("a,tab->tb", self.p["att_v"], np.tanh(np.matmul(self.p["att"].T, out)), optimize=True)
+        weight = np.exp(weight - weight.max(0))
+        weight /= weight.sum(0)
+        return self.p["out"] @ (out * weight[:, None, :]).sum(0) + self.p["out_b"][0]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """Rows of the kept projections, after adding the words that are new."""
+        """Rows of the kept inputs, after adding the words that are new."""
         new = set(words).difference(self.cache)
         if new:
             if len(self.cache) + len(new) > CACHE:
@@ -112,7 +132,7 @@ class Model:
                 new = set(words)
             listed = sorted(new)
             self.cache.update(zip(listed, range(len(self.cache), len(self.cache) + len(listed)), strict=True))
-            self.rows[:] = [np.concatenate([*self.rows, self.project(listed)])]
+            self.rows[:] = [np.concatenate([*self.rows, *(self.embed(listed[low : low + WORDS_AT_ONCE]) for low in range(0, len(listed), WORDS_AT_ONCE))])]
         return np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
 
     def text_values(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -131,8 +151,8 @@ class Model:
             of = np.nonzero(size == steps)[0]
             for low in range(0, len(of), 1024):
                 part = of[low : low + 1024]
-                gates = self.rows[0][ids[starts[part][None, :] + np.arange(steps)[:, None]]]
-                np.maximum.at(best, owner[part], self.window_values(gates))
+                x = self.rows[0][ids[starts[part][None, :] + np.arange(steps)[:, None]]]
+                np.maximum.at(best, owner[part], self.window_values(x))
         return best
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -257,10 +277,15 @@ def _line(values: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
         a, b = a - move[0], b - move[1]
         if abs(move).max() < 1e-6:
             break
-    return float(max(a, 0.05)), float(b)
+    if not 0.05 <= a <= STEEPEST:  # parted without overlap: the slope would grow without end
+        a = min(max(a, 0.05), STEEPEST)
+        for _ in range(50):
+            q = 1 / (1 + np.exp(-np.clip(a * values + b, -30, 30)))
+            b -= float(((weight * (q - y)).sum() + 0.01 * b) / ((weight * q * (1 - q)).sum() + 0.01))
+    return float(a), float(b)
 
 
-def _vocabulary(words: list[bytes], at_once: int = 40_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _vocabulary(words: list[bytes], at_once: int = WORDS_AT_ONCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``word_features`` of many words, worked out in parts to spare memory."""
     parts = [word_features(words[low : low + at_once]) for low in range(0, len(words), at_once)]
     shifts = np.cumsum([0, *(len(g) for _, g, _ in parts)])
