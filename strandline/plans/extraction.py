@@ -12,7 +12,7 @@ from strandline.config import Config, load_config
 from strandline.operators import components, detection, evaluation, snapping
 from strandline.operators.slicing import by_class
 from strandline.operators.spatial import thin
-from strandline.session import checkpoint
+from strandline.session import checkpoint, ship
 from strandline.sources import geojson, las, obj
 
 
@@ -51,6 +51,7 @@ def extract_features(spark: SparkSession, cloud: str, output: str, config_path:
 
     Only this run's own files under ``output`` are replaced.
     """
+    ship(spark)
     config = load_config(spark, config_path)
     cloud_points = checkpoint(schema.require(las.load_points(spark, cloud), schema.POINTS, "points"))
     if config.point_sample_radius:

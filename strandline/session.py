@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the workers, once a context, so that they need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_strandline_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="strandline-")) / "strandline_source.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    context.addPyFile(str(path))
+    context._strandline_shipped = True
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and return the reread rows.
 
