@@ -87,6 +87,8 @@ def test_near_copies_go_and_others_stay(docs_of, words):
         copies.add(1000 + k)
         half = own[:110] + words(500 + k, 140)
         rows.append((2000 + k, " ".join(half)))  # below 0.3
+    for k in range(4):  # a repeated line does not make copies
+        rows.append((3000 + k, " ".join(words(900 + k, 120)) + " same line again." * 200))
     kept = simhash.drop_near_copies(docs_of([*rows, (None, rows[0][1]), (7000, None), (7001, "")]))
     assert kept.columns == docs_of([]).columns
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - copies | {None, 7000}
