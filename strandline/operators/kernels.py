@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -118,16 +120,23 @@ def hough_lines(edges: np.ndarray, threshold: int, length: int, gap: int, seed:
     return line
 
 
+def nearest_distances(q: np.ndarray, xy: np.ndarray, k: int) -> np.ndarray:
+    """The distances, rising, from each row of ``q`` to its ``k`` nearest points, or to all if they are fewer."""
+    k = min(k, len(xy))
+    out = np.empty((len(q), k))
+    step = max(1, 5_000_000 // max(1, len(xy)))
+    for low in range(0, len(q), step):
+        d = np.sqrt(((q[low : low + step, None, :] - xy[None, :, :]) ** 2).sum(2))
+        out[low : low + step] = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
+    return out
+
+
 def _core_distances(xy: np.ndarray, k: int) -> np.ndarray:
     """Distance to the k-th nearest point, the point itself counted as the first."""
-    out = np.empty(len(xy))
-    for low in range(0, len(xy), 512):
-        d = np.sqrt(((xy[low : low + 512, None, :] - xy[None, :, :]) ** 2).sum(2))
-        out[low : low + 512] = np.partition(d, min(k, len(xy)) - 1, axis=1)[:, min(k, len(xy)) - 1]
-    return out
+    return nearest_distances(xy, xy, k)[:, -1]
 
 
-def _spanning_tree(xy: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spanning_tree(xy: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least spanning tree of the mutual reachability distance, by Prim; quadratic time, linear memory."""
     n = len(xy)
     nearest, source = np.full(n, np.inf), np.zeros(n, dtype=int)
@@ -154,13 +163,17 @@ def hdbscan(xy: np.ndarray, least: int, method: str = "eom") -> np.ndarray:
     Clusters are numbered by their first point.
     """
     n = len(xy)
-    labels = np.full(n, -1)
     if n < max(least, 2):
-        return labels
-    a, b, w = _spanning_tree(xy, _core_distances(xy, least))
+        return np.full(n, -1)
+    return tree_labels(n, *spanning_tree(xy, _core_distances(xy, least)), least, method)
+
+
+def tree_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int, method: str = "eom") -> np.ndarray:
+    """Labels of ``n`` points from edges that hold a least spanning tree; which of several least ones does not matter, as equal lengths join at once."""
+    labels = np.full(n, -1)
     # single linkage: node n + i joins two nodes at w
-    parent = np.arange(2 * n - 1)
-    size, left, right, dist = np.ones(2 * n - 1, int), np.full(2 * n - 1, -1), np.full(2 * n - 1, -1), np.zeros(2 * n - 1)
+    parent = list(range(2 * n - 1))
+    size, left, right, dist = [1] * (2 * n - 1), [-1] * (2 * n - 1), [-1] * (2 * n - 1), [0.0] * (2 * n - 1)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -168,10 +181,16 @@ def hdbscan(xy: np.ndarray, least: int, method: str = "eom") -> np.ndarray:
             i = parent[i]
         return i
 
-    for k, e in enumerate(np.argsort(w, kind="stable")):
-        p, q, new = root(a[e]), root(b[e]), n + k
-        parent[p] = parent[q] = new
-        left[new], right[new], dist[new], size[new] = p, q, w[e], size[p] + size[q]
+    new = n
+    order = np.argsort(w, kind="stable")
+    for x, y, d in zip(a[order].tolist(), b[order].tolist(), w[order].tolist(), strict=True):
+        p, q = root(x), root(y)
+        if p != q:
+            parent[p] = parent[q] = new
+            left[new], right[new], dist[new], size[new] = p, q, d, size[p] + size[q]
+            new += 1
+    if new != 2 * n - 1:
+        raise ValueError("the edges do not span the points")
 
     def leaves(i: int) -> list[int]:
         out, todo = [], [i]
@@ -193,34 +212,39 @@ def hdbscan(xy: np.ndarray, least: int, method: str = "eom") -> np.ndarray:
                 fallen[c].append((node, np.inf))
                 break
             density = 1 / dist[node] if dist[node] > 0 else np.inf
-            p, q = left[node], right[node]
-            if size[p] >= least and size[q] >= least:
-                for child in (p, q):
+            parts, joined = [], [left[node], right[node]]
+            while joined:
+                part = joined.pop()
+                if part >= n and dist[part] == dist[node]:
+                    joined += [left[part], right[part]]
+                else:
+                    parts.append(part)
+            large = [part for part in parts if size[part] >= least]
+            fallen[c] += [(i, density) for part in parts if size[part] < least for i in leaves(part)]
+            if len(large) > 1:
+                for child in large:
                     births.append(density)
                     children.append([])
                     fallen.append([])
                     children[c].append(len(births) - 1)
                     todo.append((child, len(births) - 1))
                 break
-            small, large = (p, q) if size[p] < size[q] else (q, p)
-            fallen[c] += [(i, density) for i in leaves(small)]
-            if size[large] < least:
-                fallen[c] += [(i, density) for i in leaves(large)]
+            if not large:
                 break
-            node = large
+            node = large[0]
     count = len(births)
     members = [len(f) for f in fallen]
     for c in range(count - 1, -1, -1):
         members[c] += sum(members[k] for k in children[c])
     finite = max((d for f in fallen for _, d in f if np.isfinite(d)), default=1.0)
     clip = lambda d: d if np.isfinite(d) else finite
-    mass = [sum(clip(d) - clip(births[c]) for _, d in fallen[c]) + sum(members[k] * (clip(births[k]) - clip(births[c])) for k in children[c]) for c in range(count)]
+    mass = [math.fsum([clip(d) - clip(births[c]) for _, d in fallen[c]] + [members[k] * (clip(births[k]) - clip(births[c])) for k in children[c]]) for c in range(count)]
     chosen = [False] * count
     if method == "leaf":
         chosen = [not children[c] and c > 0 for c in range(count)]
     else:
         for c in range(count - 1, 0, -1):
-            below = sum(mass[k] for k in children[c])
+            below = math.fsum(mass[k] for k in children[c])
             if children[c] and below > mass[c]:
                 mass[c] = below
             else:

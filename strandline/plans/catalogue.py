@@ -272,8 +272,7 @@ def source_thinning(spark, sf_dir):
 
 @query
 def hdbscan_components(spark, sf_dir):
-    # clusters of one class-2 sample of bounded density, part by part beyond the exact bound
-    return components.density_clusters(_points(spark, sf_dir, 2), Components(min_points=5), most=2000)
+    return components.density_clusters(_points(spark, sf_dir, 2), Components(min_points=5))
 
 
 # detection and the whole plan

@@ -282,3 +282,17 @@ def test_hough_space_peaks_on_the_line(spark):
 def test_planar_and_spatial_thinning_differ(spark):
     rows = [(1, 0.0, 0.0, 0.0, 1), (2, 0.0, 0.0, 5.0, 1), (3, 0.01, 0.0, 5.0, 1)]
     assert spatial.thin(points(spark, rows), 0.1).count() == 1 and spatial.thin(points(spark, rows), 0.1, planar=False).count() == 2
+
+
+def test_density_clusters_are_the_same_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(components, "BLOCK", 40)
+    rng = random.Random(5)
+    # lonely fittings of 8 points, a crowd, strays, and coordinates that often tie
+    places = [(rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(30)]
+    xy = [(round(x + rng.gauss(0, 0.1), 2), round(y + rng.gauss(0, 0.1), 2)) for x, y in places for _ in range(8)]
+    xy += [(round(rng.gauss(30, 2), 1), round(rng.gauss(30, 2), 1)) for _ in range(150)] + [(rng.uniform(-50, 90), rng.uniform(-50, 90)) for _ in range(12)]
+    cloud = points(spark, [(k, x, y, 0.0, 2) for k, (x, y) in enumerate(xy)])
+    for method in ("eom", "leaf"):
+        settings = Components(min_points=5, cluster_selection_method=method)
+        joint, blocks = (sorted(map(tuple, components.density_clusters(cloud, settings, most=most).collect())) for most in (20_000, 100))
+        assert joint == blocks and len({label for _, label in joint}) >= 20
