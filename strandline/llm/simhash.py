@@ -148,6 +148,12 @@ def _verifier(words: int, distance: int):
         a, b = _forest(place[a], place[b])
         return pd.DataFrame({"a": names[a], "b": names[b]})
 
+    return verified
+
+
+def _whole_groups(verified):
+    """Rows sorted by g in; ``verified`` gets whole groups, also those that go on in the next batch."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
         for batch in batches:
@@ -164,6 +170,14 @@ def _verifier(words: int, distance: int):
     return run
 
 
+def _chunk_pairs(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of a group of ``n`` chunks once for each pair ``c`` of chunks that theirs is in; without ``n`` the group is one chunk."""
+    own = F.pmod(F.xxhash64(by, F.lit(7)), F.col("n")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, own).alias("s0"), F.greatest(i, own).alias("s1"), F.when(i == own, 0).when(i > own, 1).otherwise(2).alias("part")))
+    none = F.array(F.struct(F.lit(0).alias("s0"), F.lit(0).alias("s1"), F.lit(0).alias("part")))
+    return rows.withColumn("c", F.explode(F.when(F.col("n").isNull(), none).otherwise(pairs)))
+
+
 def links(nodes: DataFrame, keys: list[list[tuple[int, int]]], words: int, distance: int, first_key: int = 0) -> DataFrame:
     """Links ``(a, b)`` between the roots of nodes ``(root, f)`` that share a key and differ in at most ``distance`` bits of their first ``words`` words.
 
@@ -178,23 +192,13 @@ def links(nodes: DataFrame, keys: list[list[tuple[int, int]]], words: int, dista
     if large.count() <= MOST_BROADCAST:  # a few megabytes; beyond it this join shuffles the rows once more
         large = F.broadcast(large)
     rows = rows.join(large, "key", "left")
-    own = F.pmod(F.xxhash64("f0", F.lit(7)), F.col("n")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, own).alias("s0"), F.greatest(i, own).alias("s1"), F.when(i == own, 0).when(i > own, 1).otherwise(2).alias("part")))
-    none = F.array(F.struct(F.lit(0).alias("s0"), F.lit(0).alias("s1"), F.lit(0).alias("part")))
-    rows = rows.withColumn("c", F.explode(F.when(F.col("n").isNull(), none).otherwise(pairs)))
+    rows = _chunk_pairs(rows, "f0")
     rows = rows.select(F.xxhash64("key", "c.s0", "c.s1").alias("g"), F.col("c.part").cast("tinyint").alias("part"), "root", *(f"f{k}" for k in range(words)))
-    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_verifier(words, distance), "a bigint, b bigint").distinct()
+    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_whole_groups(_verifier(words, distance)), "a bigint, b bigint").distinct()
 
 
-def groups(prints: DataFrame, keys: list[list[tuple[int, int]]], check: int, distance: int, rounds: int = 1) -> DataFrame:
-    """``(id, f, component)``: the component is the least id reachable over links.
-
-    ``prints`` must be cheap to reread (a checkpoint).  The keys are used in
-    ``rounds``; what one has joined, the next takes as one, so a large group of
-    near copies is linked once rather than under every key.  Null ids take part
-    but name no component; a component of null ids only has a null name.
-    """
-    tagged = prints.withColumn("node", F.xxhash64("f"))
+def _rooted(tagged: DataFrame, keys: list[list[tuple[int, int]]], check: int, distance: int, rounds: int) -> DataFrame:
+    """``(node, least, root)`` of the distinct fingerprints of ``(id, f, node)``: linked ones have one root, ``least`` is a node's least id."""
     nodes = checkpoint(tagged.groupBy("node").agg(F.min("id").alias("least"), F.first("f").alias("f")).withColumn("root", F.col("node")))
     for r in range(rounds):
         low, high = len(keys) * r // rounds, len(keys) * (r + 1) // rounds
@@ -202,11 +206,26 @@ def groups(prints: DataFrame, keys: list[list[tuple[int, int]]], check: int, dis
         nodes = nodes.join(found, F.col("root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new")
         if r < rounds - 1:
             nodes = checkpoint(nodes)
-    nodes = checkpoint(nodes.select("node", "least", "root"))
+    return checkpoint(nodes.select("node", "least", "root"))
+
+
+def _named(tagged: DataFrame, nodes: DataFrame) -> DataFrame:
     named = nodes.groupBy("root").agg(F.min("least").alias("component"))
     return tagged.join(nodes.join(named, "root").select("node", "component"), "node").select("id", "f", "component")
 
 
+def groups(prints: DataFrame, keys: list[list[tuple[int, int]]], check: int, distance: int, rounds: int = 1) -> DataFrame:
+    """``(id, f, component)``: the component is the least id reachable over links.
+
+    ``prints`` must be cheap to reread (a checkpoint).  The keys are used in
+    ``rounds``; what one has joined, the next takes as one, so a large group of
+    near copies is linked once rather than under every key.  Null ids take part
+    but name no component; a component of null ids only has a null name.
+    """
+    tagged = prints.withColumn("node", F.xxhash64("f"))
+    return _named(tagged, _rooted(tagged, keys, check, distance, rounds))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3, blocks: int = 5, seed: int = 42) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row: 64-bit fingerprints linked at ``distance`` or fewer differing bits.
 
@@ -220,33 +239,123 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("f")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: The wide form of the pipeline: 64 blocks of 18 bits from 1152, verified on 256 bits, in four rounds.
-WIDE_WORDS, WIDE_BLOCKS, WIDE_CHECK, WIDE_ROUNDS = 18, 64, 4, 4
+#: The wide form of the pipeline: 96 blocks of 18 bits from 1728, a first gate on 256 bits, in four rounds.
+WIDE_WORDS, WIDE_BLOCKS, WIDE_CHECK, WIDE_ROUNDS = 27, 96, 4, 4
+#: Shingles of the sets that one task compares among themselves; a larger candidate group is cut into chunks, as a key's rows are.
+SET_CHUNK = 500_000
 
 
 def wide_distance(similarity: float, bits: int) -> int:
-    """Differing bits at a Jaccard similarity of shingle sets: angle over pi, as the cosine is 2J / (1 + J), and one and a half standard deviations more."""
+    """Differing bits at a Jaccard similarity of shingle sets: angle over pi, as the cosine is 2J / (1 + J), and three standard deviations more."""
     rate = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * rate + 1.5 * np.sqrt(bits * rate * (1 - rate))))
+    return int(np.ceil(bits * rate + 3 * np.sqrt(bits * rate * (1 - rate))))
+
+
+def shingle_set(text: str | None, size: int, seed: int = 42) -> np.ndarray:
+    """The distinct shingles' 64-bit hashes, rising."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, size), repeat(seed)), dtype=np.uint64))
+
+
+def similar_links(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """A spanning forest of the pairs of sets whose Jaccard similarity is at least ``similarity``; of parts other than 0, only pairs between the two."""
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(token), dtype=bool)
+    label, ends_a, ends_b = np.arange(len(sets)), [], []
+    for d in range(1, len(sets)):
+        own = token[ends[d] - size[d] : ends[d]]
+        mark[own] = True
+        open_ = ((part[:d] == 0) | (part[:d] != part[d])) & (np.minimum(size[:d], size[d]) >= similarity * np.maximum(size[:d], size[d]) - 1e-9) & (size[:d] > 0)
+        for first in (True, False):  # one of each group, then the rest of the groups that are still others
+            other = np.flatnonzero(open_ & (label[:d] != label[d]))
+            if first:
+                other = other[np.unique(label[other], return_index=True)[1]]
+            if not len(other):
+                continue
+            if 8 * len(other) < d:
+                shared = np.array([np.count_nonzero(mark[token[ends[k] - size[k] : ends[k]]]) for k in other])
+            else:
+                sums = np.concatenate([[0], np.cumsum(mark[token[: ends[d - 1]]])])
+                shared = sums[ends[other]] - sums[ends[other] - size[other]]
+            for k in other[shared * (1 + similarity) >= similarity * (size[other] + size[d]) - 1e-9].tolist():
+                if label[k] != label[d]:
+                    label[label == label[k]] = label[d]
+                    ends_a.append(d)
+                    ends_b.append(k)
+        mark[own] = False
+    return ends_a, ends_b
+
+
+def _exact(similarity: float):
+    """Rows of (g, part, node, s) sorted by g in, a spanning forest (a, b) of each group's similar sets out."""
+
+    def verified(rows: pd.DataFrame) -> pd.DataFrame:
+        g, part, node, sets = (rows[c].to_numpy() for c in ("g", "part", "node", "s"))
+        cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+        ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            a, b = similar_links(list(sets[low:high]), part[low:high], similarity) if high - low > 1 else ([], [])
+            ends_a.append(node[low:high][a])
+            ends_b.append(node[low:high][b])
+        return pd.DataFrame({"a": np.concatenate(ends_a), "b": np.concatenate(ends_b)})
+
+    return verified
+
+
+def _of_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined by one of the ``left_`` kinds with the checkpointed ``_id`` of ``ids``, broadcast if they are few."""
+    if ids.count() <= MOST_BROADCAST:  # a few megabytes; beyond it the texts are shuffled
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == ids["_id"], how)
+
+
+def _similar_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, tagged: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` whose roots hold only what links of at least ``similarity`` join; all pairs below a root are judged on their shingle sets."""
+    shared = nodes.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1")
+    asked = checkpoint(nodes.join(shared, "root", "left_semi").select("node", "root"))
+    ids = checkpoint(tagged.join(asked, "node", "left_semi").select(F.col("id").alias("_id")).filter("_id is not null").distinct())
+    texts = docs.select(docs[id_col], docs[text_col])
+    texts = _of_ids(texts, id_col, ids, "left_semi").unionByName(texts.filter(docs[id_col].isNull())).select(F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for low in range(0, len(batch), 500):
+                t = batch["text"].iloc[low : low + 500]
+                f = [fingerprint(x, size, WIDE_WORDS, distinct=True).view(np.int64) for x in t]
+                yield pd.DataFrame({"f": f, "s": [shingle_set(x, size).view(np.int64) for x in t]})
+
+    sets = texts.mapInPandas(run, "f array<bigint>, s array<bigint>").select(F.xxhash64("f").alias("node"), "s")
+    sets = checkpoint(sets.join(asked, "node").groupBy("node", "root").agg(F.min("s").alias("s")))
+    large = sets.groupBy("root").agg(F.sum(F.size("s")).alias("t")).filter(F.col("t") > SET_CHUNK).select("root", F.ceil(F.col("t") / SET_CHUNK).cast("int").alias("n"))
+    rows = _chunk_pairs(sets.join(large, "root", "left"), "node")
+    rows = rows.select(F.xxhash64("root", "c.s0", "c.s1").alias("g"), F.col("c.part").cast("tinyint").alias("part"), "node", "s")
+    found = rows.repartition("g").sortWithinPartitions("g", "node").mapInPandas(_whole_groups(_exact(similarity)), "a bigint, b bigint").distinct()
+    roots = connected_components(found).select("node", F.col("component").alias("new"))
+    return checkpoint(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("new", "node").alias("root")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the members of near-copy groups other than the one with the least id.
 
-    At a similarity of 0.8 about a seventh of the bits differ, too many for the
-    pigeonhole guarantee on 64 bits; so the fingerprint is 1152 bits wide and
-    close pairs meet in at least one of its 64 blocks of 18 bits with a
-    probability of 0.97 at 0.8 and above 0.99 from 0.84 on.
-    Shingles count once, as in the sets that are compared, so that a line
-    repeated many times does not make two texts alike.
+    A group is what pairs of a Jaccard similarity of at least ``similarity``
+    link, which is judged on the whole shingle sets (by 64-bit hashes).  Pairs are
+    judged if a wide fingerprint links them: at a similarity of 0.8 about a
+    seventh of the bits differ, too many for the pigeonhole guarantee on 64 bits;
+    so the fingerprint is 1728 bits wide and a pair meets in at least one of its
+    96 blocks of 18 bits with a probability of 0.994 at 0.8 and above 0.999 from
+    0.84 on, and passes a gate of three standard deviations on 256 bits with
+    0.998; together 0.99 at 0.8.  Such pairs and what they chain are judged all
+    against all.  Shingles count once, as in the sets that are compared, so that
+    a line repeated many times does not make two texts alike.
     Rows of one id are one document and stay or go together; rows with a null
     id always stay.  All columns are kept as they are.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col, size, WIDE_WORDS, distinct=True))
     width = 64 * WIDE_WORDS // WIDE_BLOCKS
     keys = [[(width * i, width * (i + 1))] for i in range(WIDE_BLOCKS)]
-    found = groups(prints, keys, WIDE_CHECK, wide_distance(similarity, 64 * WIDE_CHECK), WIDE_ROUNDS)
-    gone = checkpoint(found.filter("id <> component").select(F.col("id").alias("_gone")).distinct())
-    if gone.count() <= MOST_BROADCAST:  # a few megabytes; beyond it the texts are shuffled
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    tagged = prints.withColumn("node", F.xxhash64("f"))
+    nodes = _rooted(tagged, keys, WIDE_CHECK, wide_distance(similarity, 64 * WIDE_CHECK), WIDE_ROUNDS)
+    found = _named(tagged, _similar_nodes(docs, id_col, text_col, size, similarity, tagged, nodes))
+    gone = checkpoint(found.filter("id <> component").select(F.col("id").alias("_id")).distinct())
+    return _of_ids(docs, id_col, gone, "left_anti")

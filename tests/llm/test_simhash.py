@@ -92,3 +92,37 @@ def test_near_copies_go_and_others_stay(docs_of, words):
     kept = simhash.drop_near_copies(docs_of([*rows, (None, rows[0][1]), (7000, None), (7001, "")]))
     assert kept.columns == docs_of([]).columns
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in rows} - copies | {None, 7000}
+
+
+def test_similar_links_match_brute_force():
+    rng = random.Random(4)
+    sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randrange(40, 160))], dtype=np.int64)) for _ in range(60)]
+    part = np.array([1 + k % 2 for k in range(60)])
+    for parts in (part, part * 0):
+        ones = [frozenset(x.tolist()) for x in sets]
+        wanted = [(i, j) for i, j in combinations(range(60), 2) if (not parts[i] or parts[i] != parts[j]) and 5 * len(ones[i] & ones[j]) >= 4 * len(ones[i] | ones[j])]
+        a, b = simhash.similar_links(sets, parts, 0.8)
+        assert set(zip(b, a, strict=True)) <= set(wanted)
+        graphs = []
+        for edges in (wanted, zip(a, b, strict=True)):
+            label = list(range(60))
+            for i, j in edges:
+                label = [label[i] if x == label[j] else x for x in label]
+            graphs.append({frozenset(k for k in range(60) if label[k] == x) for x in label})
+        assert graphs[0] == graphs[1] and 1 < len(graphs[0]) < 60
+
+
+def test_only_pairs_of_the_similarity_are_copies(docs_of, words, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_CHUNK", 400)
+    rows, copies = [], set()
+    for k in range(30):
+        own = words(2000 + k, 304)  # 300 shingles
+        rows.append((k, " ".join(own)))
+        rows.append((1000 + k, " ".join(own[:267] + words(3000 + k, 37))))  # 263 of 337: 0.78
+        rows.append((2000 + k, " ".join(own[:272] + words(4000 + k, 32))))  # 268 of 332: 0.807
+        copies.add(2000 + k)
+    ones = {d: set(simhash.shingles(t, 5)) for d, t in rows}
+    near = lambda d, e: len(ones[d] & ones[e]) / len(ones[d] | ones[e])
+    assert all(near(k, 1000 + k) < 0.8 <= near(k, 2000 + k) and near(1000 + k, 2000 + k) < 0.8 for k in range(30))
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(docs_of(rows)).collect()}
+    assert {d for d, _ in rows} - copies <= kept and len(kept & copies) <= 1
