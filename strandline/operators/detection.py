@@ -55,13 +55,33 @@ def canny_cells(cells: DataFrame, settings: Hough = Hough()) -> DataFrame:
     return tiled_cells(cells, settings).groupBy("slice_id", "tile_row", "tile_col").applyInPandas(lambda g: _tile_edges(g, settings), schema)
 
 
+def _inside(line: tuple[int, int, int, int], low: tuple[float, float], size: int) -> tuple[float, ...] | None:
+    """The part of a line in a square, or None."""
+    start, end, ways = 0.0, 1.0, (line[2] - line[0], line[3] - line[1])
+    for at, way, first in zip(line[:2], ways, low, strict=True):
+        if way:
+            one, two = sorted(((first - at) / way, (first + size - at) / way))
+            start, end = max(start, one), min(end, two)
+        elif not first <= at < first + size:
+            return None
+    if start >= end:
+        return None
+    # whole lines keep their exact ends
+    return tuple(float(line[i]) if t == i // 2 else line[i % 2] + t * ways[i % 2] for i, t in zip(range(4), (start, start, end, end), strict=True))
+
+
 def hough_segments(edges: DataFrame, settings: Hough = Hough()) -> DataFrame:
     """``(slice_id, seg_no, px0, py0, px1, py1)`` in pixels of the band's raster.
 
-    A line over a tile's border comes in pieces, which merging joins again.  The
-    random order depends on the seed, the band and the tile only.
+    A tile sees the edges around it as far as a line's least length and a gap,
+    so that a line over its border counts by its whole length.  It returns the
+    part of a line inside itself, however short; merging joins the parts again.
+    The random order depends on the seed, the band and the tile only.
     """
     length, gap = max(1, round(settings.min_line_length / settings.cell_size)), max(0, round(settings.max_line_gap / settings.cell_size))
+    size, halo = settings.tile_cells, length + gap + 1
+    tiles = lambda c: F.sequence(*(F.floor((F.col(c) + d) / size).cast("int") for d in (-halo, halo)))
+    seen = edges.select("slice_id", "row", "col", F.explode(tiles("row")).alias("tile_row")).withColumn("tile_col", F.explode(tiles("col"))).filter("tile_row >= 0 and tile_col >= 0")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["row", "col"])
@@ -70,13 +90,13 @@ def hough_segments(edges: DataFrame, settings: Hough = Hough()) -> DataFrame:
         image[g["row"] - low_r, g["col"] - low_c] = True
         tile = [int(g[c].iloc[0]) for c in ("slice_id", "tile_row", "tile_col")]
         found = kernels.hough_lines(image, settings.threshold, length, gap, seed=[settings.seed, *(t + 1 for t in tile)])
-        out = pd.DataFrame(found, columns=["px0", "py0", "px1", "py1"], dtype="int64")
-        out[["px0", "px1"]] += low_c
-        out[["py0", "py1"]] += low_r
+        low = (tile[2] * size - 0.5, tile[1] * size - 0.5)
+        parts = (_inside((x0 + low_c, y0 + low_r, x1 + low_c, y1 + low_r), low, size) for x0, y0, x1, y1 in found)
+        out = pd.DataFrame([p for p in parts if p], columns=["px0", "py0", "px1", "py1"], dtype="float64")
         return out.assign(slice_id=tile[0], tile_row=tile[1], tile_col=tile[2], seg_no=range(len(out)))
 
     schema = "slice_id int, tile_row int, tile_col int, seg_no int, px0 double, py0 double, px1 double, py1 double"
-    return edges.groupBy("slice_id", "tile_row", "tile_col").applyInPandas(run, schema)
+    return seen.groupBy("slice_id", "tile_row", "tile_col").applyInPandas(run, schema)
 
 
 def hough_space(edges: DataFrame, angles: int = 180) -> DataFrame:

@@ -296,3 +296,21 @@ def test_density_clusters_are_the_same_in_blocks(spark, monkeypatch):
         settings = Components(min_points=5, cluster_selection_method=method)
         joint, blocks = (sorted(map(tuple, components.density_clusters(cloud, settings, most=most).collect())) for most in (20_000, 100))
         assert joint == blocks and len({label for _, label in joint}) >= 20
+
+
+def test_lines_over_tile_borders_are_whole(spark):
+    from strandline.config import Hough
+
+    settings = Hough(cell_size=0.05, tile_cells=64)  # least length 30 cells, gap 10
+    lines = {0: (44, 83), 1: (20, 70), 2: (100, 300), 3: (5, 40), 4: (60, 80)}
+    rows = [(b, 0, c // 64, 7, c) for b, (first, last) in lines.items() for c in range(first, last + 1)]
+    rows += [(5, c // 64, c // 64, c, c) for c in range(50, 85)]
+    edges = spark.createDataFrame(rows, "slice_id int, tile_row int, tile_col int, row int, col int")
+    got = {}
+    for r in detection.hough_segments(edges, settings).collect():
+        got.setdefault(r["slice_id"], []).append(sorted((r["px0"], r["px1"])))
+        assert all(r["tile_col"] * 64 - 0.5 <= r[c] <= r["tile_col"] * 64 + 63.5 for c in ("px0", "px1"))
+    for b, ends in {**{b: lines[b] for b in range(4)}, 5: (50, 84)}.items():
+        parts = sorted(got[b])
+        assert (parts[0][0], parts[-1][1]) == ends and all(abs(q[0] - p[1]) < 1e-9 for p, q in zip(parts, parts[1:]))
+    assert 4 not in got
