@@ -31,7 +31,9 @@ TEMPER = 0.1
 #: Pages' worth of its parent's shares that smooth a domain's and a host's, and of even shares that smooth a table's cell.
 PRIOR_PAGES, CELL = 4.0, 0.5
 _NOT_TEXT = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>?")
-_DECLARED = re.compile(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
+#: Comments, scripts and styles, which are skipped, or the attributes of an html start tag; every character is read once.
+_HTML = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b([^>]*)")
+_DECLARED = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})\b""")
 
 
 def visible_text(page: str | None) -> str:
@@ -40,9 +42,9 @@ def visible_text(page: str | None) -> str:
 
 
 def declared_language(page: str | None) -> str:
-    """Primary subtag of the html element's language, or an empty string."""
-    found = _DECLARED.search(page or "", 0, 5000)
-    return found[1].lower() if found else ""
+    """Primary subtag of the html element's language, wherever its tag stands, or an empty string."""
+    tags = (_DECLARED.search(m[2]) for m in _HTML.finditer(page or "") if m[2])
+    return next((found[1].lower() for found in tags if found), "")
 
 
 def address(url: str | None) -> tuple[str, str, str]:

@@ -162,3 +162,10 @@ def test_language_training_from_table(spark):
     model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
     assert model.languages == ["aa", "bb"] and model.log_likelihoods("krisp krisp")[1] > model.log_likelihoods("krisp krisp")[0]
     assert language.train(spark.createDataFrame([], "doc_id bigint, text string, lang string")).languages == ["und"]
+
+
+def test_declared_language_after_a_long_start():
+    for start in ("<!-- " + "licence <html lang=fr> " * 1000 + "-->", " \n" * 9000, "<script>x = '<html lang=fr>'" + ";" * 6000 + "</script>"):
+        assert language.declared_language(start + "<!DOCTYPE html><html class=a lang='de-AT'><p>x") == "de"
+    assert language.declared_language("<!-- <html lang=fr> ") == "" and language.declared_language(None) == ""
+    assert language.declared_language("<html lang=e" * 200_000) == language.declared_language("<!--" * 200_000) == ""
