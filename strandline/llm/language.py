@@ -18,14 +18,14 @@ from urllib.parse import urlsplit
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.session import checkpoint
 
 BUCKETS = 1 << 15
-#: Bounds of the training sample: languages, rows of each, characters of a row.
-LANGUAGES, PER_LANGUAGE, MOST_CHARS = 100, 400, 20_000
+#: Bounds of the training sample: rows of a language, characters of a row.
+PER_LANGUAGE, MOST_CHARS = 400, 20_000
 #: N-grams overlap, so their log likelihood counts by this share.
 TEMPER = 0.1
 #: Pages' worth of its parent's shares that smooth a domain's and a host's, and of even shares that smooth a table's cell.
@@ -90,16 +90,17 @@ def fit(rows: list[tuple[str, str]]) -> Model:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> Model:
-    """Fit on at most ``per_language`` texts of each of the ``LANGUAGES`` most frequent ``lang`` values, picked by a hash of doc_id."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    languages = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    order = F.xxhash64("doc_id")
-    if not languages:
-        return Model(["und"], np.zeros((1, BUCKETS), np.float32))
-    picks = (known.filter(F.col("lang") == lang).select("doc_id", "lang").orderBy(order, "doc_id").limit(per_language) for lang in languages)
-    chosen = reduce(DataFrame.unionByName, picks).distinct()
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).filter(F.char_length("text") <= most_chars)
-    return fit([(r["lang"], r["text"]) for r in texts.collect()] or [(lang, "") for lang in languages])
+    """Fit on at most ``per_language`` texts of every ``lang`` value, picked by a hash of doc_id.
+
+    Longer texts than ``most_chars`` give their start, and only where a
+    language has too few others.
+    """
+    known = docs.filter("lang is not null and doc_id is not null and text is not null")
+    rows = known.select("doc_id", "lang", (F.char_length("text") > most_chars).alias("long"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
+    chosen = rows.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.substring("text", 1, most_chars).alias("text"))
+    return fit([(r["lang"], r["text"]) for r in texts.collect()] or [("und", "")])
 
 
 def page_evidence(pages: DataFrame, model: Model) -> DataFrame:

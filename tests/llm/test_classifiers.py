@@ -169,3 +169,15 @@ def test_declared_language_after_a_long_start():
         assert language.declared_language(start + "<!DOCTYPE html><html class=a lang='de-AT'><p>x") == "de"
     assert language.declared_language("<!-- <html lang=fr> ") == "" and language.declared_language(None) == ""
     assert language.declared_language("<html lang=e" * 200_000) == language.declared_language("<!--" * 200_000) == ""
+
+
+def test_every_language_is_trained(spark):
+    rows = [(k, f"words of {k} " * 3, f"l{k:03d}") for k in range(120)]
+    rows += [(1000 + k, "lange worte " * 2000, "zz") for k in range(3)]
+    rows += [(2000 + k, "long " * 5000 if k < 5 else "short words", "yy") for k in range(8)]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), per_language=3)
+    assert model.languages == sorted({lang for _, _, lang in rows})
+    row = model.table[model.languages.index("zz")]
+    assert row.max() > row.min()
+    own = model.table[model.languages.index("yy")]
+    assert own[language.gram_buckets("short words")].min() > own.min() >= own[language.gram_buckets("long")[2:3]].min()
