@@ -471,6 +471,11 @@ def cluster_json(spark, sf_dir):
     return obj.cluster_json(_few(spark, sf_dir).withColumn("cluster_id", F.col("seg_id") % 9), 5)
 
 
+@query
+def cluster_json_bands(spark, sf_dir):
+    return obj.cluster_json_bands(_few(spark, sf_dir).withColumn("cluster_id", F.col("seg_id") % 9))
+
+
 @query
 def metrics_json(spark, sf_dir):
     samples = checkpoint(evaluation.distance_samples(_matches(spark, sf_dir)))

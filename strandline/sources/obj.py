@@ -106,6 +106,16 @@ def cluster_json(segments: DataFrame, slice_id: int, z_value: float = 0.0) -> Da
     return whole.crossJoin(total).select(F.to_json(F.struct(F.lit(slice_id).alias("slice_id"), "total_segments", "total_clusters", F.lit(z_value).alias("z_value"), "clusters")).alias("value"))
 
 
+def cluster_json_bands(segments: DataFrame, z_value: float = 0.0) -> DataFrame:
+    """``(slice_id, value)``: what ``cluster_json`` gives, for every band of the segments."""
+    tip = lambda i: F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), F.coalesce(f"z{i}", F.lit(z_value)).alias("z"))
+    own = F.struct(F.col("seg_id").alias("segment_index"), tip(0).alias("start_point"), tip(1).alias("end_point"))
+    per = segments.groupBy("slice_id", "cluster_id").agg(F.count("*").alias("segment_count"), F.array_sort(F.collect_list(own)).alias("segments"))
+    named = F.when(F.col("cluster_id").isNotNull(), F.struct("cluster_id", "segment_count", "segments"))
+    whole = per.groupBy("slice_id").agg(F.sum("segment_count").alias("total_segments"), F.count("cluster_id").alias("total_clusters"), F.array_sort(F.collect_list(named)).alias("clusters"))
+    return whole.select("slice_id", F.to_json(F.struct("slice_id", "total_segments", "total_clusters", F.lit(z_value).alias("z_value"), "clusters")).alias("value"))
+
+
 def metrics_json(report: DataFrame, samples: DataFrame) -> DataFrame:
     """One row ``(value)``: a report's columns and the raw samples as JSON; nulls are left out."""
     raw = samples.agg(F.array_sort(F.collect_list("xy")).alias("xy_samples"), F.array_sort(F.collect_list("z")).alias("z_samples"))

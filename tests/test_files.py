@@ -152,3 +152,12 @@ def test_stream_of_tiles(spark, tmp_path):
     done = tiles.each_tile(tiles.read_tiles(spark, folder), lambda df: df.groupBy("class").count(), str(tmp_path / "out"), str(tmp_path / "state"))
     done.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("count")).first()[0] == 10
+
+
+def test_cluster_json_of_every_band(spark):
+    from strandline.sources import obj
+
+    rows = [(k, k % 4, float(k), 0.5, None if k % 3 else 1.0, float(k + 1), 2.0, 1.0, None if k % 5 == 0 or k % 4 == 3 else k % 2) for k in range(40)]
+    cloud = spark.createDataFrame(rows, "seg_id bigint, slice_id int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, cluster_id bigint")
+    bands = {r["slice_id"]: r["value"] for r in obj.cluster_json_bands(cloud, 0.25).collect()}
+    assert bands == {k: obj.cluster_json(cloud, k, 0.25).first()["value"] for k in range(4)}
