@@ -74,6 +74,53 @@ def test_added_kinds_and_scores(docs_of):
     assert {s["kind"] for s in found} == {"github", "private_key", "slack"}
 
 
+def test_context_decides_kinds_that_begin_low(docs_of):
+    texts = ["born 1970-01-31", "built 1970-01-31", "geboren am 3.12.1981.", "the birthplace 1970-01-31", "ssn 123-45-6789", "taxi 123-45-6789"]
+    found = pii.find_personal_data(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [[s["kind"] for s in r["pii"]] for r in found] == [["birth"], [], ["birth"], [], ["ssn"], []]
+    scores = {r["doc_id"]: r["scores"] for r in pii.pii_digest(docs_of([(1, "ip 1.2.3.4"), (2, "ipsum 1.2.3.4")])).collect()}
+    assert scores == {1: "0.8", 2: "0.6"}
+
+
+def test_running_values(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.llm.spans import part, pieces, running
+
+    rng = random.Random(9)
+    rows = [([rng.randrange(50) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 17, 100, 1000)]
+    found = spark.createDataFrame(rows, "v array<int>").select("v", running(F.col("v"), lambda a, b: a + b).alias("s"), running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for r in found:
+        assert r["s"] == [sum(r["v"][:k]) for k in range(len(r["v"]))] and r["m"] == [max(r["v"][:k], default=0) for k in range(len(r["v"]))]
+    text = "".join(rng.choice("aé😀\n") for _ in range(3000))
+    cuts = [(rng.randrange(3100), rng.randrange(3100)) for _ in range(200)] + [(0, 512), (512, 1024), (511, 512), (0, 3000), (0, 0)]
+    cuts = [(min(c), max(c)) for c in cuts]
+    df = spark.createDataFrame([(text, a, b) for a, b in cuts], "t string, a int, b int").withColumn("cut", pieces(F.col("t")))
+    assert all(r["p"] == text[r["a"] : r["b"]] for r in df.select("a", "b", part(F.col("cut"), F.col("a"), F.col("b")).alias("p")).collect())
+
+
+def _timed(frame):
+    import time
+
+    began = time.time()
+    rows = frame.collect()
+    return rows, time.time() - began
+
+
+@pytest.mark.parametrize("unit", ["a@b.co ", "1.2.3.4 ", "+1 (212) 555-0100; "])
+def test_a_text_of_nothing_but_matches(docs_of, unit):
+    n = 1_000_000 // len(unit)
+    rows, took = _timed(pii.pii_digest(docs_of([(1, unit * n)])))
+    assert rows[0]["n_email"] + rows[0]["n_ip"] + rows[0]["n_phone"] >= n and took < 60
+    text = pii.redact(docs_of([(1, unit * n)])).first()["text"]
+    assert text.count("[") == n and len(text) < len(unit * n) + 3 * n
+
+
+def test_a_text_of_nothing_but_secrets(docs_of):
+    rows, took = _timed(secrets.secrets_digest(docs_of([(1, "token=abcdefghijklm " * 50_000)])))
+    assert rows[0]["n_assign"] == 50_000 and took < 60
+
+
 def test_redaction(docs_of):
     found = {r["doc_id"]: r["text"] for r in pii.redact(docs_of([(1, "é😀 a@b.co, 10.0.0.1!"), (2, None), (3, ""), (4, "none")])).collect()}
     assert found == {1: "é😀 [email], [ip]!", 2: None, 3: "", 4: "none"}
