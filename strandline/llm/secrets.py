@@ -15,8 +15,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.spans import NO_SPANS, in_order, joined, regex_spans
+from strandline.llm.spans import fresh, guarded, in_order, joined, regex_spans
 from strandline.llm.trigrams import Query, trigram_query, trigrams_of
+from strandline.session import checkpoint
+
+#: Candidate keys (a dozen bytes each) that are sent to the rows, and shares of the rows of a key where they go to it.
+MOST_BROADCAST, SALTS = 400_000, 16
 
 
 class Rule(NamedTuple):
@@ -58,41 +62,59 @@ def _holds(query: Query, grams: Column) -> Column:
 
 
 def postings(docs: DataFrame, text_col: str, rules: list[Rule]) -> DataFrame:
-    """The inverted index: distinct (trigram, key) of the rules' trigrams; a key is the text's hash."""
+    """The inverted index: distinct (trigram, key) of the rules' trigrams; a key is the text's hash, so copies are posted once."""
     grams = sorted(set().union(*(trigrams_of(trigram_query(r.plain)) for r in rules)))
-    low = docs.select(F.xxhash64(text_col).alias("key"), F.lower(text_col).alias("low"))
-    held = F.filter(F.array(*map(F.lit, grams)), lambda g: F.contains(F.col("low"), g))
+    low = docs.select(F.xxhash64(docs[text_col]).alias("key"), F.lower(docs[text_col]).alias("low"))
+    held = F.filter(F.array(*map(F.lit, grams)).cast("array<string>"), lambda g: F.contains(F.col("low"), g))
     return low.select("key", F.explode(held).alias("trigram")).distinct()
 
 
 def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(key, rules array): the posting lists intersected as each rule's query says."""
+    """(key, rules): the posting lists intersected as each rule's query says; ``rules`` has a bit for each rule's place."""
     lists = index.groupBy("key").agg(F.collect_set("trigram").alias("grams"))
-    asked = [F.when(_holds(q, F.col("grams")), F.lit(r.kind)) for r in rules if (q := trigram_query(r.plain)) is not True]
-    return lists.select("key", F.array_compact(F.array(*asked)).alias("rules")).filter(F.size("rules") > 0)
+    asked = [F.when(_holds(q, F.col("grams")), F.lit(1 << k)).otherwise(F.lit(0)) for k, r in enumerate(rules) if (q := trigram_query(r.plain)) is not True]
+    return lists.select("key", reduce(lambda a, b: a.bitwiseOR(b), asked, F.lit(0)).alias("rules")).filter("rules <> 0")
+
+
+def _with_rules(docs: DataFrame, text_col: str, rules: list[Rule], name: str) -> DataFrame:
+    """``docs`` with the bits of the rules that the index asks of each text, or null.
+
+    Up to ``MOST_BROADCAST`` candidate keys are sent to the rows, and no text
+    moves.  Beyond it the rows go to their keys, in ``SALTS`` shares by the task
+    that read them, so that copies of one text do not share a task.
+    """
+    found = checkpoint(candidates(postings(docs, text_col, rules), rules)).select(F.col("key").alias(f"{name}_key"), F.col("rules").alias(name))
+    key = F.xxhash64(docs[text_col]) == found[f"{name}_key"]
+    if found.count() <= MOST_BROADCAST:
+        return docs.join(F.broadcast(found), key, "left").drop(f"{name}_key")
+    rows = docs.withColumn(f"{name}_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    found = found.withColumn(f"{name}_share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    key = (F.xxhash64(rows[text_col]) == found[f"{name}_key"]) & (rows[f"{name}_salt"] == found[f"{name}_share"])
+    return rows.join(found, key, "left").drop(f"{name}_key", f"{name}_salt", f"{name}_share")
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", rules: list[Rule] = RULES) -> DataFrame:
     """``docs`` with the array ``into`` of (start, end, kind, value), by start, then rule.
 
-    Null and empty texts have no spans; all rows and columns stay.  Copies of a
-    text share one key, and a shared key never hides or adds a span: every
-    candidate is verified on its own text.
+    Null and empty texts and an empty table have no spans; rows, repeated ones
+    too, and columns of any name stay (one named like ``into`` is replaced).  Of
+    matches of one rule the leftmost counts, spans of different rules may
+    overlap.  Copies of a text share one key of the index, and a shared key never
+    hides or adds a span: every candidate is verified on its own text.
     """
-    found = candidates(postings(docs, text_col, rules), rules).select(F.col("key").alias("_key"), F.col("rules").alias("_rules"))
-    rows = docs.withColumn("_hash", F.xxhash64(text_col))
-    rows = rows.join(found, rows["_hash"] == found["_key"], "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    name = fresh(docs, "_rules")
+    rows = _with_rules(docs, text_col, rules, name)
+    text = F.coalesce(rows[text_col].cast("string"), F.lit(""))
     parts = []
-    for rule in rules:
+    for k, rule in enumerate(rules):
         spans = regex_spans(text, rule.pattern, rule.kind, rule.valid)
-        parts.append(spans if trigram_query(rule.plain) is True else F.when(F.array_contains("_rules", rule.kind), spans).otherwise(F.expr(NO_SPANS)))
-    rows = rows.withColumn("_found", F.concat(*parts))
-    return rows.withColumn(into, F.when(F.size("_found") > 0, in_order(F.col("_found"), [r.kind for r in rules])).otherwise(F.col("_found"))).drop("_hash", "_key", "_rules", "_found")
+        parts.append(spans if trigram_query(rule.plain) is True else guarded(rows[name].bitwiseAND(F.lit(1 << k)) != 0, spans))
+    rows = rows.withColumn(name, F.concat(*parts))
+    return rows.withColumn(into, F.when(F.size(rows[name]) > 0, in_order(rows[name], [r.kind for r in rules])).otherwise(rows[name])).drop(name)
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
-    """Counts and digests of the spans of each document."""
+    """Counts and digests of the spans of each document, a row for each row; null and empty texts count as without spans."""
     spans = F.col("secrets")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

@@ -1,6 +1,11 @@
 import pytest
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars int, key string, score double, id string, component bigint, ids string, value string, node bigint"
+#: Names that operators use inside, as columns of the user's.
+CLASHES = (
+    "key score id component ids value node _text _digit _found _pii _spans _rules _rules_key _rules_salt _hash _key _id _gone spans secrets pii rules grams low trigram f least root "
+    "old new n m t s g a b c part y r rank held label long fp _c toxic quality predicted held_out item_id start end edits fingerprint component_id"
+).split()
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars int, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 @pytest.fixture(scope="session")
@@ -8,7 +13,7 @@ def docs_of(spark):
     """Documents with extra columns whose names operators use inside."""
 
     def make(texts):
-        rows = [(d, t, "en", "s", None if t is None else len(t), "k", 0.5, "i", 1, "x", "v", 2) for d, t in texts]
+        rows = [(d, t, "en", "s", None if t is None else len(t), *CLASHES) for d, t in texts]
         return spark.createDataFrame(rows, DOCS)
 
     return make

@@ -128,12 +128,25 @@ def test_redaction(docs_of):
 
 
 def test_extra_columns_stay(docs_of):
-    rows = docs_of([(1, "secret=abcdefghijklm"), (1, "secret=abcdefghijklm")])
-    assert secrets.find_secrets(rows).columns == [*rows.columns, "secrets"] and secrets.find_secrets(rows).count() == 2
-    assert pii.find_personal_data(rows).columns == [*rows.columns, "pii"]
+    rows = docs_of([(1, "secret=abcdefghijklm a@b.co"), (1, "secret=abcdefghijklm a@b.co")])
+    given = rows.first().asDict()
+    for found, into, kind in ((secrets.find_secrets(rows, into="found"), "found", "assign"), (pii.find_personal_data(rows, into="found"), "found", "email")):
+        assert found.columns == [*rows.columns, into] and found.count() == 2
+        row = found.first().asDict()
+        assert [s["kind"] for s in row.pop(into)] == [kind] and row == given
+    assert [c for c in pii.find_personal_data(rows).columns if c != "pii"] == [c for c in rows.columns if c != "pii"]
+    row = pii.redact(rows).first().asDict()
+    assert row.pop("text") == "secret=abcdefghijklm [email]" and row == {k: v for k, v in given.items() if k != "text"}
     assert secrets.secrets_digest(docs_of([])).count() == 0 and pii.pii_digest(docs_of([])).count() == 0
 
 
+def test_many_candidates_go_to_their_keys(docs_of, monkeypatch):
+    rows = docs_of([(k, t) for k, t in enumerate(CASES * 3)]).repartition(5)
+    few = sorted(map(repr, secrets.secrets_digest(rows).collect()))
+    monkeypatch.setattr(secrets, "MOST_BROADCAST", 0)
+    assert sorted(map(repr, secrets.secrets_digest(rows).collect())) == few and len(few) == 3 * len(CASES)
+
+
 def test_trigram_queries():
     assert trigram_query("abcd") == ("and", ("abc", "bcd"))
     assert trigram_query("(abc|xyz)q*") == ("or", ("abc", "xyz"))
