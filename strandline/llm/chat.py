@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 END = "</turn>\n"
 #: (plain, escaped), applied in this order and undone in the reverse order; every backslash of an escaped text starts one of them.
-ESCAPES = [("\\", "\\b"), ("<", "\\l"), ("###", "\\h##")]
+ESCAPES = [("\\", "\\b"), ("<", "\\l"), ("#", "\\h")]
 UNESCAPES = [("\\h", "#"), ("\\l", "<"), ("\\b", "\\")]
 ROLE_COLON = (":", "\\c")
 #: A token is a run of up to four characters that are not white space; a turn's marks count as three more.
 TOKEN, MARKS = "[^ \\n\\t\\r]{1,4}", 3
+#: Tokens that a window has for new turns, however long its system turn is.
+ROOM = 64
 
 
 def _replaced(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -40,15 +42,22 @@ def _header(role: Column) -> Column:
 def format_chat(conversations: DataFrame, budget: int = 512, history: int = 96, history_turns: int = 4) -> DataFrame:
     """Windows ``(conv_id, window_id, n_turns, n_repeated, n_tokens, formatted, loss)`` of conversations given as (conv_id, turn, role, text) rows.
 
-    Turns go by ``turn``, then role and text; null roles and texts are empty, a
-    null conv_id is a conversation.  The prefix sum of the turns' tokens says
-    into which half of the budget left for new turns a turn ends; the turns of
-    one half form a window, so it keeps within the budget, and only a turn of
-    over half of it stands alone and may pass it.  Each later window repeats a
-    system turn that opens the conversation, then up to ``history_turns`` turns
-    of at most ``history`` tokens.  ``loss`` holds the spans (code points, end
-    exclusive) of the assistant texts that are new in the window; repeated ones
-    are masked, so each is learned once.
+    Turns go by ``turn``, then role and text; null roles and texts are empty,
+    equal rows are turns of their own, a null conv_id is a conversation, an empty
+    table has no windows, and other columns are left aside.
+
+    The budget less the system turn and the history is the room for new turns;
+    the history gives way first, then the room is ``ROOM`` at least.  The prefix
+    sum of the turns' tokens says into which half of the room a turn ends; the
+    turns of one half form a window, and a turn of over half the room stands
+    alone, so the new turns of a window fit the room.  A window passes the budget
+    only if a single new turn is longer than the room, as turns are never cut, or
+    if the system turn, which is never dropped, leaves less than ``ROOM``; then
+    it has ``ROOM`` tokens beside it.  Each later window repeats a system turn
+    that opens the conversation, then up to ``history_turns`` turns of at most
+    ``history`` tokens.  ``loss`` holds the spans (code points, end exclusive) of
+    the assistant texts that are new in the window; repeated ones are masked, so
+    each is learned once.
     """
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(TOKEN)) + MARKS)
@@ -60,7 +69,8 @@ def format_chat(conversations: DataFrame, budget: int = 512, history: int = 96,
     rows = rows.withColumn("system_tokens", F.first(F.when(F.col("is_system"), F.col("tokens")).otherwise(0)).over(whole))
     rows = rows.withColumn("system_text", F.first(F.when(F.col("is_system"), F.col("text"))).over(whole))
     rows = rows.withColumn("prefix", F.sum("cost").over(whole))
-    half = F.greatest(F.lit(budget - history) - F.col("system_tokens"), F.lit(64)) / 2
+    rows = rows.withColumn("allowed", F.greatest(F.least(F.lit(history), F.lit(budget - ROOM) - F.col("system_tokens")), F.lit(0)))
+    half = F.greatest(F.lit(budget) - F.col("allowed") - F.col("system_tokens"), F.lit(ROOM)) / 2
     rows = rows.withColumn("big", F.col("cost") > half).withColumn("bucket", F.floor((F.col("prefix") - 1) / half))
     rows = rows.withColumn("bucket", F.greatest("bucket", F.lit(0)))
     opens = (F.col("pos") == 1) | (F.col("bucket") != F.lag("bucket").over(turns)) | F.col("big") | F.lag("big").over(turns)
@@ -70,7 +80,7 @@ def format_chat(conversations: DataFrame, budget: int = 512, history: int = 96,
     uses = [F.struct(F.col("window_id").alias("window_id"), F.lit(2).alias("kind"), F.col("pos").alias("pos"), F.col("role").alias("role"), F.col("text").alias("text"))]
     for k in range(1, history_turns + 1):
         between = F.lead("prefix", k).over(turns) - F.lead("cost", k).over(turns) - F.col("prefix") + F.col("cost")
-        near = F.lead("opens", k).over(turns) & (between <= history) & ~F.col("is_system")
+        near = F.lead("opens", k).over(turns) & (between <= F.col("allowed")) & ~F.col("is_system")
         uses.append(F.when(near, F.struct(F.lead("window_id", k).over(turns).alias("window_id"), F.lit(1).alias("kind"), F.col("pos"), F.col("role"), F.col("text"))))
     head = F.struct(F.col("window_id"), F.lit(0).alias("kind"), F.lit(0).alias("pos"), F.lit("system").alias("role"), F.col("system_text").alias("text"))
     uses.append(F.when(F.col("opens") & (F.col("window_id") > 0) & F.col("system_text").isNotNull(), head))
@@ -99,7 +109,7 @@ def format_chat(conversations: DataFrame, budget: int = 512, history: int = 96,
 
 
 def read_turns(formatted: Column) -> Column:
-    """Array of (role, text) read back from a window."""
+    """Array of (role, text) read back from a window; an empty window has none."""
 
     def turn(piece: Column) -> Column:
         cut = F.instr(piece, ": ")
@@ -110,7 +120,7 @@ def read_turns(formatted: Column) -> Column:
 
 
 def chat_digest(windows: DataFrame) -> DataFrame:
-    """What the windows of each conversation say when read back: all new turns in order, and the text under the loss mask."""
+    """What the windows of each conversation say when read back: all new turns in order, and the text under the loss mask; a row for each conversation, also one without an id."""
     turns = F.slice(read_turns(F.col("formatted")), F.col("n_repeated") + 1, F.greatest("n_turns", F.lit(1)))
     said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learned = F.array_join(F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"]))), "")

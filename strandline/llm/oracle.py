@@ -9,8 +9,8 @@ WITH input AS (
 ), counted AS (
   SELECT *, len(regexp_extract_all(text, '[^ \n\t\r]{1,4}')) + 3 AS tokens,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
-    14 + length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '###', '\h##'), ':', '\c'))
-      + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '###', '\h##')) AS chars
+    14 + length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c'))
+      + length(replace(replace(replace(text, '\', '\b'), '<', '\l'), '#', '\h')) AS chars
   FROM input
 ), costed AS (
   SELECT *, pos = 1 AND role = 'system' AS is_system, CASE WHEN pos = 1 AND role = 'system' THEN 0 ELSE tokens END AS cost FROM counted
@@ -19,8 +19,10 @@ WITH input AS (
     max(CASE WHEN is_system THEN chars END) OVER (PARTITION BY conv_id) AS system_chars,
     sum(cost) OVER (PARTITION BY conv_id ORDER BY pos) AS prefix
   FROM costed
+), allowing AS (
+  SELECT *, greatest(least(96, 512 - 64 - system_tokens), 0) AS allowed FROM opened
 ), halves AS (
-  SELECT *, greatest(512 - 96 - system_tokens, 64) / 2e0 AS half FROM opened
+  SELECT *, greatest(512 - allowed - system_tokens, 64) / 2e0 AS half FROM allowing
 ), bucketed AS (
   SELECT *, cost > half AS big, greatest(floor((prefix - 1) / half), 0) AS bucket FROM halves
 ), marked AS (
@@ -30,10 +32,10 @@ WITH input AS (
   SELECT *,
     CASE WHEN opens AND pos > 1 THEN coalesce(system_chars, 0) ELSE 0 END
     + CASE WHEN is_system THEN 0 ELSE chars * (
-      CASE WHEN lead(opens, 1) OVER c AND lead(prefix - cost, 1) OVER c - prefix + cost <= 96 THEN 1 ELSE 0 END
-      + CASE WHEN lead(opens, 2) OVER c AND lead(prefix - cost, 2) OVER c - prefix + cost <= 96 THEN 1 ELSE 0 END
-      + CASE WHEN lead(opens, 3) OVER c AND lead(prefix - cost, 3) OVER c - prefix + cost <= 96 THEN 1 ELSE 0 END
-      + CASE WHEN lead(opens, 4) OVER c AND lead(prefix - cost, 4) OVER c - prefix + cost <= 96 THEN 1 ELSE 0 END) END AS repeated
+      CASE WHEN lead(opens, 1) OVER c AND lead(prefix - cost, 1) OVER c - prefix + cost <= allowed THEN 1 ELSE 0 END
+      + CASE WHEN lead(opens, 2) OVER c AND lead(prefix - cost, 2) OVER c - prefix + cost <= allowed THEN 1 ELSE 0 END
+      + CASE WHEN lead(opens, 3) OVER c AND lead(prefix - cost, 3) OVER c - prefix + cost <= allowed THEN 1 ELSE 0 END
+      + CASE WHEN lead(opens, 4) OVER c AND lead(prefix - cost, 4) OVER c - prefix + cost <= allowed THEN 1 ELSE 0 END) END AS repeated
   FROM marked WINDOW c AS (PARTITION BY conv_id ORDER BY pos)
 ), whole AS (
   SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
@@ -46,16 +48,18 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(learned) AS B
 FROM whole
 """
 
-#: Brute force over all pairs of the floored vectors.
+#: Brute force over all pairs of the floored vectors; of several rows with a query's id the least asks, and each is an answer of its own.
 TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), asked AS (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x, r) = 1 AS asks FROM v
 ), parts AS (
-  SELECT vec_id, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM v
+  SELECT r, vec_id, asks, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM asked
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
-  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY q.vec_id, c.vec_id
+  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 AND q.asks GROUP BY q.vec_id, c.vec_id, c.r
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 from strandline.llm import chat
 
@@ -26,9 +27,38 @@ def test_reads_back_every_turn(spark):
         assert r["n_turns"] == len(turns)
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in turns).encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+    system = {c: _tokens(t[0][2]) for c, t in by.items() if t[0][1] == "system"}
     for w in windows.collect():
-        assert w["n_tokens"] <= 300 or w["n_turns"] == 1 or w["window_id"] == 0
+        room = max(300 - system.get(w["conv_id"], 0), chat.ROOM)
+        opens = w["window_id"] == 0 and w["conv_id"] in system
+        own = system.get(w["conv_id"], 0) if opens or w["n_repeated"] else 0
+        assert w["n_tokens"] - own <= room or w["n_turns"] - opens == 1
         assert w["n_repeated"] <= 5
+        for piece in w["formatted"].split("</turn>\n")[:-1]:
+            assert piece.startswith("### ") and not re.search("###|</turn>", piece[4:])
+
+
+def _tokens(text):
+    return len(re.findall("[^ \n\t\r]{1,4}", text)) + chat.MARKS
+
+
+def test_budget_with_a_long_system_turn(spark):
+    rows = []
+    for c, long in enumerate((0, 100, 300, 380, 440, 453, 600)):
+        rows += [(c, 0, "system", "word " * long)] + [(c, t, ["assistant", "user"][t % 2], "turn " * 30) for t in range(1, 40)]
+    for w in chat.format_chat(spark.createDataFrame(rows, SCHEMA)).collect():
+        long = (0, 100, 300, 380, 440, 453, 600)[w["conv_id"]] + chat.MARKS
+        assert w["n_tokens"] <= max(512, long + chat.ROOM) and w["n_turns"] - (w["window_id"] == 0) <= 13
+
+
+def test_many_turns_and_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.lit(1).cast("bigint").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.element_at(F.array(F.lit("user"), F.lit("assistant")), (F.col("id") % 2 + 1).cast("int")).alias("role"), F.concat(F.lit("## "), F.col("id").cast("string")).alias("text"))
+    clash = rows.withColumns({c: F.lit("x") for c in ("pos", "tokens", "cost", "prefix", "uses", "u", "parts", "window_id", "opens", "allowed", "formatted", "loss", "bucket")})
+    found = chat.chat_digest(chat.format_chat(clash)).first()
+    learned = "".join(f"## {k}" for k in range(1, 20_000, 2))
+    assert found["n_turns"] == 20_000 and found["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
 
 
 def test_windows_keep_system_and_history(spark):
