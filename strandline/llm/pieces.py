@@ -189,7 +189,7 @@ class Codec:
         return text[1:] if text[:1] == " " else text
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
 def _codec(sent) -> Codec:
@@ -203,7 +203,7 @@ def _codec(sent) -> Codec:
 class _Sent(NamedTuple):
     """A broadcast vocabulary and a name for it."""
 
-    id: int
+    id: str
     held: object
 
     @property
@@ -212,7 +212,8 @@ class _Sent(NamedTuple):
 
 
 def _send(df: DataFrame, vocabulary: Vocabulary) -> _Sent:
-    return _Sent(hash((len(vocabulary.pieces), tuple(vocabulary.scores[:100]), vocabulary.kinds)), df.sparkSession.sparkContext.broadcast(vocabulary))
+    name = hashlib.sha256(repr((vocabulary.pieces, vocabulary.scores, vocabulary.kinds)).encode("utf-8", "surrogatepass")).hexdigest()
+    return _Sent(name, df.sparkSession.sparkContext.broadcast(vocabulary))
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +223,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the array ``into`` of piece ids after its own columns; a null text has none.  The vocabulary (a fixed file) is broadcast."""
+    """``docs`` with the array ``into`` of piece ids after its own columns.
+
+    Null and empty texts have an empty array; of equally good paths the one
+    whose last piece is the longest wins, at each place; repeated rows are
+    encoded alike, an empty table gives none, and columns of any name stay but
+    one named ``into``, which is replaced.  The vocabulary (a fixed file) is
+    broadcast.
+    """
     rows = docs.drop(into)
     sent, place = _send(docs, vocabulary), rows.columns.index(text_col)
     schema = StructType([*rows.schema.fields, StructField(into, ArrayType(IntegerType()))])
@@ -239,7 +247,7 @@ def encode_pieces(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text
 
 
 def decode_pieces(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-    """``docs`` with the text ``into`` of the ids after its own columns; null ids give an empty text."""
+    """``docs`` with the text ``into`` of the ids after its own columns; null and no ids give an empty text, and a column named ``into`` is replaced."""
     rows = docs.drop(into)
     sent, place = _send(docs, vocabulary), rows.columns.index(ids_col)
     schema = StructType([*rows.schema.fields, StructField(into, StringType())])
@@ -256,7 +264,8 @@ def decode_pieces(docs: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids",
 def pieces_digest(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Of each document: characters, tokens, byte tokens, SHA-256 of the ids (32-bit little endian), and whether decoding gave the text back.
 
-    Encoding and decoding share one pass, so the ids stay in the worker.
+    Encoding and decoding share one pass, so the ids stay in the worker.  A row
+    for each row; null and empty texts have no tokens and come back empty.
     """
     sent = _send(docs, vocabulary)
     rows = docs.select(docs["doc_id"].cast("string").alias("id"), docs["text"].cast("string").alias("text"))

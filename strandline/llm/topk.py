@@ -67,7 +67,7 @@ class BallTree:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products of the rows; beyond 64 bits they stop at the ends of the range."""
+    """Exact integer inner products of the rows; beyond 64 bits they stop at the ends of the range, as ``top_k`` says."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
@@ -173,7 +173,11 @@ def _top(found: DataFrame, k: int) -> DataFrame:
 
 
 def grid_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``(vec_id, v array<bigint>)``: floor(64 * x) of each component, x as double; rows with a null id, a null vector, or a null or non-finite component are left out."""
+    """``(vec_id, v array<bigint>)``: floor(64 * x) of each component, x as double; rows with a null id, a null vector, or a null or non-finite component are left out.
+
+    A component whose floor is beyond 64 bits becomes the nearest 64-bit number.
+    Empty vectors, repeated rows and ids stay; an empty table gives no rows.
+    """
     rows = table.select(table[id_col].cast("bigint").alias("vec_id"), table[vector_col].cast("array<double>").alias("x"))
     usable = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return rows.filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & usable).select("vec_id", F.transform("x", lambda x: F.floor(x * 64).cast("bigint")).alias("v"))
@@ -184,9 +188,14 @@ def top_k(rows: DataFrame, is_query, k: int = 20, block: int = BLOCK) -> DataFra
 
     Exact, ties go to the smaller id, and a query meets every row but those of
     its own id.  Vectors of unequal length are filled with zeros; if several
-    rows share a query's id, the least vector asks.  Queries go in blocks of
-    about ``block`` by a hash of their id, each collected, broadcast and
-    searched with one pass over the rows.
+    rows share a query's id, the least vector asks, and rows that share a
+    candidate's id are answers each.  A score stops at 2 - 2**63 and
+    2**63 - 1, and scores at the same end tie; that needs components of over
+    2**31 or so.  A query without other rows has no
+    answer, and an empty table none.  Queries go in blocks of about ``block`` by
+    a hash of their id, each collected, broadcast and searched with one pass over
+    the rows; a pass builds its trees again, which takes a small part of the time
+    that a full block takes to search them.
     """
     picked = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), F.count_distinct(F.when(is_query, F.col("vec_id"))).alias("queries")).first()

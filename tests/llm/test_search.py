@@ -48,6 +48,15 @@ def test_unigram_scores_are_kept():
     assert codec.encode("ab b").tolist()[:2] == [1, 2] and codec.decode(codec.encode("ab b é").tolist()) == "ab b é"
 
 
+def test_vocabularies_do_not_mix(spark, docs_of):
+    base = [*(f"<0x{b:02X}>" for b in range(256))]
+    one = pieces.Vocabulary([*base, "▁", "x", "ab"], [0.0] * 256 + [-1.0, -2.0, -2.0], "b" * 256 + "nnn")
+    two = pieces.Vocabulary([*base, "▁", "y", "cd"], [0.0] * 256 + [-1.0, -2.0, -2.0], "b" * 256 + "nnn")
+    rows = docs_of([(k, "ab cd") for k in range(8)]).select("doc_id", "text").repartition(2)
+    for v in (one, two, one):  # workers are used again
+        assert {tuple(r["ids"]) for r in pieces.encode_pieces(rows, v).collect()} == {tuple(pieces.Codec(v).encode("ab cd").tolist())}
+
+
 def _brute(rows, queries, k):
     out = {}
     for q, x in queries.items():
@@ -82,6 +91,18 @@ def test_top_k_of_few(spark):
     assert topk._products(np.array([[2**62]]), np.array([[4]]))[0, 0] == 2**63 - 1
 
 
+def test_top_k_with_repeated_ids_and_wide_scores(spark):
+    rows = [(0, [3.0, 1.0]), (0, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0]), (20, [1e30, -1e30]), (40, [1e30, 0.0]), (60, [1e30, 1.0]), (2, None)]
+    grid = topk.grid_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"))
+    found = {}
+    for r in topk.top_k(grid, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    top = 2**63 - 1
+    # [1, 2] asks for id 0; what is beyond 64 bits stops there and ties by id
+    assert found[0] == [(40, top), (60, top), (1, 2 * 64 * 64), (1, 2 * 64 * 64), (1, 64 * 64), (20, 1 - top)]
+    assert [v for v, _ in found[40]] == [20, 60, 0, 0, 1, 1, 1] and found[40][0][1] == found[40][1][1] == top
+
+
 def _edited(text, edits, rng):
     s = list(text)
     for _ in range(edits):
