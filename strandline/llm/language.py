@@ -47,14 +47,23 @@ def declared_language(page: str | None) -> str:
     return next((found[1].lower() for found in tags if found), "")
 
 
+# fixed values: labels under which countries' registries give out names
+_SECOND = {"ac", "co", "com", "edu", "gov", "net", "org"}
+
+
 def address(url: str | None) -> tuple[str, str, str]:
-    """Host, its last two labels, and its last label; empty strings if there is none."""
+    """Host, its domain, and its last label; empty strings if there is none.
+
+    The domain is the last two labels, or three where the last is a country's and
+    the one before it a general one, so that hosts under ``co.uk`` are not one.
+    """
     try:
         host = (urlsplit(url or "").hostname or "").strip(".")
     except ValueError:
         host = ""
     labels = host.split(".")
-    return host, ".".join(labels[-2:]), labels[-1]
+    own = 3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in _SECOND else 2
+    return host, ".".join(labels[-own:]), labels[-1]
 
 
 def gram_buckets(text: str) -> np.ndarray:
@@ -93,7 +102,9 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = M
     """Fit on at most ``per_language`` texts of every ``lang`` value, picked by a hash of doc_id.
 
     Longer texts than ``most_chars`` give their start, and only where a
-    language has too few others.
+    language has too few others.  Rows without a text, language or id are passed
+    over, repeated ones count as often; without any row there is one language,
+    ``und``.
     """
     known = docs.filter("lang is not null and doc_id is not null and text is not null")
     rows = known.select("doc_id", "lang", (F.char_length("text") > most_chars).alias("long"))
@@ -104,7 +115,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = M
 
 
 def page_evidence(pages: DataFrame, model: Model) -> DataFrame:
-    """``(page_id, host, domain, suffix, declared, ll array<double>)`` of every page."""
+    """``(page_id, host, domain, suffix, declared, ll array<double>)`` of every page, whatever other columns there are; null pages and addresses give empty texts and zeros."""
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,8 +142,10 @@ def page_languages(pages: DataFrame, model: Model) -> DataFrame:
 
     A page's own share is taken out of its host's and domain's sums, so that it
     does not count twice.  Null or empty pages and addresses give no evidence of
-    their kind; equal posteriors go to the first language by name; repeated rows
-    come back as often; an empty table gives none.
+    their kind: a page without an address has the whole table's prior, and other
+    such pages do not tell of it.  Equal posteriors go to the first language by
+    name; repeated rows come back as often and count as often; an empty table
+    gives none; other columns are left aside.
     """
     n = range(len(model.languages))
     seen = checkpoint(page_evidence(pages, model))
@@ -149,7 +162,8 @@ def page_languages(pages: DataFrame, model: Model) -> DataFrame:
         base = (total + 1) / (F.col("all_n") + len(n))
         domain = (F.col(f"o{k}") - own + PRIOR_PAGES * base) / (F.col("o_n") - 1 + PRIOR_PAGES)
         host = (F.col(f"h{k}") - own + PRIOR_PAGES * domain) / (F.col("h_n") - 1 + PRIOR_PAGES)
-        value = F.col("ll")[k] + F.log(F.greatest(host, F.lit(1e-9)))
+        prior = F.when(F.col("host") == "", base).otherwise(host)
+        value = F.col("ll")[k] + F.log(F.greatest(prior, F.lit(1e-9)))
         for prefix, key in (("d", "declared"), ("s", "suffix")):
             cell = (F.col(f"{prefix}{k}") - own + CELL * F.col(f"{prefix}_n") / F.col("all_n")) / (total - own + CELL)
             value = value + F.when(F.col(key) == "", 0.0).otherwise(F.log(F.greatest(cell, F.lit(1e-9))))

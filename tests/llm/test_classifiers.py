@@ -151,10 +151,57 @@ def test_language_fuses_evidence(spark):
     assert language.page_languages(spark.createDataFrame([], "page_id bigint, url string, html string"), model).count() == 0
 
 
+def _posterior(pages, model):
+    """Every page's posterior by a loop over all others."""
+    seen = [(*language.address(u), language.declared_language(h), model.log_likelihoods(language.visible_text(h))) for _, u, h in pages]
+    soft = [np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum() for *_, ll in seen]
+    n, whole, out = len(model.languages), sum(soft), []
+    for i, (host, domain, suffix, declared, ll) in enumerate(seen):
+        others = lambda place, value, i=i: [soft[j] for j in range(len(seen)) if j != i and seen[j][place] == value]
+        prior = base = (whole + 1) / (len(seen) + n)
+        if host:
+            for place, value in ((1, domain), (0, host)):
+                held = others(place, value)
+                prior = (sum(held, np.zeros(n)) + language.PRIOR_PAGES * prior) / (len(held) + language.PRIOR_PAGES)
+        value = ll + np.log(prior)
+        for place, key in ((3, declared), (2, suffix)):
+            if key:
+                held = others(place, key)
+                value = value + np.log((sum(held, np.zeros(n)) + language.CELL * (len(held) + 1) / len(seen)) / (whole - soft[i] + language.CELL))
+        out.append(np.exp(value - value.max()) / np.exp(value - value.max()).sum())
+    return out
+
+
+def test_language_matches_a_loop_over_all_pages(spark):
+    rng = random.Random(11)
+    model = language.fit([(lang, " ".join(rng.choice(LANGS[lang]) for _ in range(50))) for lang in LANGS for _ in range(3)] + [("cc", "zorp quill")])
+    urls = [None, "", "bad url", "http://a.x.aa", "http://b.x.aa/1", "http://y.co.bb", "http://z.y.co.bb", "http://w.v.co.bb", "http://q"]
+    pages = []
+    for k in range(120):
+        lang = rng.choice(["aa", "bb"])
+        body = " ".join(rng.choice(LANGS[lang]) for _ in range(rng.choice([0, 2, 9])))
+        pages.append((k, rng.choice(urls), rng.choice([None, "", f"<html lang={rng.choice(['aa', 'bb', 'xx'])}>{body}", body, "<!--" + "-" * 7000 + f"--><html lang={lang}>{body}"])))
+    pages += pages[:5] + [(None, None, "x" * 100_000)]
+    frame = spark.createDataFrame([(*p, "a", "b", "c", "d") for p in pages], "page_id bigint, url string, html string, host string, ll string, p0 string, all_n string")
+    found = language.page_languages(frame, model).collect()
+    wanted = [(repr(p[0]), model.languages[int(np.argmax(q))], round(float(q.max()), 6)) for p, q in zip(pages, _posterior(pages, model), strict=True)]
+    assert sorted((repr(r["page_id"]), r["lang"], round(r["probability"], 6)) for r in found) == sorted(wanted)
+
+
+def test_pages_without_address_do_not_tell_of_each_other(spark):
+    model = language.fit([("aa", "bata goto"), ("bb", "krisp drong")])
+    pages = [(k, None, "krisp drong krisp drong krisp drong " * 20) for k in range(30)] + [(99, None, None)]
+    found = {r["page_id"]: r for r in language.page_languages(spark.createDataFrame(pages, "page_id bigint, url string, html string"), model).collect()}
+    base = (30 + 1) / (31 + 2)  # the table's own shares only
+    assert found[99]["probability"] == pytest.approx(base, abs=0.03) and found[1]["lang"] == "bb"
+    even = language.page_languages(spark.createDataFrame([(1, None, None), (2, "", "")], "page_id bigint, url string, html string"), model).collect()
+    assert {(r["lang"], r["probability"]) for r in even} == {("aa", 0.5)}  # a tie
+
+
 def test_language_parts():
     assert language.visible_text("a<!-- x --><style>b</style><b>c</b>&lt;<script>unclosed") == "a  \xa0c <".replace("\xa0", " ") or "unclosed" not in language.visible_text("a<script>unclosed")
     assert language.declared_language('<HTML class="x" lang=EN-us>') == "en" and language.declared_language(None) == ""
-    assert language.address("https://a.b.co.uk:80/x") == ("a.b.co.uk", "co.uk", "uk") and language.address(None) == ("", "", "")
+    assert language.address("https://a.b.co.uk:80/x") == ("a.b.co.uk", "b.co.uk", "uk") and language.address("http://x.y.com/") == ("x.y.com", "y.com", "com") and language.address("//co.uk") == ("co.uk", "co.uk", "uk") and language.address(None) == ("", "", "")
 
 
 def test_language_training_from_table(spark):
