@@ -1,14 +1,16 @@
 """Benchmark passages in documents: the q-gram lemma filters, banded alignment verifies.
 
 An item of m characters that occurs with at most k edits shares at least
-m - q + 1 - k q of its q-grams with the text, all of them on diagonals (text
-position less item position) that lie within k of each other.  Shared q-grams
-are counted in overlapping bands of diagonals; bands that reach the bound are
-aligned with the item.
+m - q + 1 - k q of its q-grams with the text, at as many places of the text and
+all of them on diagonals (text position less item position) that lie within k of
+each other.  Places with a shared q-gram are counted in overlapping bands of
+diagonals; bands that reach the bound are aligned with the item.  Where an item
+repeats a q-gram its places form runs, so a repetitive text costs as much as any.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,6 +24,8 @@ Q = 8
 EDITS = 0.08
 #: Characters of text that are filtered at once, and characters of benchmark items in one broadcast part.
 AT_ONCE, PART_CHARS = 1_000_000, 4_000_000
+#: Runs of shared q-grams that are counted at once, and characters of the regions whose alignments are remembered.
+RUNS, MEMO = 1_000_000, 4_000_000
 _TABLE_BITS = 21
 
 
@@ -100,17 +104,43 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return (edits, int(row[at] & (unit - 1)), int(ends[at])) if edits <= most else None
 
 
+def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the values of each key, keys rising, sums of 0 left out."""
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(value, first) if len(key) else value
+    return key[first][total != 0], total[total != 0]
+
+
+def apart(found: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(row, item, start, end, edits), without what overlaps a better one of the same row and item: fewer edits, then the first start."""
+    out, own, starts, ends = [], None, [], []
+    for hit in sorted(set(found), key=lambda f: (f[0], f[1], f[4], f[2], f[3])):
+        row, item, start, end, _ = hit
+        if (row, item) != own:
+            own, starts, ends = (row, item), [], []
+        k = bisect_left(starts, start)
+        if (k == 0 or ends[k - 1] <= start) and (k == len(starts) or starts[k] >= end):
+            starts.insert(k, start)
+            ends.insert(k, end)
+            out.append(hit)
+    return sorted(out)
+
+
 @dataclass
 class Index:
-    """The q-grams of benchmark items, with their places."""
+    """The q-grams of benchmark items, with the runs of their places."""
 
     ids: list[int]
     items: list[np.ndarray]
     memo: dict = field(default_factory=dict, repr=False)
+    held: int = 0
 
     def __post_init__(self) -> None:
-        self.budgets = [budget(len(x)) for x in self.items]
-        self.need = np.array([len(x) - Q + 1 - k * Q for x, k in zip(self.items, self.budgets, strict=True)], dtype=np.int64)
+        self.budgets = np.array([budget(len(x)) for x in self.items], dtype=np.int64)
+        self.wide = self.budgets + 1
+        self.need = np.array([len(x) - Q + 1 - k * Q for x, k in zip(self.items, self.budgets.tolist(), strict=True)], dtype=np.int64)
         self.short = [k for k, x in enumerate(self.items) if 0 < len(x) < Q]
         long = [k for k, x in enumerate(self.items) if len(x) >= Q]
         grams = [gram_hashes(self.items[k]) for k in long]
@@ -118,17 +148,41 @@ class Index:
         owner = np.repeat(np.array(long, dtype=np.int64), [len(g) for g in grams])
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
         order = np.argsort(flat, kind="stable")
-        self.owner, self.place = owner[order], place[order]
-        self.grams, self.first = np.unique(flat[order], return_index=True)
-        self.times = np.diff([*self.first, len(flat)])
+        flat, owner, place = flat[order], owner[order], place[order]
+        # places of a gram no farther apart than a band is wide are one run: a band that meets the run meets a place
+        starts = np.ones(len(flat), dtype=bool)
+        starts[1:] = (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]) | (np.diff(place) > 2 * self.wide[owner[1:]])
+        begin = np.flatnonzero(starts)
+        self.owner, self.low, self.high = owner[begin], place[begin], place[np.append(begin[1:], len(flat))[: len(begin)] - 1]
+        self.grams, self.first = np.unique(flat[begin], return_index=True)
+        self.times = np.diff([*self.first, len(begin)])
         self.table = np.zeros(1 << _TABLE_BITS, dtype=bool)
         self.table[self.grams >> np.uint64(64 - _TABLE_BITS)] = True
         self.least = int(self.need[long].min()) if long else 0
-        self.reach = max((len(self.items[k]) + 2 * self.budgets[k] for k in long), default=0)
+        self.reach = max((len(self.items[k]) + 2 * int(self.budgets[k]) for k in long), default=0)
         self.longest = max(map(len, self.items), default=0)
 
+    def _steps(self, at: np.ndarray, slot: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where, along (item, band), the number of places with a shared q-gram changes, and by how much."""
+        keys, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ends = np.cumsum(self.times[slot])
+        low = 0
+        while low < len(at):
+            done = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, done + RUNS, side="right")))
+            times = self.times[slot[low:high]]
+            run = np.repeat(self.first[slot[low:high]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            item, place = self.owner[run], np.repeat(at[low:high], times)
+            key = item * 2 * span + span
+            steps = [key + (place - self.high[run]) // self.wide[item] - 1, key + (place - self.low[run]) // self.wide[item] + 1]
+            key, value = _summed(np.concatenate(steps), np.repeat([1, -1], len(run)))
+            keys.append(key)
+            values.append(value)
+            low = high
+        return _summed(np.concatenate(keys), np.concatenate(values))
+
     def bands(self, x: np.ndarray) -> np.ndarray:
-        """(item, first diagonal) of the bands of a folded text that hold enough shared q-grams."""
+        """(item, first diagonal) of the bands of a folded text that hold enough places with a shared q-gram."""
         none = np.zeros((0, 2), dtype=np.int64)
         if len(x) < Q or not len(self.grams):
             return none
@@ -149,53 +203,47 @@ class Index:
         at, slot = at[near], slot[near]
         if not len(at):
             return none
-        times = self.times[slot]
-        post = np.repeat(self.first[slot] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        item, diagonal = self.owner[post], np.repeat(at, times) - self.place[post]
-        wide = np.array(self.budgets, dtype=np.int64)[item] + 1
-        band = np.floor_divide(diagonal, wide)
-        span = len(x) + self.longest + 2
-        key = np.concatenate([item * 2 * span + band + span, item * 2 * span + band - 1 + span])
-        key, count = np.unique(key, return_counts=True)
-        item, band = key // (2 * span), key % (2 * span) - span
-        enough = count >= self.need[item]
-        item, band = item[enough], band[enough]
-        return np.stack([item, band * (np.array(self.budgets, dtype=np.int64)[item] + 1)], axis=1)
+        span = len(x) + self.longest + 3
+        key, step = self._steps(at, slot, span)
+        enough = np.flatnonzero(np.cumsum(step) >= self.need[key // (2 * span)])
+        # from each step to the next one the count is the same
+        size = key[enough + 1] - key[enough]
+        key = np.repeat(key[enough] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        item = key // (2 * span)
+        return np.stack([item, (key % (2 * span) - span) * self.wide[item]], axis=1)
 
     def aligned(self, item: int, region: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
         key = (item, low, high, region.tobytes())
         if key not in self.memo:
-            if len(self.memo) > 5000:
+            if self.held > MEMO:
                 self.memo.clear()
-            self.memo[key] = align(self.items[item], region, low, high, self.budgets[item])
+                self.held = 0
+            self.held += len(region)
+            self.memo[key] = align(self.items[item], region, low, high, int(self.budgets[item]))
         return self.memo[key]
 
-    def matches(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of the occurrences in a folded text; of those of an item that overlap, the best."""
-        found = []
+    def matches(self, x: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of the occurrences in a folded text that the bands and the short items show."""
+        found = set()
         for item, first in self.bands(x).tolist():
-            m, k = len(self.items[item]), self.budgets[item]
+            m, k = len(self.items[item]), int(self.budgets[item])
             low = max(0, first - k)  # an alignment leaves its own q-grams' diagonals by k at most
             high = min(len(x), first + 2 * (k + 1) + k + m)
             hit = self.aligned(item, x[low:high], first - k - low, first + 2 * (k + 1) + k - low)
             if hit:
-                found.append((item, hit[1] + low, hit[2] + low, hit[0]))
+                found.add((item, hit[1] + low, hit[2] + low, hit[0]))
         for item in self.short:
             text, part = x.tobytes(), self.items[item].tobytes()
             at = text.find(part)
             while at >= 0:
                 if at % 4 == 0:
-                    found.append((item, at // 4, at // 4 + len(self.items[item]), 0))
+                    found.add((item, at // 4, at // 4 + len(self.items[item]), 0))
                 at = text.find(part, at + 1)
-        best: list[tuple[int, int, int, int]] = []
-        for hit in sorted(found, key=lambda f: (f[0], f[3], f[1])):
-            if not any(b[0] == hit[0] and b[1] < hit[2] and hit[1] < b[2] for b in best if b[0] == hit[0]):
-                best.append(hit)
-        return best
+        return found
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, start, end, edits) over many texts; long ones are cut into pieces that overlap by more than the longest match."""
-        out, overlap = [], self.longest + 4 * max(self.budgets, default=0) + Q
+        """(row, item, start, end, edits) over many texts, the best of those of an item that overlap; long texts are cut into pieces that overlap by more than the longest match."""
+        out, overlap = [], self.longest + 4 * int(self.budgets.max(initial=0)) + Q
         held: list[tuple[int, int, np.ndarray]] = []
         total = 0
 
@@ -206,15 +254,17 @@ class Index:
             gap = np.zeros(Q, dtype=np.uint32)
             whole = np.concatenate([y for _, _, x in held for y in (x, gap)])
             begin = np.cumsum([0, *(len(x) + Q for _, _, x in held)])[:-1]
-            bands = self.bands(whole)
-            if self.short:
-                keep = np.arange(len(held))
-            else:
+            keep = np.arange(len(held))
+            if not self.short:
                 # a band may begin before its text and end after it
-                low = np.searchsorted(begin, bands[:, 1] - self.longest, side="right") - 1
-                high = np.searchsorted(begin, bands[:, 1] + 2 * self.longest, side="right") - 1
-                keep = np.unique(np.concatenate([np.arange(max(a, 0), b + 1) for a, b in zip(low, high, strict=True)] + [np.zeros(0, np.int64)]))
-            for k in keep:
+                first = np.unique(self.bands(whole)[:, 1])
+                low = np.maximum(np.searchsorted(begin, first - self.longest, side="right") - 1, 0)
+                high = np.searchsorted(begin, first + 2 * self.longest, side="right") - 1
+                near = np.zeros(len(held) + 1, dtype=np.int64)
+                np.add.at(near, low, 1)
+                np.add.at(near, high + 1, -1)
+                keep = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+            for k in keep.tolist():
                 row, offset, x = held[k]
                 out.extend((row, item, start + offset, end + offset, edits) for item, start, end, edits in self.matches(x))
             held.clear()
@@ -229,7 +279,7 @@ class Index:
                     flush()
                     total = 0
         flush()
-        return sorted(set(out))
+        return apart(out)
 
 
 def _parts(benchmark: DataFrame) -> tuple[DataFrame, int]:
@@ -252,7 +302,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     with the fewest edits stays.  Benchmarks go in parts of about ``PART_CHARS``
     characters by a hash of the item, each collected, broadcast and searched
     with one pass over the documents.  Null and empty texts hold nothing;
-    repeated rows give repeated occurrences.
+    repeated rows give repeated occurrences, repeated items count once, an empty
+    table on either side gives none, and other columns are left aside.  Long
+    texts go in pieces of ``AT_ONCE`` characters, whose memory does not depend on
+    how often a text repeats an item's q-grams.
     """
     items, parts = _parts(benchmark)
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"))
@@ -274,7 +327,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; one filter over the rows for each part of the benchmark, and no shuffle."""
+    """``docs`` without the rows whose text holds a benchmark item, as ``contaminated`` finds them.
+
+    One filter over the rows for each part of the benchmark, and no shuffle.
+    Rows with a null or empty text stay, so do repeated rows and columns of any
+    name; without items all rows stay.
+    """
     items, parts = _parts(benchmark)
     for part in range(parts):
         docs = docs.filter(_clean(_broadcast(docs, items, part, parts))(docs[text_col]))

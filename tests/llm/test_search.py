@@ -167,6 +167,51 @@ def test_alignment_matches_full_table(words):
         assert found[0] == _edit_distance(item, text)
 
 
+def test_filter_loses_no_occurrence(monkeypatch):
+    """Index and brute force agree on which items occur, over few letters, so that q-grams repeat."""
+    rng = random.Random(12)
+    monkeypatch.setattr(decontaminate, "RUNS", 50)
+    found = 0
+    for _ in range(60):
+        letters = rng.choice(["ab", "-", "-=", "abcd", "abcdefgh"])
+        items = ["".join(rng.choice(letters) for _ in range(rng.randrange(8, 70))) for _ in range(4)]
+        items.append((rng.choice(letters) + rng.choice(letters)) * 20)
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 200)))]
+        for item in items:
+            body = "".join(rng.choice(letters + "xyz") for _ in range(60))
+            texts.append(body[:30] + _edited(item, rng.randrange(decontaminate.budget(len(item)) + 3), rng) + body[30:])
+        index = decontaminate.Index(list(range(len(items))), [decontaminate.codes(x) for x in items])
+        got = index.search(texts)
+        wanted = {(r, k) for r, t in enumerate(texts) for k, x in enumerate(items) if _edit_distance(x, t) <= decontaminate.budget(len(x))}
+        assert {(r, k) for r, k, *_ in got} == wanted
+        found += len(wanted)
+        for r, k, start, end, edits in got:
+            assert _edit_distance(items[k], texts[r][start:end]) <= edits <= decontaminate.budget(len(items[k]))
+        spans = {}
+        for r, k, start, end, _ in got:
+            assert all(end <= a or b <= start for a, b in spans.get((r, k), []))
+            spans.setdefault((r, k), []).append((start, end))
+    assert found > 200
+
+
+def test_repetitive_long_texts_take_bounded_memory():
+    import time
+    import tracemalloc
+
+    items = ["-" * 300, "-=" * 100, "a line -------------------- of marks " * 8]
+    index = decontaminate.Index([0, 1, 2], [decontaminate.codes(x) for x in items])
+    took = []
+    for n in (250_000, 1_000_000):
+        tracemalloc.start()
+        began = time.time()
+        found = index.search(["-" * n, "=-" * (n // 2)])
+        took.append(time.time() - began)
+        assert tracemalloc.get_traced_memory()[1] < 1e9
+        tracemalloc.stop()
+        assert sum(f[0] == 0 and f[1] == 0 for f in found) >= n // 330 and sum(f[0] == 1 and f[1] == 1 for f in found) >= n // 240
+    assert took[1] < 120 and took[1] < 8 * took[0] + 5
+
+
 def test_parts_of_the_benchmark_give_the_same(spark, docs_of, words, monkeypatch):
     items = [(k, " ".join(words(50 + k, 30))) for k in range(12)]
     bench, docs = spark.createDataFrame(items, "item_id int, text string"), docs_of([(k, t) for k, t in items])
