@@ -50,10 +50,10 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     begin = np.cumsum(sizes) - sizes
     b = np.frombuffer(blob + b"\0\0\0", dtype=np.uint8).astype(np.uint64)
     n = len(blob)
+    left = np.repeat(begin + sizes, sizes) - np.arange(n)  # bytes of the word from here on
     two = b[:-1] * np.uint64(257) + b[1:]
-    three = two[:n] * np.uint64(263) + b[2 : n + 2]
+    three = two[:n] * np.uint64(263) + np.where(left >= 3, b[2 : n + 2], np.uint64(0))  # the empty word is shorter
     four = three * np.uint64(269) + b[3 : n + 3]
-    left = np.repeat(begin + sizes, sizes) - np.arange(n)  # bytes of the word from here on
     mix = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
     grams = np.stack([mix(three) % np.uint64(GRAMS // 2), mix(four) % np.uint64(GRAMS // 2) + np.uint64(GRAMS // 2)], axis=1).astype(np.int64)
     ok = np.stack([(left >= 3) | (left == np.repeat(sizes, sizes)), left >= 4], axis=1)
@@ -386,7 +386,7 @@ def fit(sample: list[tuple[str, int]], share: float, seed: int = 7) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, most_chars: int = MOST_CHARS) -> Model:
-    """Fit on at most ``per_class`` labelled rows of label 0 and of label 1, of ids whose crc32 modulo 4 is not 2."""
+    """Fit on at most ``per_class`` labelled rows of label 0 and of label 1, of ids whose crc32 modulo 4 is not 2; null ids and labels are passed over, texts of over ``most_chars`` too."""
     sample, share = labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), 4) != 2, per_class, most_chars)
     return fit(sample, share)
 
@@ -410,13 +410,23 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Train, then score every row: ``(doc_id, held_out, score, predicted)``."""
+    """Train, then score every row: ``(doc_id, held_out, score, predicted)``.
+
+    Null and empty texts get a score too, a null id is not held out, repeated
+    rows give equal rows, an empty table none, and other columns are left aside;
+    a score of exactly ``THRESHOLD`` is predicted as 1.
+    """
     scored = score_toxicity(docs, train(docs, labels))
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that score ``THRESHOLD`` or more; trains on the labelled ones among them."""
+    """``docs`` without the rows that score ``THRESHOLD`` or more; trains on the labelled ones among them.
+
+    Null and empty texts are scored as one empty word, repeated rows stay or go
+    together, columns of any name stay, an empty table stays empty; without
+    labels of both kinds no row goes.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     @F.pandas_udf("double")

@@ -35,6 +35,38 @@ def test_toxicity_learns_and_edges_are_scored(spark, docs_of, words):
     assert np.allclose(model.scores([rows[0][0]]), score[:1], atol=1e-5)
 
 
+def test_scores_match_a_plain_forward_pass(words):
+    """Every window of a text on its own, one word and one gate after another."""
+    model = toxicity.fit(_toxic_rows(words, 120, 4), 1 / 3)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def run(xs, side):
+        h, out = np.zeros(toxicity.HIDDEN), []
+        for x in xs:
+            a, r = x @ p[f"in_{side}"] + p[f"bias_{side}"], h @ p[f"rec_{side}"]
+            n = toxicity.HIDDEN
+            reset, keep = sigmoid(a[:n] + r[:n]), sigmoid(a[n : 2 * n] + r[n : 2 * n])
+            new = np.tanh(a[2 * n :] + reset * r[2 * n :])
+            h = keep * h + (1 - keep) * new
+            out.append(h)
+        return out
+
+    def score(text):
+        own, best = toxicity.words_of(text), -np.inf
+        starts = [0] if len(own) <= toxicity.LENGTH else [*range(0, len(own) - toxicity.LENGTH, toxicity.STRIDE), len(own) - toxicity.LENGTH]
+        for s in starts:
+            xs = [model.embed([w])[0, :-1].astype(np.float64) for w in own[s : s + toxicity.LENGTH]]
+            h = np.array([np.concatenate(pair) for pair in zip(run(xs, "f"), run(xs[::-1], "b")[::-1], strict=True)])
+            e = np.array([np.tanh(v @ p["att"]) @ p["att_v"] for v in h])
+            w = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+            best = max(best, (w @ h) @ p["out"] + p["out_b"][0])
+        return sigmoid(model.slope * best + model.shift)
+
+    texts = [t for t, _ in _toxic_rows(words, 12, 5)] + [None, "", "one", " ".join(words(9, 33)), " ".join(words(8, 200))]
+    assert model.scores(texts) == pytest.approx([score(t) for t in texts], abs=1e-4)
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     p = toxicity._start(rng)
@@ -112,6 +144,56 @@ def test_forward_backward_matches_enumeration():
         at += n
 
 
+def test_long_chains_are_cut_without_a_difference():
+    rng = np.random.default_rng(5)
+    counts = np.array([700, 1, 4, 300_000, 513, 512, 1024, 1025])
+    unary, trans = rng.normal(size=counts.sum()) * 2, rng.normal(size=(2, 2))
+    forward, backward = quality._chain(unary, trans, counts)
+    old, quality.PIECE = quality.PIECE, 10**9
+    try:
+        whole = quality._chain(unary, trans, counts)
+    finally:
+        quality.PIECE = old
+    assert np.allclose(forward, whole[0], atol=1e-9) and np.allclose(backward, whole[1], atol=1e-9)
+
+
+def test_features_do_not_depend_on_blocks(words, monkeypatch):
+    texts = [t for t, _ in _quality_rows(words, 40, 9)] + ["", None, "\n\n", "one\none\none\n"]
+    whole = quality.line_features(texts)
+    monkeypatch.setattr(quality, "LINES_AT_ONCE", 3)
+    for a, b in zip(whole, quality.line_features(texts), strict=True):
+        assert np.array_equal(a, b)
+    monkeypatch.setattr(quality, "AT_ONCE", 40)
+    assert np.array_equal(whole[0], quality.line_features(texts)[0])
+
+
+def test_a_million_lines_take_bounded_memory(words):
+    import time
+    import tracemalloc
+
+    model = quality.fit(_quality_rows(words, 60, 1), 2 / 3)
+    for text in ("\n" * 1_000_000, "a line.\n" * 400_000):
+        tracemalloc.start()
+        began = time.time()
+        score = model.scores([text])
+        assert 0 <= score[0] <= 1 and time.time() - began < 60 and tracemalloc.get_traced_memory()[1] < 5e8
+        tracemalloc.stop()
+
+
+def test_quality_of_ties_and_clashing_columns(spark, docs_of, words):
+    rows = [(k, t) for k, (t, _) in enumerate(_quality_rows(words, 60, 3))]
+    rows += [rows[7], rows[7], (None, rows[7][1]), (900, None), (901, "")]
+    labels = spark.createDataFrame([(k, int(k % 3 != 0), int(k % 3 == 0), "a", "b") for k in range(60)], "doc_id bigint, quality int, toxic int, y string, text string")
+    for run in (quality.quality, toxicity.toxicity):
+        found = run(docs_of(rows), labels)
+        assert found.columns == ["doc_id", "held_out", "score", "predicted"]
+        rows_of = {}
+        for r in found.collect():
+            rows_of.setdefault(r["doc_id"], []).append(r["score"])
+        assert len(rows_of[7]) == 3 and np.ptp(rows_of[7]) < 1e-5 and abs(rows_of[None][0] - rows_of[7][0]) < 1e-5
+        assert abs(rows_of[900][0] - rows_of[901][0]) < 1e-5
+
+
 def test_classifiers_from_tables(spark, docs_of, words):
     rows = _quality_rows(words, 60, 3)
     docs = docs_of(list(enumerate(t for t, _ in rows)))
