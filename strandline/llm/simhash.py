@@ -23,8 +23,8 @@ from strandline.session import checkpoint
 
 #: Rows of one key that one task compares among themselves; a larger key is cut into chunks of this size and its chunk pairs are spread over tasks.
 CHUNK = 256
-#: Ids of copies that may be broadcast.
-MOST_BROADCAST = 400_000
+#: Ids or keys (some dozen bytes each) that may be broadcast, and tasks over which the rows of a key are spread where they are more.
+MOST_BROADCAST, SALTS = 400_000, 16
 #: Odd multipliers that derive further 64-bit hashes from a shingle's hash.
 _STEP = 0x9E3779B97F4A7C15
 
@@ -170,31 +170,82 @@ def _whole_groups(verified):
     return run
 
 
-def _chunk_pairs(rows: DataFrame, by: str) -> DataFrame:
-    """Rows of a group of ``n`` chunks once for each pair ``c`` of chunks that theirs is in; without ``n`` the group is one chunk."""
-    own = F.pmod(F.xxhash64(by, F.lit(7)), F.col("n")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, own).alias("s0"), F.greatest(i, own).alias("s1"), F.when(i == own, 0).when(i > own, 1).otherwise(2).alias("part")))
+def _spread(rows: DataFrame, table: DataFrame, on: str, by: str) -> DataFrame:
+    """``rows`` left-joined with a checkpointed table of one row for each ``on``.
+
+    Few of them are broadcast.  Otherwise the rows of a key go to ``SALTS`` tasks
+    by a hash of ``by``, so that the rows of a large group do not share one.
+    """
+    if table.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(table), on, "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(11)), F.lit(SALTS)))
+    table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return rows.join(table, [on, "salt"], "left").drop("salt")
+
+
+def _cut(rows: DataFrame, on: str, label: str, weight: F.Column, most: int) -> DataFrame:
+    """``(on, inside, n_in, n_out)`` of the groups that weigh over ``most``: the label of the greatest part of them, and the chunks of the rows with it and of the others."""
+    per = rows.groupBy(on, label).agg(F.sum(weight).alias("w"))
+    whole = per.groupBy(on).agg(F.sum("w").alias("t"), F.max("w").alias("m"), F.max_by(label, F.struct("w", label)).alias("inside")).filter(F.col("t") > most)
+    return whole.select(on, "inside", F.ceil(F.col("m") / most).cast("int").alias("n_in"), F.ceil((F.col("t") - F.col("m")) / most).cast("int").alias("n_out"))
+
+
+def _chunk_pairs(rows: DataFrame, cut: DataFrame, on: str, label: str, by: str) -> DataFrame:
+    """Rows once for each pair ``c`` of chunks that theirs is in; a group that is not in ``cut`` is one chunk.
+
+    Rows with a group's inside label are linked already, so their chunks meet
+    those of the others only: a large group most of which is one component costs
+    as much as it has rows, times the chunks of the rest.
+    """
+    rows = _spread(rows, cut, on, by).filter("n_out is null or n_out > 0")
+    hashed = F.xxhash64(by, F.lit(7))
+    inner = F.col(label) == F.col("inside")
+    own = F.when(inner, F.col("n_out") + F.pmod(hashed, F.col("n_in"))).otherwise(F.pmod(hashed, F.col("n_out"))).cast("int")
+    last = F.when(inner, F.col("n_out") - 1).otherwise(F.col("n_out") + F.col("n_in") - 1)
+    pairs = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.least(i, own).alias("s0"), F.greatest(i, own).alias("s1"), F.when(i == own, 0).when(i > own, 1).otherwise(2).alias("part")))
     none = F.array(F.struct(F.lit(0).alias("s0"), F.lit(0).alias("s1"), F.lit(0).alias("part")))
-    return rows.withColumn("c", F.explode(F.when(F.col("n").isNull(), none).otherwise(pairs)))
+    return rows.withColumn("c", F.explode(F.when(F.col("n_out").isNull(), none).otherwise(pairs)))
+
+
+def _own_chunks(rows: DataFrame, cut: DataFrame, on: str, by: str, salt: int) -> DataFrame:
+    """Rows of the groups in ``cut``, each in one chunk ``c`` of its group."""
+    n = F.col("n_in") + F.col("n_out")
+    own = F.pmod(F.xxhash64(by, F.lit(100 + salt)), n).cast("int")
+    rows = _spread(rows, cut, on, by).filter("n_in is not null")
+    return rows.withColumn("c", F.struct(own.alias("s0"), own.alias("s1"), F.lit(0).alias("part")))
+
+
+def _compared(rows: DataFrame, on: str, columns: list[str], compare) -> DataFrame:
+    """The links ``(a, b)`` that ``compare`` finds in each group and pair of chunks ``c``."""
+    rows = rows.select(F.xxhash64(on, "c.s0", "c.s1").alias("g"), F.col("c.part").cast("tinyint").alias("part"), *columns)
+    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_whole_groups(compare), "a bigint, b bigint").distinct()
+
+
+def _merged(nodes: DataFrame, label: str, found: DataFrame) -> DataFrame:
+    """``nodes`` with the labels that the links join made one; checkpointed if that moves them, and else to be read with the small table of new labels."""
+    moved = checkpoint(connected_components(found).filter("node <> component").select(F.col("node").alias(label), F.col("component").alias("joined")))
+    rows = _spread(nodes, moved, label, "node").withColumn(label, F.coalesce("joined", label)).drop("joined")
+    return rows if moved.count() <= MOST_BROADCAST else checkpoint(rows)
 
 
 def links(nodes: DataFrame, keys: list[list[tuple[int, int]]], words: int, distance: int, first_key: int = 0) -> DataFrame:
-    """Links ``(a, b)`` between the roots of nodes ``(root, f)`` that share a key and differ in at most ``distance`` bits of their first ``words`` words.
+    """``nodes`` (node, least, root, f) with one root for those that share a key and differ in at most ``distance`` bits of their first ``words`` words.
 
-    They span the same components of roots as all such pairs do.  The rows are
-    shuffled once; before, the keys alone are counted, and a key with many rows
-    is cut into chunks whose pairs go to different tasks.
+    Every close pair with a common key counts.  The rows are shuffled once; keys
+    with many rows are counted before.  Their rows are first compared within
+    chunks of ``CHUNK``, which makes one component of most of a large group of
+    copies; then all pairs of chunks are but those inside that component.
     """
     tags = [F.xxhash64(F.lit(first_key + k), *(_bits(low, high) for low, high in blocks)) for k, blocks in enumerate(keys)]
-    rows = nodes.select("root", *(F.col("f")[k].alias(f"f{k}") for k in range(words)), F.explode(F.array(*tags)).alias("key"))
-    large = nodes.select(F.explode(F.array(*tags)).alias("key")).groupBy("key").count().filter(F.col("count") > CHUNK)
-    large = checkpoint(large.select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("n")))
-    if large.count() <= MOST_BROADCAST:  # a few megabytes; beyond it this join shuffles the rows once more
-        large = F.broadcast(large)
-    rows = rows.join(large, "key", "left")
-    rows = _chunk_pairs(rows, "f0")
-    rows = rows.select(F.xxhash64("key", "c.s0", "c.s1").alias("g"), F.col("c.part").cast("tinyint").alias("part"), "root", *(f"f{k}" for k in range(words)))
-    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_whole_groups(_verifier(words, distance)), "a bigint, b bigint").distinct()
+    f = [f"f{k}" for k in range(words)]
+    tagged = lambda x: x.select("root", *(F.col("f")[k].alias(f"f{k}") for k in range(words)), F.explode(F.array(*tags)).alias("key"))
+    compare = _verifier(words, distance)
+    cut = checkpoint(_cut(tagged(nodes).select("key", F.lit(0).alias("root")), "key", "root", F.lit(1), CHUNK))
+    if not cut.isEmpty():
+        nodes = _merged(nodes, "root", _compared(_own_chunks(tagged(nodes), cut, "key", "f0", first_key), "key", ["root", *f], compare))
+        large = _spread(tagged(nodes).select("key", "root"), cut.select("key", "n_in"), "key", "root").filter("n_in is not null")
+        cut = checkpoint(_cut(large, "key", "root", F.lit(1), CHUNK))
+    return _merged(nodes, "root", _compared(_chunk_pairs(tagged(nodes), cut, "key", "root", "f0"), "key", ["root", *f], compare))
 
 
 def _rooted(tagged: DataFrame, keys: list[list[tuple[int, int]]], check: int, distance: int, rounds: int) -> DataFrame:
@@ -202,16 +253,20 @@ def _rooted(tagged: DataFrame, keys: list[list[tuple[int, int]]], check: int, di
     nodes = checkpoint(tagged.groupBy("node").agg(F.min("id").alias("least"), F.first("f").alias("f")).withColumn("root", F.col("node")))
     for r in range(rounds):
         low, high = len(keys) * r // rounds, len(keys) * (r + 1) // rounds
-        found = connected_components(links(nodes, keys[low:high], check, distance, low)).select(F.col("node").alias("old"), F.col("component").alias("new"))
-        nodes = nodes.join(found, F.col("root") == F.col("old"), "left").withColumn("root", F.coalesce("new", "root")).drop("old", "new")
-        if r < rounds - 1:
-            nodes = checkpoint(nodes)
-    return checkpoint(nodes.select("node", "least", "root"))
+        nodes = links(nodes, keys[low:high], check, distance, low)
+        nodes = checkpoint(nodes if r < rounds - 1 else nodes.select("node", "least", "root"))
+    return nodes
+
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """``(root, component)`` of the roots of more than one node, checkpointed; the component is the least id."""
+    shared = nodes.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("m")).filter("m > 1").select("root", "component")
+    return checkpoint(shared)
 
 
 def _named(tagged: DataFrame, nodes: DataFrame) -> DataFrame:
-    named = nodes.groupBy("root").agg(F.min("least").alias("component"))
-    return tagged.join(nodes.join(named, "root").select("node", "component"), "node").select("id", "f", "component")
+    named = _spread(nodes, _shared(nodes), "root", "node").select("node", F.coalesce("component", "least").alias("component"))
+    return tagged.join(named, "node").select("id", "f", "component")
 
 
 def groups(prints: DataFrame, keys: list[list[tuple[int, int]]], check: int, distance: int, rounds: int = 1) -> DataFrame:
@@ -239,15 +294,37 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex(F.col("f")[0]), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: The wide form of the pipeline: 96 blocks of 18 bits from 1728, a first gate on 256 bits, in four rounds.
-WIDE_WORDS, WIDE_BLOCKS, WIDE_CHECK, WIDE_ROUNDS = 27, 96, 4, 4
+#: The wide form of the pipeline: words of a fingerprint, those that gate a pair, rounds of keys, bits of a block at least, and the share of pairs at the similarity that no block may miss.
+WIDE_WORDS, WIDE_CHECK, WIDE_ROUNDS, WIDE_BITS, WIDE_MISSED = 27, 4, 4, 18, 0.006
 #: Shingles of the sets that one task compares among themselves; a larger candidate group is cut into chunks, as a key's rows are.
 SET_CHUNK = 500_000
 
 
+def bit_rate(similarity: float) -> float:
+    """Share of bits that differ at a Jaccard similarity of shingle sets: angle over pi, as the cosine is 2J / (1 + J)."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_keys(rows: int, similarity: float) -> list[list[tuple[int, int]]]:
+    """Blocks of the wide fingerprint, so wide that some ``CHUNK`` of so many rows share one by chance, and so many that a pair at the similarity meets in one but for ``WIDE_MISSED``.
+
+    Blocks are apart while there are bits for them; beyond, they are pairs of
+    half blocks, each of which is used several times, and half as many more make
+    up for that.
+    """
+    width = max(WIDE_BITS, int(np.ceil(np.log2(max(rows, 1) / CHUNK))))
+    count = int(np.ceil(np.log(WIDE_MISSED) / np.log1p(-((1 - bit_rate(similarity)) ** width))))
+    if count * width <= 64 * WIDE_WORDS:
+        return [[(width * i, width * (i + 1))] for i in range(count)]
+    half = -(-width // 2)
+    parts = 64 * WIDE_WORDS // half
+    pairs = [(i, (i + step) % parts) for step in range(1, parts // 2) for i in range(parts)]
+    return [[(half * i, half * (i + 1)), (half * j, half * (j + 1))] for i, j in pairs[: count + count // 2]]
+
+
 def wide_distance(similarity: float, bits: int) -> int:
-    """Differing bits at a Jaccard similarity of shingle sets: angle over pi, as the cosine is 2J / (1 + J), and three standard deviations more."""
-    rate = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    """Differing bits at the similarity, and three standard deviations more."""
+    rate = bit_rate(similarity)
     return int(np.ceil(bits * rate + 3 * np.sqrt(bits * rate * (1 - rate))))
 
 
@@ -256,13 +333,13 @@ def shingle_set(text: str | None, size: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, size), repeat(seed)), dtype=np.uint64))
 
 
-def similar_links(sets: list[np.ndarray], part: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
-    """A spanning forest of the pairs of sets whose Jaccard similarity is at least ``similarity``; of parts other than 0, only pairs between the two."""
+def similar_links(sets: list[np.ndarray], part: np.ndarray, similarity: float, label: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """A forest that spans what the pairs of sets with a Jaccard similarity of at least ``similarity`` join; of parts other than 0, only pairs between the two; sets of one ``label`` are joined already."""
     size = np.array([len(x) for x in sets])
     ends = np.cumsum(size)
     token = np.unique(np.concatenate(sets), return_inverse=True)[1]
     mark = np.zeros(len(token), dtype=bool)
-    label, ends_a, ends_b = np.arange(len(sets)), [], []
+    label, ends_a, ends_b = np.arange(len(sets)) if label is None else label.copy(), [], []
     for d in range(1, len(sets)):
         own = token[ends[d] - size[d] : ends[d]]
         mark[own] = True
@@ -288,16 +365,17 @@ def similar_links(sets: list[np.ndarray], part: np.ndarray, similarity: float) -
 
 
 def _exact(similarity: float):
-    """Rows of (g, part, node, s) sorted by g in, a spanning forest (a, b) of each group's similar sets out."""
+    """Rows of (g, part, label, s) sorted by g in, a forest (a, b) of the labels that each group's similar sets join out."""
 
     def verified(rows: pd.DataFrame) -> pd.DataFrame:
-        g, part, node, sets = (rows[c].to_numpy() for c in ("g", "part", "node", "s"))
+        g, part, label, sets = (rows[c].to_numpy() for c in ("g", "part", "label", "s"))
         cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
         ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            a, b = similar_links(list(sets[low:high]), part[low:high], similarity) if high - low > 1 else ([], [])
-            ends_a.append(node[low:high][a])
-            ends_b.append(node[low:high][b])
+            names, place = np.unique(label[low:high], return_inverse=True)
+            a, b = similar_links(list(sets[low:high]), part[low:high], similarity, place) if len(names) > 1 else ([], [])
+            ends_a.append(label[low:high][a])
+            ends_b.append(label[low:high][b])
         return pd.DataFrame({"a": np.concatenate(ends_a), "b": np.concatenate(ends_b)})
 
     return verified
@@ -312,9 +390,9 @@ def _of_ids(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame
 
 def _similar_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, tagged: DataFrame, nodes: DataFrame) -> DataFrame:
     """``nodes`` whose roots hold only what links of at least ``similarity`` join; all pairs below a root are judged on their shingle sets."""
-    shared = nodes.groupBy("root").agg(F.count("*").alias("m")).filter("m > 1")
-    asked = checkpoint(nodes.join(shared, "root", "left_semi").select("node", "root"))
-    ids = checkpoint(tagged.join(asked, "node", "left_semi").select(F.col("id").alias("_id")).filter("_id is not null").distinct())
+    asked = checkpoint(_spread(nodes, _shared(nodes), "root", "node").filter("component is not null or least is null").select("node", "root", "least"))
+    # one document of each node is read again, and those without an id
+    ids = checkpoint(asked.select(F.col("least").alias("_id")).filter("_id is not null").distinct())
     texts = docs.select(docs[id_col], docs[text_col])
     texts = _of_ids(texts, id_col, ids, "left_semi").unionByName(texts.filter(docs[id_col].isNull())).select(F.col(text_col).alias("text"))
 
@@ -326,13 +404,15 @@ def _similar_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, simil
                 yield pd.DataFrame({"f": f, "s": [shingle_set(x, size).view(np.int64) for x in t]})
 
     sets = texts.mapInPandas(run, "f array<bigint>, s array<bigint>").select(F.xxhash64("f").alias("node"), "s")
-    sets = checkpoint(sets.join(asked, "node").groupBy("node", "root").agg(F.min("s").alias("s")))
-    large = sets.groupBy("root").agg(F.sum(F.size("s")).alias("t")).filter(F.col("t") > SET_CHUNK).select("root", F.ceil(F.col("t") / SET_CHUNK).cast("int").alias("n"))
-    rows = _chunk_pairs(sets.join(large, "root", "left"), "node")
-    rows = rows.select(F.xxhash64("root", "c.s0", "c.s1").alias("g"), F.col("c.part").cast("tinyint").alias("part"), "node", "s")
-    found = rows.repartition("g").sortWithinPartitions("g", "node").mapInPandas(_whole_groups(_exact(similarity)), "a bigint, b bigint").distinct()
-    roots = connected_components(found).select("node", F.col("component").alias("new"))
-    return checkpoint(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("new", "node").alias("root")))
+    sets = sets.join(asked.select("node", "root"), "node").groupBy("node", "root").agg(F.min("s").alias("s")).withColumn("label", F.col("node"))
+    sets, size, compare = checkpoint(sets), F.size("s"), _exact(similarity)
+    cut = checkpoint(_cut(sets.select("root", "s", F.lit(0).alias("label")), "root", "label", size, SET_CHUNK))
+    if not cut.isEmpty():
+        for salt in range(2):  # within chunks, which differ from one time to the other
+            sets = _merged(sets, "label", _compared(_own_chunks(sets, cut, "root", "node", salt), "root", ["label", "s"], compare))
+        cut = checkpoint(_cut(sets, "root", "label", size, SET_CHUNK))
+    sets = _merged(sets, "label", _compared(_chunk_pairs(sets, cut, "root", "label", "node"), "root", ["label", "s"], compare))
+    return checkpoint(nodes.join(sets.select("node", "label"), "node", "left").select("node", "least", F.coalesce("label", "node").alias("root")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -342,20 +422,24 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     link, which is judged on the whole shingle sets (by 64-bit hashes).  Pairs are
     judged if a wide fingerprint links them: at a similarity of 0.8 about a
     seventh of the bits differ, too many for the pigeonhole guarantee on 64 bits;
-    so the fingerprint is 1728 bits wide and a pair meets in at least one of its
-    96 blocks of 18 bits with a probability of 0.994 at 0.8 and above 0.999 from
-    0.84 on, and passes a gate of three standard deviations on 256 bits with
-    0.998; together 0.99 at 0.8.  Such pairs and what they chain are judged all
-    against all.  Shingles count once, as in the sets that are compared, so that
-    a line repeated many times does not make two texts alike.
-    Rows of one id are one document and stay or go together; rows with a null
-    id always stay.  All columns are kept as they are.
+    so the fingerprint is 1728 bits wide, and up to some 10^8 rows a pair meets in
+    at least one of its 96 blocks of 18 bits with a probability of 0.994 at 0.8
+    and above 0.999 from 0.84 on, and passes a gate of three standard deviations
+    on 256 bits with 0.998; together 0.99 at 0.8.  Beyond, the blocks are wider
+    and more (``wide_keys``).  Such pairs and what they chain are judged all
+    against all, but for those that are joined already.  Shingles count once, as
+    in the sets that are compared, so that a line repeated many times does not
+    make two texts alike.
+
+    Rows of one id are one document and stay or go together; rows with a null id
+    always stay.  Null texts are empty, and empty texts are one group; ties do
+    not arise, as the least id is one id.  An empty table stays empty, and columns
+    of any name are kept as they are.
     """
+    keys, distance = wide_keys(docs.count(), similarity), wide_distance(similarity, 64 * WIDE_CHECK)
     prints = checkpoint(fingerprints(docs, id_col, text_col, size, WIDE_WORDS, distinct=True))
-    width = 64 * WIDE_WORDS // WIDE_BLOCKS
-    keys = [[(width * i, width * (i + 1))] for i in range(WIDE_BLOCKS)]
     tagged = prints.withColumn("node", F.xxhash64("f"))
-    nodes = _rooted(tagged, keys, WIDE_CHECK, wide_distance(similarity, 64 * WIDE_CHECK), WIDE_ROUNDS)
+    nodes = _rooted(tagged, keys, WIDE_CHECK, distance, WIDE_ROUNDS)
     found = _named(tagged, _similar_nodes(docs, id_col, text_col, size, similarity, tagged, nodes))
     gone = checkpoint(found.filter("id <> component").select(F.col("id").alias("_id")).distinct())
     return _of_ids(docs, id_col, gone, "left_anti")

@@ -70,6 +70,39 @@ def test_large_keys_are_cut_and_lose_no_component(spark, monkeypatch):
     assert {r["component"] for r in found} == {0} and len(found) == len(rows)
 
 
+def test_a_large_group_beside_others(spark, monkeypatch):
+    """One key holds a dense group, a chain and strangers; with and without broadcasts, components are those of all pairs."""
+    rng = random.Random(6)
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    prints = [0x123456789ABCDEF0 ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(300)]
+    at = 0xFF
+    for _ in range(40):
+        prints.append(at)
+        for b in rng.sample(range(64), 3):
+            at ^= 1 << b
+    prints = list(dict.fromkeys([*prints, *(rng.getrandbits(64) for _ in range(60))]))
+    frame = spark.createDataFrame([(i, [int(np.uint64(f).astype(np.int64))]) for i, f in enumerate(prints)], "id bigint, f array<bigint>").repartition(3)
+    wanted = dict(enumerate(_components(list(range(len(prints))), prints)))
+    for most in (simhash.MOST_BROADCAST, 0):
+        monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
+        assert {r["id"]: r["component"] for r in simhash.groups(frame, [[(0, 0)]], 1, 3).collect()} == wanted
+
+
+def test_blocks_widen_with_the_rows():
+    few, many = simhash.wide_keys(10**6, 0.8), simhash.wide_keys(10**10, 0.8)
+    assert few == simhash.wide_keys(0, 0.8) == [[(18 * i, 18 * i + 18)] for i in range(96)]
+    width = sum(b - a for a, b in many[0])
+    assert 10**10 / 2**width <= simhash.CHUNK and all(b <= 64 * simhash.WIDE_WORDS for key in many for _, b in key) and len(set(map(tuple, many))) == len(many)
+    rng = np.random.default_rng(1)
+    for keys in (few, many):  # pairs whose bits differ as at 0.8 share a key
+        differ = rng.random((4000, 64 * simhash.WIDE_WORDS)) < simhash.bit_rate(0.8)
+        sums = np.concatenate([np.zeros((4000, 1), int), np.cumsum(differ, axis=1)], axis=1)
+        met = np.zeros(4000, dtype=bool)
+        for key in keys:
+            met |= sum(sums[:, b] - sums[:, a] for a, b in key) == 0
+        assert met.mean() > 0.985
+
+
 def test_forest_spans():
     a, b = np.array([5, 1, 2, 9]), np.array([6, 2, 7, 10])
     node, hub = simhash._forest(a, b)
@@ -124,5 +157,23 @@ def test_only_pairs_of_the_similarity_are_copies(docs_of, words, monkeypatch):
     ones = {d: set(simhash.shingles(t, 5)) for d, t in rows}
     near = lambda d, e: len(ones[d] & ones[e]) / len(ones[d] | ones[e])
     assert all(near(k, 1000 + k) < 0.8 <= near(k, 2000 + k) and near(1000 + k, 2000 + k) < 0.8 for k in range(30))
-    kept = {r["doc_id"] for r in simhash.drop_near_copies(docs_of(rows)).collect()}
-    assert {d for d, _ in rows} - copies <= kept and len(kept & copies) <= 1
+    for most in (simhash.MOST_BROADCAST, 0):
+        monkeypatch.setattr(simhash, "MOST_BROADCAST", most)
+        kept = {r["doc_id"] for r in simhash.drop_near_copies(docs_of(rows)).collect()}
+        assert {d for d, _ in rows} - copies <= kept and len(kept & copies) <= 1
+
+
+def test_a_large_group_of_near_copies(docs_of, words, monkeypatch):
+    """Many copies of one text, each with its own change, are one group; texts half alike are not, in whichever chunks they are."""
+    monkeypatch.setattr(simhash, "SET_CHUNK", 2000)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    rng = random.Random(3)
+    own = words(1, 120)
+    rows = [(0, " ".join(own))]
+    for k in range(1, 150):
+        near = list(own)
+        at = rng.randrange(120)
+        near[at : at + 1] = ["changed", str(k)]
+        rows.append((k, " ".join(near)))
+    rows += [(1000 + k, " ".join(own[:60] + words(50 + k, 60))) for k in range(20)]
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs_of(rows)).collect()} == {0, *range(1000, 1020)}
