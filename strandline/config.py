@@ -19,7 +19,7 @@ class Hough:
     max_line_gap: float = 0.5
     canny_low: float = 0.1
     canny_high: float = 0.2
-    tile_cells: int = 4096
+    tile_cells: int = 1024
     seed: int = 42
 
 

@@ -35,7 +35,7 @@ def _dense(group: pd.DataFrame, settings: Hough) -> tuple[np.ndarray, int, int]:
     """Raster of a tile's bounding box with its halo, and the place of its first cell."""
     halo = _halo(settings)
     low_r, low_c = int(group["row"].min()) - halo, int(group["col"].min()) - halo
-    image = np.zeros((int(group["row"].max()) - low_r + halo + 1, int(group["col"].max()) - low_c + halo + 1))
+    image = np.zeros((int(group["row"].max()) - low_r + halo + 1, int(group["col"].max()) - low_c + halo + 1), dtype=np.float32)
     image[group["row"].to_numpy() - low_r, group["col"].to_numpy() - low_c] = group["n"].to_numpy()
     return image, low_r, low_c
 

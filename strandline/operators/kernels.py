@@ -11,16 +11,30 @@ def _blur(image: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian blur, cut off at four sigmas; places outside count as empty."""
     reach = max(1, int(4 * sigma + 0.5))
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    weights /= weights.sum()
+    weights = (weights / weights.sum()).astype(image.dtype)
     for axis in (0, 1):
-        image = np.apply_along_axis(np.convolve, axis, image, weights, "same") if image.shape[axis] >= len(weights) else _short_blur(image, weights, axis)
+        n = image.shape[axis]
+        padded = np.pad(image, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)])
+        image = np.zeros_like(image)
+        for k, weight in enumerate(weights):
+            image += weight * (padded[k : k + n] if axis == 0 else padded[:, k : k + n])
     return image
 
 
-def _short_blur(image: np.ndarray, weights: np.ndarray, axis: int) -> np.ndarray:
-    n, reach = image.shape[axis], len(weights) // 2
-    full = np.apply_along_axis(np.convolve, axis, image, weights, "full")
-    return np.take(full, range(reach, reach + n), axis=axis)
+def _crests(size: np.ndarray, gy: np.ndarray, gx: np.ndarray) -> np.ndarray:
+    """Where a gradient is no smaller than on either side along its direction, between two neighbours of each side in proportion."""
+    q = np.pad(size, 1)
+    rows, cols = np.indices(size.shape, dtype=np.int32)
+    sy, sx = np.sign(gy).astype(np.int32), np.sign(gx).astype(np.int32)
+    steep = np.abs(gy) >= np.abs(gx)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = np.nan_to_num(np.where(steep, np.abs(gx) / np.abs(gy), np.abs(gy) / np.abs(gx)))
+    crest = np.ones(size.shape, dtype=bool)
+    for way in (1, -1):
+        straight = q[rows + 1 + way * np.where(steep, sy, 0), cols + 1 + way * np.where(steep, 0, sx)]
+        corner = q[rows + 1 + way * sy, cols + 1 + way * sx]
+        crest &= size >= straight * (1 - share) + corner * share
+    return crest
 
 
 def canny(counts: np.ndarray, sigma: float, low: float = 0.1, high: float = 0.2, peak: float | None = None) -> np.ndarray:
@@ -28,24 +42,22 @@ def canny(counts: np.ndarray, sigma: float, low: float = 0.1, high: float = 0.2,
 
     Counts are scaled by ``peak`` (their own largest by default).  The blur is
     divided by that of an all-ones mask, so the border does not read as an edge.
+    ``low`` and ``high`` are measured on the plain sums of the gradient masks
+    (1, 2, 1), which are four times a difference of neighbours but one.
     """
     peak = float(counts.max(initial=0)) if peak is None else peak
     if not counts.size or peak == 0:
         return np.zeros(counts.shape, dtype=bool)
-    smooth = _blur(counts / (peak + 1e-9), sigma) / (_blur(np.ones(counts.shape), sigma) + 1e-12)
+    ones = [_blur(np.ones((n, 1), np.float32), sigma) for n in counts.shape]  # a mask's blur is that of its sides
+    smooth = _blur((counts / (peak + 1e-9)).astype(np.float32), sigma) / (ones[0] * ones[1].T + np.float32(1e-12))
     p = np.pad(smooth, 1, mode="edge")
-    gx = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]) / 4
-    gy = (p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]) / 4
+    gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
+    gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
     size = np.hypot(gx, gy)
-    # keep what is largest along the gradient, by the nearest of four directions
-    sector = np.round(np.arctan2(gy, gx) / (np.pi / 4)).astype(int) % 4
-    q = np.pad(size, 1)
-    rows, cols = np.indices(size.shape)
-    dr, dc = np.array([0, 1, 1, 1])[sector], np.array([1, 1, 0, -1])[sector]
-    crest = (size >= q[rows + 1 + dr, cols + 1 + dc]) & (size > q[rows + 1 - dr, cols + 1 - dc])
     inner = np.zeros(size.shape, dtype=bool)
     inner[1:-1, 1:-1] = True
-    weak = crest & inner & (size >= low)
+    weak = inner & (size >= low)
+    weak &= _crests(size, gy, gx)
     edges = weak & (size >= high)
     while True:  # weak edges that touch strong ones
         grown = np.pad(edges, 1)

@@ -20,7 +20,7 @@ from strandline.sources import geojson, obj
 
 THICKNESS, CELL, EPS = 0.2, 0.5, 0.45
 #: The planted clouds are sparse, so their rasters are coarser than the default.
-COARSE = Hough(cell_size=0.1, canny_sigma=0.8, threshold=10, min_line_length=1.5, max_line_gap=1.0, canny_low=0.02, canny_high=0.05)
+COARSE = Hough(cell_size=0.1, canny_sigma=0.8, threshold=10, min_line_length=1.5, max_line_gap=1.0)
 SPARSE = Config(
     point_sample_radius=None,
     hough=COARSE,

@@ -124,7 +124,7 @@ def test_command_line_finds_planted_pipes(spark, tmp_path, capsys):
         ],
     }
     (tmp_path / "gt.geojson").write_text(json.dumps(truth))
-    settings = {"point_sample_radius": None, "hough": {"cell_size": 0.05, "canny_sigma": 1.0, "canny_low": 0.02, "canny_high": 0.05, "max_line_gap": 1.0}, "slice_cluster_and_merge": {"min_samples": 1}}
+    settings = {"point_sample_radius": None, "hough": {"cell_size": 0.05, "canny_sigma": 1.0, "max_line_gap": 1.0}, "slice_cluster_and_merge": {"min_samples": 1}}
     (tmp_path / "c.json").write_text(json.dumps(settings))
     args = ["--input", str(tmp_path / "cloud.parquet"), "--gt_path", str(tmp_path / "gt.geojson"), "--config_path", str(tmp_path / "c.json"), "--output_dir", str(tmp_path / "out"), "--eval"]
     assert cli.main(args, spark) == 0
@@ -136,6 +136,28 @@ def test_command_line_finds_planted_pipes(spark, tmp_path, capsys):
     assert features.filter("id like 'pipe_%'").count() >= 2 and features.filter("id like 'comp_%'").count() >= 2
 
 
+def test_default_settings_find_planted_pipes(spark, tmp_path):
+    """The surfaces of two pipes and a fitting on each, without a settings file."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for ax, ay, ux, uy, z in ((0.0, 0.0, 1.0, 0.0, 1.0), (0.0, 3.0, 0.6, 0.8, 1.7)):
+        t, turn = rng.uniform(0, 6, 15_000), rng.uniform(0, 2 * np.pi, 15_000)
+        off, up = 0.1 * np.cos(turn), 0.1 * np.sin(turn)
+        rows.append(np.stack([ax + t * ux - off * uy, ay + t * uy + off * ux, z + up, np.ones(15_000)], axis=1))
+        at = rng.normal(0, 0.08, (600, 3))
+        rows.append(np.stack([ax + 3 * ux + at[:, 0], ay + 3 * uy + at[:, 1], z + at[:, 2], np.full(600, 2.0)], axis=1))
+    cloud = [(k, x, y, z, int(c)) for k, (x, y, z, c) in enumerate(np.concatenate(rows).tolist())]
+    spark.createDataFrame(cloud, schema.POINTS).write.parquet(str(tmp_path / "cloud.parquet"))
+    line = lambda *c: {"type": "Feature", "geometry": {"type": "LineString", "coordinates": c}}
+    point = lambda *c: {"type": "Feature", "geometry": {"type": "Point", "coordinates": c}}
+    truth = [line([0, 0, 1], [6, 0, 1]), line([0, 3, 1.7], [3.6, 7.8, 1.7]), point(3, 0, 1), point(1.8, 5.4, 1.7)]
+    (tmp_path / "gt.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": truth}))
+    found = extraction.extract_features(spark, str(tmp_path / "cloud.parquet"), str(tmp_path / "out"), truth=str(tmp_path / "gt.geojson"), evaluate=True)
+    pipes, fittings = found["pipe_report"].first(), found["component_report"].first()
+    assert pipes["missed"] == 0 and pipes["coverage_pct"] > 85 and pipes["xy_median"] < 0.15
+    assert fittings["found"] == 2
+
+
 def test_empty_cloud_gives_empty_features(spark, tmp_path):
     schema.empty(spark, schema.POINTS).write.parquet(str(tmp_path / "none.parquet"))
     found = extraction.extract_features(spark, str(tmp_path / "none.parquet"), str(tmp_path / "out"))
