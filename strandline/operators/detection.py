@@ -107,6 +107,31 @@ def hough_space(edges: DataFrame, angles: int = 180) -> DataFrame:
     return rows.groupBy("slice_id", "angle", rho.alias("rho")).agg(F.count("*").alias("votes"))
 
 
+def hough_peaks(votes: DataFrame, distance: int = 20, turn: int = 10, share: float = 0.3, angles: int = 180) -> DataFrame:
+    """``(slice_id, angle, rho, votes, place)``: the strongest lines of each band's votes, one by one.
+
+    A line counts with more than ``share`` of the band's most votes, and unless a
+    stronger one lies within ``distance`` cells and ``turn`` angles, where the last
+    angle is beside the first with rho turned about; ties go to the smaller angle
+    and rho.
+    """
+    top = votes.groupBy("slice_id").agg(F.max("votes").alias("most"))
+    strong = votes.join(broadcast_if_small(top, 100_000), "slice_id").filter(F.col("votes") > share * F.col("most")).drop("most")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["votes", "angle", "rho"], ascending=[False, True, True])
+        angle, rho = g["angle"].to_numpy(np.int64), g["rho"].to_numpy(np.int64)
+        free, kept = np.ones(len(g), dtype=bool), []
+        while free.any():
+            k = int(free.argmax())
+            kept.append(k)
+            for shift, sign in ((0, 1), (angles, -1), (-angles, -1)):
+                free &= (np.abs(angle + shift - angle[k]) > turn) | (np.abs(sign * rho - rho[k]) > distance)
+        return g.iloc[kept].assign(place=range(1, len(kept) + 1))[["slice_id", "angle", "rho", "votes", "place"]]
+
+    return strong.groupBy("slice_id").applyInPandas(run, "slice_id int, angle int, rho int, votes bigint, place int")
+
+
 def slice_lines(points: DataFrame, thickness: float, settings: Hough = Hough()) -> DataFrame:
     """``SEGMENTS`` found in the height bands of the points, each at its band's middle height; no points, no lines."""
     members = slice_members(points, thickness)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
-from strandline.operators.spatial import radius_join, segment_cells
+from strandline.operators.spatial import cell, radius_join, segment_cells
 from strandline.session import checkpoint
 
 TOLERANCE = 0.5
@@ -21,13 +21,27 @@ def _sides(gt: DataFrame, det: DataFrame) -> tuple[DataFrame, DataFrame]:
     return g, d
 
 
+def _in_box(s: G.Ends, edges, margin: float) -> tuple[Column, Column]:
+    """Between which places, in lengths of the segment, its line runs inside the box (x, x, y, y) widened by the margin."""
+    low, high = [], []
+    for a, b, e in ((s.x0, s.x1, edges[:2]), (s.y0, s.y1, edges[2:])):
+        one, two = (F.lit(float(e[0]) - margin) - a) / (b - a), (F.lit(float(e[1]) + margin) - a) / (b - a)
+        inside = a.between(float(e[0]) - margin, float(e[1]) + margin)
+        far = F.lit(float("inf"))
+        low.append(F.when(a != b, F.least(one, two)).otherwise(F.when(inside, -far).otherwise(far)))
+        high.append(F.when(a != b, F.greatest(one, two)).otherwise(F.when(inside, far).otherwise(-far)))
+    return F.greatest(*low), F.least(*high)
+
+
 def match_pipes(gt: DataFrame, det: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """A row for each matching pair, with the pair's measures.
 
     Matching is planar, coverage and height distances are spatial.  Lines that
     meet at up to 60 degrees and match pass within two tolerances of each other,
     so they share grid cells; steeper ones can only match ground truth shorter
-    than 2 tolerances / sin 60, which is joined with all detections instead.
+    than 2 tolerances / sin 60, whose middle lies within a tolerance of the
+    detection's line: it meets the cells of that line, as far as the box about
+    such ground truth goes.
     """
     g, d = _sides(gt, det)
     gs, ds = G.ends("g"), G.ends("d")
@@ -38,8 +52,16 @@ def match_pipes(gt: DataFrame, det: DataFrame, tolerance: float = TOLERANCE) ->
     around = d.withColumn("_d", F.explode(segment_cells(ds, size, True)))
     # a pair may share many cells: it counts at the first one
     far = cells.join(around, (F.col("_g.cx") == F.col("_d.cx")) & (F.col("_g.cy") == F.col("_d.cy")) & match).drop("_g", "_d").dropDuplicates(["gt_id", "det_id"])
-    near = d.join(F.broadcast(g.filter(short)), match).select(*far.columns)
-    pairs = far.unionByName(near)
+    few, mx, my = g.filter(short), (gs.x0 + gs.x1) / 2, (gs.y0 + gs.y1) / 2
+    edges = few.agg(*(f(c) for c in (mx, my) for f in (F.min, F.max))).first()
+    pairs = far
+    if edges[0] is not None:
+        low, high = _in_box(ds, edges, 2 * tolerance)
+        line = G.Ends(*(a + t * (b - a) for t in (low, high) for a, b in ((ds.x0, ds.x1), (ds.y0, ds.y1), (ds.z0, ds.z1))))
+        along = d.filter((G.length_xy(ds) > 0) & (low <= high)).withColumn("_d", F.explode(segment_cells(line, size, True)))
+        own = few.withColumns({"_x": cell(mx, size), "_y": cell(my, size)})
+        near = along.join(own, (F.col("_x") == F.col("_d.cx")) & (F.col("_y") == F.col("_d.cy")) & match).select(*far.columns)
+        pairs = far.unionByName(near)
     t0, t1 = G.place_on_segment(ds.x0, ds.y0, ds.z0, gs), G.place_on_segment(ds.x1, ds.y1, ds.z1, gs)
     return pairs.withColumns(
         {

@@ -6,6 +6,7 @@ shuffles once and never compares all pairs; dense cells are split by AQE.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import product
 
@@ -74,32 +75,72 @@ def near_segments(points: DataFrame, pipes: DataFrame, threshold: float, planar:
     return own.join(p, (F.col("_cx") == F.col("_c.cx")) & (F.col("_cy") == F.col("_c.cy")) & (d < threshold), "left_semi").drop("_cx", "_cy")
 
 
-def segment_distances(points: DataFrame, pipes: DataFrame, planar: bool = True) -> DataFrame:
-    """``(point_id, distance)``: least distance of every point to any segment; the segments are broadcast, so keep them few."""
-    p = pipes.select(*(F.col(c).alias(f"p{c}") for c in G.Ends._fields))
+#: Pairs of places and segments that are tried outright, and segments that are broadcast for it.
+MOST_PAIRS, MOST_SEGMENTS = 1_000_000_000, 20_000
+
+
+def _least(places: DataFrame, pipes: DataFrame, key: str, x: Column, y: Column, measure: Column, most: int) -> DataFrame:
+    """``(key, b)``: the least ``measure``, a struct that begins with a distance no smaller than the planar one, of each place over all segments (prefixed p).
+
+    Few pairs are tried outright.  Otherwise cells grow: a place whose best
+    segment within a reach is no farther than it needs no wider search, so each
+    round joins on cells and goes on with the places that are left.  Places
+    without coordinates have no row.
+    """
     s = G.ends("p")
-    d = G.distance_xy(F.col("x"), F.col("y"), s) if planar else G.distance(F.col("x"), F.col("y"), F.col("z"), s)
-    return points.crossJoin(F.broadcast(p)).groupBy("point_id").agg(F.min(d).alias("distance"))
+    places, pipes = checkpoint(places.filter(x.isNotNull() & y.isNotNull())), checkpoint(pipes)
+    n, count = pipes.count(), places.count()
+    if n * count == 0 or (n <= MOST_SEGMENTS and n * count <= most):
+        return places.crossJoin(F.broadcast(pipes)).groupBy(key).agg(F.min(measure).alias("b"))
+    ends = lambda c, d: [f(v) for f in (F.min, F.max) for v in (F.least(c, d), F.greatest(c, d))]
+    sides = [v for frame, pairs in ((places, ((x, x), (y, y))), (pipes, ((s.x0, s.x1), (s.y0, s.y1)))) for v in frame.agg(*(e for pair in pairs for e in ends(*pair))).first()]
+    xs, ys = [sides[k] for k in (0, 1, 2, 3, 8, 9, 10, 11)], [sides[k] for k in (4, 5, 6, 7, 12, 13, 14, 15)]
+    whole = math.hypot(max(xs) - min(xs), max(ys) - min(ys)) + 1e-9
+    reach, left, out = whole / math.sqrt(n) / 4, places, None
+    while True:
+        size = 4 * reach
+        cells = broadcast_if_small(pipes.withColumn("_c", F.explode(segment_cells(s, size, True))), 100_000)
+        pairs = left.join(cells, (cell(x, size) == F.col("_c.cx")) & (cell(y, size) == F.col("_c.cy")) & (G.distance_xy(x, y, s) <= reach))
+        found = pairs.groupBy(key).agg(F.min(measure).alias("b"))
+        if reach >= whole:  # every segment was within it
+            return found if out is None else out.unionByName(found)
+        found = checkpoint(found.filter(F.col("b.distance") <= reach))
+        out = found if out is None else out.unionByName(found)
+        left = checkpoint(left.join(found.select(key), key, "left_anti"))
+        if left.isEmpty():
+            return out
+        reach *= 4
 
 
-def nearest_segment(places: DataFrame, pipes: DataFrame, key: str, x: str, y: str, reach: float | None = None) -> DataFrame:
+def segment_distances(points: DataFrame, pipes: DataFrame, planar: bool = True, most: int = MOST_PAIRS) -> DataFrame:
+    """``(point_id, distance)``: least distance of every point to any segment; beyond ``most`` pairs by cells of growing size."""
+    s = G.ends("p")
+    p = pipes.select(*(F.col(c).alias(f"p{c}") for c in G.Ends._fields))
+    x, y = F.col("x"), F.col("y")
+    d = G.distance_xy(x, y, s) if planar else G.distance(x, y, F.col("z"), s)
+    columns = ["point_id", "x", "y"] if planar else ["point_id", "x", "y", "z"]
+    return _least(points.select(*columns), p, "point_id", x, y, F.struct(d.alias("distance")), most).select("point_id", "b.distance")
+
+
+def nearest_segment(places: DataFrame, pipes: DataFrame, key: str, x: str, y: str, reach: float | None = None, most: int = MOST_PAIRS) -> DataFrame:
     """``(key, pipe_id, distance, pipe_z)``: the planar nearest segment of each place, the smaller pipe_id among equals, and its height there.
 
     With a ``reach`` only segments within it count and the join is on grid cells;
-    without one all segments are broadcast.
+    without one, beyond ``most`` pairs, on cells of growing size.
     """
     s = G.ends("p")
     p = pipes.select("pipe_id", *(F.col(c).alias(f"p{c}") for c in G.Ends._fields))
     px, py = F.col(x), F.col(y)
+    t = G.clamp(G.along_xy(px, py, s, 1e-30), 0.0, 1.0)
+    near = F.struct(G.distance_xy(px, py, s).alias("distance"), "pipe_id", (s.z0 + t * (s.z1 - s.z0)).alias("pipe_z"))
     if reach is None:
-        pairs = places.select(key, x, y).crossJoin(F.broadcast(p))
+        best = _least(places.select(key, x, y), p, key, px, py, near, most)
     else:
         size = max(4 * reach, 1e-9)
         p = p.withColumn("_c", F.explode(segment_cells(s, size, True)))
         pairs = places.select(key, x, y).join(p, (cell(px, size) == F.col("_c.cx")) & (cell(py, size) == F.col("_c.cy")) & (G.distance_xy(px, py, s) <= reach))
-    t = G.clamp(G.along_xy(px, py, s, 1e-30), 0.0, 1.0)
-    best = F.min(F.struct(G.distance_xy(px, py, s).alias("distance"), "pipe_id", (s.z0 + t * (s.z1 - s.z0)).alias("pipe_z")))
-    return pairs.groupBy(key).agg(best.alias("b")).select(key, "b.pipe_id", "b.distance", "b.pipe_z")
+        best = pairs.groupBy(key).agg(F.min(near).alias("b"))
+    return best.select(key, "b.pipe_id", "b.distance", "b.pipe_z")
 
 
 def priority(id_col: Column, seed: int = 42) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.config import ClusterMerge, Components, Config, Hough, Snap
 from strandline.functions import geometry as G
+from strandline.functions import records
 from strandline.operators import components, detection, evaluation, lines, slicing, snapping, spatial
 from strandline.plans import extraction, oracle
 from strandline.plans.fixtures import planted
@@ -295,7 +296,19 @@ def hough_segments(spark, sf_dir):
 
 @query
 def hough_space(spark, sf_dir):
-    return detection.hough_space(detection.canny_cells(_cells(spark, sf_dir), COARSE)).filter("votes >= 10")
+    return detection.hough_space(detection.canny_cells(_cells(spark, sf_dir), COARSE))
+
+
+@query
+def hough_votes(spark, sf_dir):
+    """Votes of all occupied cells of a coarse raster, by the quarter of a right angle."""
+    members = slicing.slice_members(_points(spark, sf_dir, 1), THICKNESS)
+    return detection.hough_space(slicing.raster_counts(members, slicing.slice_extents(members, CELL)), 4)
+
+
+@query
+def hough_peaks(spark, sf_dir):
+    return detection.hough_peaks(hough_space(spark, sf_dir))
 
 
 @query
@@ -476,22 +489,45 @@ def cluster_json_bands(spark, sf_dir):
     return obj.cluster_json_bands(_few(spark, sf_dir).withColumn("cluster_id", F.col("seg_id") % 9))
 
 
+@query
+def cluster_json_contents(spark, sf_dir):
+    """What the JSON of all bands says when read back."""
+    point = "struct<x: double, y: double, z: double>"
+    schema = f"total_segments bigint, total_clusters bigint, clusters array<struct<cluster_id: bigint, segment_count: bigint, segments: array<struct<segment_index: bigint, start_point: {point}, end_point: {point}>>>>"
+    rows = cluster_json_bands(spark, sf_dir).select("slice_id", F.from_json("value", schema).alias("v"))
+    rows = rows.select("slice_id", "v.total_segments", "v.total_clusters", F.explode("v.clusters").alias("c"))
+    rows = rows.select("slice_id", "total_segments", "total_clusters", "c.cluster_id", "c.segment_count", F.explode("c.segments").alias("s"))
+    ends = [F.col(f"s.{e}_point.{a}").alias(f"{a}{i}") for i, e in enumerate(("start", "end")) for a in "xyz"]
+    return rounded(rows.select("slice_id", "total_segments", "total_clusters", "cluster_id", "segment_count", "s.segment_index", *ends))
+
+
 @query
 def metrics_json(spark, sf_dir):
     samples = checkpoint(evaluation.distance_samples(_matches(spark, sf_dir)))
     return obj.metrics_json(_report(spark, sf_dir), samples)
 
 
+@query
+def metrics_json_contents(spark, sf_dir):
+    """What the JSON says when read back: the report, and the number and sum of the samples."""
+    report = _report(spark, sf_dir)
+    schema = ", ".join(f"{n} {kind}" for n, kind in report.dtypes) + ", xy_samples array<double>, z_samples array<double>"
+    rows = metrics_json(spark, sf_dir).select(F.from_json("value", schema).alias("v"))
+    total = lambda c: F.aggregate(f"v.{c}_samples", F.lit(0.0), lambda s, x: s + x).alias(f"sum_{c}")
+    counts = [v for c in ("xy", "z") for v in (F.size(f"v.{c}_samples").cast("bigint").alias(f"n_{c}"), total(c))]
+    return rounded(rows.select(*(f"v.{n}" for n in report.columns), *counts))
+
+
 @query
 def label_mapping(spark, sf_dir):
-    mapping = F.array(*(F.lit((k * 7) % 5) for k in range(25)))
-    return read_table(spark, sf_dir, "customer").select("c_custkey", F.element_at(mapping, (F.col("c_nationkey") + 1).cast("int")).alias("label"))
+    return read_table(spark, sf_dir, "customer").select("c_custkey", records.mapped_label(F.col("c_nationkey"), [(k * 7) % 5 for k in range(25)]).alias("label"))
 
 
 @query
 def segment_records(spark, sf_dir):
-    """Segments as numbered records and back."""
-    s = G.ends()
-    ends = [c.alias(f"p{i}_{a}") for i, t in ((1, (s.x0, s.y0, s.z0)), (2, (s.x1, s.y1, s.z1))) for a, c in zip("xyz", t, strict=True)]
-    rows = obj._number(_gt(spark, sf_dir), "id")
-    return rounded(rows.select(F.struct((F.col("n") + 1).alias("pipe_number"), F.lit(-1).alias("individual_0"), F.lit(-1).alias("individual_1"), G.length(s).alias("fitness"), *ends).alias("r")).select("r.*"))
+    return rounded(records.segments_to_records(_gt(spark, sf_dir), "id"))
+
+
+@query
+def segments_from_records(spark, sf_dir):
+    return rounded(records.records_to_segments(records.segments_to_records(_gt(spark, sf_dir), "id")))

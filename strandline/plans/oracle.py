@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandline.plans.fixtures import duck
 
 _PI = "3.141592653589793e0"
+_PRIORITY = "(({p}point_id % 2147483647) * 48271 + 42) % 2147483647"
 
 
 def _with(*names: str, more: str = "", recursive: bool = False) -> str:
@@ -149,6 +150,38 @@ members AS (SELECT chain_id, bucket, seq, z FROM fold UNION ALL SELECT f.chain_i
 stepped AS (SELECT *, degrees(abs(atan((z - lag(z) OVER (PARTITION BY chain_id, bucket ORDER BY seq)) * 2))) AS angle FROM members),
 buckets AS (SELECT chain_id, bucket, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, avg(angle) AS mean_angle FROM stepped GROUP BY chain_id, bucket)"""
 
+#: Level buckets joined to parts, and the robust line of each.
+_PARTS = """good AS (SELECT chain_id, bucket, m.seq, c.x, c.y, c.z FROM members m JOIN (SELECT chain_id, bucket FROM buckets WHERE n >= 3 AND mean_angle < 15) USING (chain_id, bucket) JOIN chain c USING (chain_id, seq)),
+tips AS (SELECT chain_id, bucket, row_number() OVER (PARTITION BY chain_id ORDER BY bucket) AS k, arg_min({'x': x, 'y': y, 'z': z}, seq) AS a, arg_max({'x': x, 'y': y, 'z': z}, seq) AS b, sum(z) AS total, count(*) AS n FROM good GROUP BY chain_id, bucket),
+joined AS (
+  SELECT chain_id, bucket, k, b, total, n, 0 AS part FROM tips WHERE k = 1
+  UNION ALL
+  SELECT chain_id, bucket, k, b, CASE WHEN same THEN total + t ELSE t END, CASE WHEN same THEN n + m ELSE m END, CASE WHEN same THEN part ELSE part + 1 END
+  FROM (SELECT t.chain_id, t.bucket, t.k, t.b, t.total AS t, t.n AS m, j.total, j.n, j.part,
+      sqrt((j.b.x - t.a.x) * (j.b.x - t.a.x) + (j.b.y - t.a.y) * (j.b.y - t.a.y) + (j.b.z - t.a.z) * (j.b.z - t.a.z)) < 3 AND abs(j.total / j.n - t.total / t.n) < 0.1e0 AS same
+    FROM joined j JOIN tips t ON t.chain_id = j.chain_id AND t.k = j.k + 1)),
+c AS (SELECT chain_id, part, row_number() OVER (PARTITION BY chain_id, part ORDER BY bucket, seq) AS idx, x, y, z FROM good JOIN (SELECT chain_id, bucket, part FROM joined) USING (chain_id, bucket)),
+l AS (SELECT p.chain_id, p.part, p.idx AS i, q.idx AS j, p.x AS ix, p.y AS iy, q.x AS jx, q.y AS jy, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS size FROM c p JOIN c q ON p.chain_id = q.chain_id AND p.part = q.part AND p.idx < q.idx),
+d AS (SELECT l.chain_id, l.part, i, j, x, y, abs((jx - ix) * (y - iy) - (jy - iy) * (x - ix)) / size AS d FROM l JOIN c ON c.chain_id = l.chain_id AND c.part = l.part WHERE size > 0),
+s AS (SELECT chain_id, part, i, j, count(*) AS inliers, round(sum(d * d), 9) AS residual, avg(x) AS ox, avg(y) AS oy, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS turn FROM d WHERE d < 0.05e0 GROUP BY chain_id, part, i, j),
+best AS (SELECT chain_id, part, ox, oy, cos(turn) AS dx, sin(turn) AS dy FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, part ORDER BY inliers DESC, residual, i, j) AS place FROM s) WHERE place = 1),
+feet AS (SELECT chain_id, part, idx = 1 AS head, z, ox + ((x - ox) * dx + (y - oy) * dy) * dx AS fx, oy + ((x - ox) * dx + (y - oy) * dy) * dy AS fy
+  FROM c JOIN best USING (chain_id, part) WHERE idx = 1 OR idx = (SELECT max(idx) FROM c e WHERE e.chain_id = c.chain_id AND e.part = c.part))"""
+
+
+def _thinned(code: int, axes: str) -> str:
+    """The greedy choice in rounds: a point stays when all better neighbours went, and goes when one of them stays."""
+    d2 = " + ".join(f"(q.{a} - p.{a}) * (q.{a} - p.{a})" for a in axes)
+    return f"""p AS (SELECT point_id, x, y, z, {_PRIORITY.format(p='')} AS rank FROM points WHERE class = {code}),
+close AS (SELECT p.point_id AS worse, q.point_id AS better FROM p JOIN p q ON q.x BETWEEN p.x - 0.021e0 AND p.x + 0.021e0 AND q.y BETWEEN p.y - 0.021e0 AND p.y + 0.021e0 AND (q.rank, q.point_id) < (p.rank, p.point_id) AND {d2} < 0.02e0 * 0.02e0),
+turns AS (
+  SELECT 0 AS turn, point_id, CAST(NULL AS BOOLEAN) AS stays FROM p
+  UNION ALL
+  SELECT t.turn + 1, t.point_id, CASE WHEN t.stays IS NOT NULL THEN t.stays WHEN n.kept THEN false WHEN n.waits THEN NULL ELSE true END
+  FROM turns t LEFT JOIN (SELECT worse, bool_or(coalesce(b.stays, false)) AS kept, bool_or(b.stays IS NULL) AS waits FROM close JOIN turns b ON better = b.point_id GROUP BY worse) n ON n.worse = t.point_id
+  WHERE EXISTS (SELECT 1 FROM turns WHERE stays IS NULL))"""
+
+
 _DIST = """sqrt((px - x0 - t * (x1 - x0)) * (px - x0 - t * (x1 - x0)) + (py - y0 - t * (y1 - y0)) * (py - y0 - t * (y1 - y0)))"""
 
 
@@ -234,7 +267,6 @@ def _shares(of: str, scale: str, names: list[str], view: str) -> str:
 
 _REPORT = "n_gt, n_det, correct, partial, missed, false_positives, " + _r("coverage", "total_length", "false_positive_length", "missed_length", "xy_avg", "xy_median", "z_avg", "z_median")
 _PCT = "round(coverage / total_length * 100, 6) + 0e0 AS coverage_pct, round(coverage / (total_length + false_positive_length) * 100, 6) + 0e0 AS coverage_iou_pct"
-_PRIORITY = "(({p}point_id % 2147483647) * 48271 + 42) % 2147483647"
 
 SQL: dict[str, str] = {
     "las_class_split": _with("POINTS") + "SELECT class, count(*) AS n, " + ", ".join(f"round({f}({c}), 6) + 0e0 AS {f}_{c}" for c in "xyz" for f in ("min", "max")) + " FROM points GROUP BY class",
@@ -303,6 +335,10 @@ s AS (SELECT chain_id, part, i, j, count(*) AS inliers, round(sum(d * d), 9) AS
     + f"SELECT comp_id, {_r('min_x', 'min_y', 'min_z', 'max_x', 'max_y', 'max_z', 'cx', 'cy', 'cz')} FROM b JOIN near USING (comp_id) WHERE place = 1 AND distance <= 0.5e0",
     "thin_first_round": _with("POINTS", more=f"p AS (SELECT point_id, x, y, {_PRIORITY.format(p='')} AS rank FROM points WHERE class = 2)")
     + "SELECT point_id FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.point_id <> p.point_id AND (q.rank, q.point_id) < (p.rank, p.point_id) AND q.x BETWEEN p.x - 0.03e0 AND p.x + 0.03e0 AND (q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) < 0.02e0 * 0.02e0)",
+    "thin_points": _with("POINTS", more=_thinned(2, "xy"), recursive=True) + "SELECT point_id FROM turns WHERE turn = (SELECT max(turn) FROM turns) AND stays",
+    "source_thinning": _with("POINTS", more=_thinned(1, "xyz"), recursive=True) + "SELECT point_id FROM turns WHERE turn = (SELECT max(turn) FROM turns) AND stays",
+    "chain_lines": _with("CHAIN", more=f"{_BUCKETS}, {_PARTS}", recursive=True)
+    + f"SELECT a.chain_id, a.part, {', '.join(f'round({v}, 6) + 0e0 AS {n}' for v, n in (('a.fx', 'x0'), ('a.fy', 'y0'), ('a.z', 'z0'), ('b.fx', 'x1'), ('b.fy', 'y1'), ('b.z', 'z1')))} FROM feet a JOIN feet b ON a.chain_id = b.chain_id AND a.part = b.part AND a.head AND NOT b.head",
     "eval_pipe_labels": _with("GT", "DET", more=_MATCH) + "SELECT id, label FROM labels",
     "eval_pipe_counts": _with("GT", "DET", more=_MATCH) + "SELECT n_gt, n_det, correct, partial, missed, false_positives FROM report",
     "eval_pipe_samples": _with("GT", "DET", more=_MATCH) + f"SELECT gt_id, det_id, tip, {_r('xy', 'z')} FROM samples",
@@ -327,4 +363,11 @@ s AS (SELECT chain_id, part, i, j, count(*) AS inliers, round(sum(d * d), 9) AS
     "obj_component_boxes": _with("GT_COMP", more=f"{_FIT}, {_boxes_text()}") + _TEXT,
     "label_mapping": "SELECT c_custkey, CAST((c_nationkey * 7) % 5 AS INT) AS label FROM customer",
     "segment_records": _with("GT") + f"SELECT CAST(row_number() OVER (ORDER BY id) AS INT) AS pipe_number, -1 AS individual_0, -1 AS individual_1, round({_LEN3}, 6) + 0e0 AS fitness, " + ", ".join(f"round({a}{i}, 6) + 0e0 AS p{i + 1}_{a}" for i in (0, 1) for a in "xyz") + " FROM gt",
+    "segments_from_records": _with("GT") + f"SELECT CAST(row_number() OVER (ORDER BY id) AS BIGINT) AS pipe_number, {_r('x0', 'y0', 'z0', 'x1', 'y1', 'z1')} FROM gt",
+    "cluster_json_contents": _with("FEW_FRAGMENTS", more="c AS (SELECT *, seg_id % 9 AS cluster_id FROM few_fragments)")
+    + f"SELECT slice_id, total_segments, total_clusters, cluster_id, segment_count, seg_id AS segment_index, {_r('x0', 'y0', 'z0', 'x1', 'y1', 'z1')} FROM c JOIN (SELECT slice_id, count(*) AS total_segments, count(DISTINCT cluster_id) AS total_clusters FROM c GROUP BY slice_id) USING (slice_id) JOIN (SELECT slice_id, cluster_id, count(*) AS segment_count FROM c GROUP BY slice_id, cluster_id) USING (slice_id, cluster_id)",
+    "metrics_json_contents": _with("GT", "DET", more=_MATCH)
+    + f"SELECT {_REPORT}, {_PCT}, (SELECT count(xy) FROM samples) AS n_xy, round((SELECT sum(xy) FROM samples), 6) + 0e0 AS sum_xy, (SELECT count(z) FROM samples) AS n_z, round((SELECT sum(z) FROM samples), 6) + 0e0 AS sum_z FROM report",
+    "hough_votes": _with("POINTS", more=f"{_SLICES}, {_EXTENTS}, cells AS (SELECT DISTINCT slice_id, least(floor((y - y_min) / ((y_max - y_min) / ny)), ny - 1) AS r, least(floor((x - x_min) / ((x_max - x_min) / nx)), nx - 1) AS c FROM members JOIN extents USING (slice_id))")
+    + f"SELECT slice_id, CAST(a AS INT) AS angle, CAST(round_even(c * cos(a * ({_PI} / 4) - {_PI} / 2) + r * sin(a * ({_PI} / 4) - {_PI} / 2), 0) AS INT) AS rho, count(*) AS votes FROM cells, unnest([0, 1, 2, 3]) AS t(a) GROUP BY ALL",
 }

@@ -41,6 +41,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, *by: str, into: str = "n") -> DataFrame:
+    """``df`` with each row's place, from 0, in order of ``by``: sorted by ranges, and each range's places follow those of the ranges before it."""
+    from pyspark.sql import functions as F
+
+    rows = checkpoint(df.repartitionByRange(*by).sortWithinPartitions(*by))
+    # the number of a checkpoint's partition and the row's place in it
+    rows = rows.withColumn(into, F.monotonically_increasing_id())
+    part = F.shiftright(F.col(into), 33)
+    counts = sorted((r["p"], r["m"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("m")).collect())
+    before, starts = 0, []
+    for p, m in counts:
+        starts.append((p, before))
+        before += m
+    table = F.broadcast(df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint"))
+    return rows.withColumn("_part", part).join(table, "_part").withColumn(into, F.col("_start") + F.col(into).bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start")
+
+
 def broadcast_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
     """``df`` checkpointed, and marked for broadcast if it has at most ``most`` (narrow) rows; beyond, joins shuffle."""
     from pyspark.sql import functions as F

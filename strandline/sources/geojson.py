@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.session import numbered
+
 _FEATURES = "array<struct<type: string, id: string, bbox: array<double>, geometry: struct<type: string, coordinates: string>, properties: map<string, string>>>"
 _COLLECTION = f"struct<type: string, name: string, features: {_FEATURES}>"
 
@@ -59,11 +61,6 @@ def _feature(part: int, order: Column, name: Column, kind: str, geometry: Column
     return F.struct(F.lit(part).alias("part"), order.alias("at"), F.to_json(F.struct(*fields)).alias("json"))
 
 
-def _numbered(df: DataFrame, by: str) -> DataFrame:
-    """Rows with their place in order of ``by``; features are few, as one file holds them."""
-    return df.withColumn("at", F.row_number().over(Window.orderBy(by)) - 1)
-
-
 def feature_rows(pipes: DataFrame | None, chains: DataFrame | None, components: DataFrame | None, epsg: int | None = None) -> DataFrame:
     """``(part, at, json)``: pipes (pipe_id, x0 .. z1), chains (chain_id, points) and components as feature texts, in that order."""
     point = lambda *c: F.array(*c)
@@ -71,13 +68,13 @@ def feature_rows(pipes: DataFrame | None, chains: DataFrame | None, components:
     parts = []
     if pipes is not None:
         line = F.array(point("x0", "y0", "z0"), point("x1", "y1", "z1"))
-        parts.append(_numbered(pipes, "pipe_id").select(_feature(0, F.col("at"), F.concat(F.lit("pipe_"), F.col("at")), "pipe", geometry("LineString", line), epsg).alias("f")))
+        parts.append(numbered(pipes, "pipe_id", into="at").select(_feature(0, F.col("at"), F.concat(F.lit("pipe_"), F.col("at")), "pipe", geometry("LineString", line), epsg).alias("f")))
     if chains is not None:
         line = F.transform("points", lambda p: F.array(p["x"], p["y"], p["z"]))
-        parts.append(_numbered(chains, "chain_id").select(_feature(1, F.col("at"), F.concat(F.lit("chain_"), F.col("at")), "snapped_chain", geometry("LineString", line), epsg).alias("f")))
+        parts.append(numbered(chains, "chain_id", into="at").select(_feature(1, F.col("at"), F.concat(F.lit("chain_"), F.col("at")), "snapped_chain", geometry("LineString", line), epsg).alias("f")))
     if components is not None:
         box = F.array(*(f"{m}_{a}" for m in ("min", "max") for a in "xyz"))
-        parts.append(_numbered(components, "comp_id").select(_feature(2, F.col("at"), F.concat(F.lit("comp_"), F.col("at")), "component", geometry("Point", point("cx", "cy", "cz")), epsg, box).alias("f")))
+        parts.append(numbered(components, "comp_id", into="at").select(_feature(2, F.col("at"), F.concat(F.lit("comp_"), F.col("at")), "component", geometry("Point", point("cx", "cy", "cz")), epsg, box).alias("f")))
     if not parts:
         raise ValueError("nothing to export")
     out = parts[0]

@@ -1,14 +1,15 @@
 """LAS point files as a Spark data source, read by ranges of records and written a file per partition.
 
-Only uncompressed files are read; a compressed one is an error.  Paths are
-plain paths that all executors see.
+Only uncompressed files are read; a compressed one is an error that says so.
+Plain paths, which all executors see, are read by ranges; addresses of a store
+(``scheme://``) go through Spark's own readers, a file of up to 2 GB at a time.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,7 @@ def read_header(raw: bytes) -> Header:
     minor = raw[25]
     offset, fmt, size, count = struct.unpack_from("<I", raw, 96)[0], raw[104], struct.unpack_from("<H", raw, 105)[0], struct.unpack_from("<I", raw, 107)[0]
     if fmt & 0xC0:
-        raise ValueError("compressed point records are not supported")
+        raise ValueError("compressed point records (LAZ) are not supported: write the cloud as LAS")
     if minor >= 4 and len(raw) >= 255:
         count = struct.unpack_from("<Q", raw, 247)[0] or count
     return Header(offset, fmt, size, count, struct.unpack_from("<3d", raw, 131), struct.unpack_from("<3d", raw, 155))
@@ -110,12 +111,11 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
+    """New files appear beside old ones; the old ones go when all of the new ones are there."""
+
     def __init__(self, path: str, overwrite: bool):
-        self.path = path
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex[:12]
         os.makedirs(path, exist_ok=True)
-        if overwrite:
-            for old in glob.glob(os.path.join(path, "part-*.las")):
-                os.remove(old)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
         from pyspark import TaskContext
@@ -123,13 +123,25 @@ class _Writer(DataSourceArrowWriter):
         task = TaskContext.get()
         table = [b for b in batches if b.num_rows]
         columns = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in table]) if table else np.zeros(0) for c in ("x", "y", "z", "class")]
-        path = os.path.join(self.path, f"part-{task.partitionId():05d}.las")
+        path = os.path.join(self.path, f"part-{self.job}-{task.partitionId():05d}.las")
         if len(columns[0]):
             with open(f"{path}.{task.attemptNumber()}", "wb") as f:
                 f.write(encode(*columns[:3], columns[3].astype(np.uint8)))
             os.replace(f"{path}.{task.attemptNumber()}", path)
         return _Written(path)
 
+    def _remove(self, own: bool) -> None:
+        for name in os.listdir(self.path):
+            if name.startswith("part-") and ".las" in name and name.startswith(f"part-{self.job}-") == own:
+                os.remove(os.path.join(self.path, name))
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        if self.overwrite:
+            self._remove(own=False)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        self._remove(own=True)
+
 
 class LasSource(DataSource):
     """``spark.read.format("las").load(path)``: a file, or the files of a folder."""
@@ -164,8 +176,33 @@ def class_column(df: DataFrame) -> Column:
     raise ValueError(f"no class among the columns {df.columns}")
 
 
+def _stored_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[lL][aA][sSzZ]").load(path)
+
+
+def read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """Points of the LAS files at an address that Spark can read; ids number the files in order of their names."""
+    files = _stored_files(spark, path)
+    numbers = {r["path"]: k for k, r in enumerate(files.select("path").orderBy("path").collect())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                raw = memoryview(raw.as_buffer())
+                h = read_header(bytes(raw[:375]))
+                for start in range(0, h.count, CHUNK):
+                    n = min(CHUNK, h.count - start)
+                    found = decode_records(raw[h.offset + start * h.size : h.offset + (start + n) * h.size], h)
+                    ids = (np.int64(numbers[name]) << 40) + start + np.arange(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(found[c]) for c in ("x", "y", "z", "class"))], names=["point_id", "x", "y", "z", "class"])
+
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
+
+
 def load_points(spark: SparkSession, path: str) -> DataFrame:
     """Points of a LAS file or folder, or of Parquet with (point_id, x, y, z, class)."""
+    if "://" in path and not _stored_files(spark, path).select("path").isEmpty():
+        return read_stored(spark, path)
     if las_files(path):
         spark.dataSource.register(LasSource)
         return spark.read.format("las").load(path)

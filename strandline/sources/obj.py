@@ -8,11 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
-
-
-def _number(df: DataFrame, *by: str) -> DataFrame:
-    """``df`` with ``n``, counted from 0 in order of ``by``; a file's rows are few and its vertex numbers run through."""
-    return df.withColumn("n", F.row_number().over(Window.orderBy(*by)) - 1)
+from strandline.session import numbered
 
 
 def _vertex(pattern: str, x: Column, y: Column, z: Column) -> Column:
@@ -33,7 +29,7 @@ def _header(df: DataFrame, *texts: str) -> DataFrame:
 def segment_lines(segments: DataFrame, by: str, header: tuple[str, ...] = ("# lines: {count}",), pattern: str = "%.6f") -> DataFrame:
     """``(part, n, k, line)``: two vertices and a line for each segment (x0 .. z1), in order of ``by``."""
     s, n = G.ends(), F.col("n")
-    rows = _number(segments, by)
+    rows = numbered(segments, by)
     link = F.format_string("l %d %d", n * 2 + 1, n * 2 + 2)
     return _header(segments, *header).unionByName(_exploded(rows, [_vertex(pattern, s.x0, s.y0, s.z0), _vertex(pattern, s.x1, s.y1, s.z1), link]))
 
@@ -45,14 +41,15 @@ def slice_segment_lines(segments: DataFrame, slice_id: int, z_center: float) ->
 
 def point_lines(points: DataFrame, by: str) -> DataFrame:
     """A vertex for each point."""
-    return _header(points, "# points: {count}").unionByName(_exploded(_number(points, by), [_vertex("%.6f", F.col("x"), F.col("y"), F.col("z"))]))
+    return _header(points, "# points: {count}").unionByName(_exploded(numbered(points, by), [_vertex("%.6f", F.col("x"), F.col("y"), F.col("z"))]))
 
 
 def cluster_lines_obj(segments: DataFrame) -> DataFrame:
     """Segments with ``cluster_id``, an object and group for each cluster; nine decimals.  Clusters are numbered in order of their names."""
     s, n = G.ends(), F.col("n")
     rows = segments.filter(F.col("cluster_id").isNotNull())
-    rows = _number(rows, "cluster_id", "seg_id").withColumn("cid", F.dense_rank().over(Window.orderBy("cluster_id")) - 1)
+    names = numbered(rows.select("cluster_id").distinct(), "cluster_id", into="cid")
+    rows = numbered(rows, "cluster_id", "seg_id").join(names, "cluster_id")
     first = F.row_number().over(Window.partitionBy("cluster_id").orderBy("seg_id")) == 1
     rows = rows.withColumn("first", first).withColumn("size", F.count("*").over(Window.partitionBy("cluster_id")))
     name = F.lpad(F.col("cid").cast("string"), 3, "0")
@@ -71,7 +68,7 @@ def sample_vector_lines(samples: DataFrame, tangential: float, normal: float) ->
     at = lambda x, y: _vertex("%.6f", x, y, z)
     ends = [at(sx + sign * F.col(f"{v}x") * size, sy + sign * F.col(f"{v}y") * size) for v, size in (("t", tangential), ("n", normal)) for sign in (1, -1)]
     links = [F.format_string("l %d %d", n * 6 + 1, n * 6 + 2 + i) for i in range(5)]
-    rows = _number(samples, "seg_id", "k")
+    rows = numbered(samples, "seg_id", "k")
     head = F.concat(F.lit("# sample "), n.cast("string"))
     return _header(samples, f"# tangent: {tangential}", f"# normal: {normal}", "# samples: {count}").unionByName(_exploded(rows, [head, at(sx, sy), *ends, at(F.col("cx"), F.col("cy")), *links]))
 
@@ -91,7 +88,7 @@ def component_lines(components: DataFrame) -> DataFrame:
     cross = [v(*(x + sign * _CROSS if i == axis else x for i, x in enumerate(c))) for axis in range(3) for sign in (-1, 1)]
     link = lambda a, b: F.format_string("l %d %d", n * 15 + a + 1, n * 15 + b + 1)
     point = F.format_string("p %d", n * 15 + 9)
-    rows = _number(components, "comp_id")
+    rows = numbered(components, "comp_id")
     return _exploded(rows, [*corners, v(*c), point, *cross, *(link(9 + 2 * i, 10 + 2 * i) for i in range(3)), *(link(a, b) for a, b in _EDGES)])
 
 

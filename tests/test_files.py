@@ -136,6 +136,21 @@ def test_command_line_finds_planted_pipes(spark, tmp_path, capsys):
     assert features.filter("id like 'pipe_%'").count() >= 2 and features.filter("id like 'comp_%'").count() >= 2
 
 
+def test_las_through_sparks_readers_and_replaced_on_commit(spark, tmp_path):
+    spark.dataSource.register(las.LasSource)
+    folder = str(tmp_path / "clouds")
+    rows = spark.createDataFrame([(k, float(k), 0.5, -1.25, k % 3) for k in range(100)], schema.POINTS)
+    rows.repartition(3).write.format("las").mode("overwrite").save(folder)
+    one, two = las.load_points(spark, folder), las.load_points(spark, f"file://{folder}")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) and two.count() == 100
+    bad = rows.withColumn("x", F.when(F.col("point_id") == 99, F.raise_error(F.lit("stop")).cast("double")).otherwise(F.col("x")))
+    with pytest.raises(Exception):  # noqa: B017
+        bad.repartition(3).write.format("las").mode("overwrite").save(folder)
+    assert las.load_points(spark, folder).count() == 100  # a failed write leaves the old files
+    rows.limit(7).coalesce(1).write.format("las").mode("overwrite").save(folder)
+    assert las.load_points(spark, folder).count() == 7
+
+
 def test_default_settings_find_planted_pipes(spark, tmp_path):
     """The surfaces of two pipes and a fitting on each, without a settings file."""
     rng = np.random.default_rng(5)

@@ -314,3 +314,82 @@ def test_lines_over_tile_borders_are_whole(spark):
         parts = sorted(got[b])
         assert (parts[0][0], parts[-1][1]) == ends and all(abs(q[0] - p[1]) < 1e-9 for p, q in zip(parts, parts[1:]))
     assert 4 not in got
+
+
+def test_robust_line_matches_a_loop():
+    rng = np.random.default_rng(4)
+    for m in (2, 3, 7, 40):
+        x, y = rng.integers(0, 12, m) / 4.0, rng.integers(0, 4, m) / 20.0
+        best = None
+        for i in range(m):
+            for j in range(i + 1, m):
+                size = np.hypot(x[j] - x[i], y[j] - y[i])
+                if size > 0:
+                    d = np.abs((x[j] - x[i]) * (y - y[i]) - (y[j] - y[i]) * (x - x[i])) / size
+                    found = (-(d < 0.07).sum(), round(float((d[d < 0.07] ** 2).sum()), 9), i, j)
+                    best = min(best or found, found)
+        for at_once in (4_000_000, 16):
+            old, snapping.AT_ONCE = snapping.AT_ONCE, at_once
+            try:
+                got = snapping._robust_line(x, y, 0.07)
+            finally:
+                snapping.AT_ONCE = old
+            assert (-got[2], got[3], got[0], got[1]) == (best[0], pytest.approx(best[1], abs=1e-9), *best[2:])
+    assert snapping._robust_line(np.ones(3), np.ones(3), 0.1) is None and snapping._robust_line(np.ones(1), np.ones(1), 0.1) is None
+
+
+def test_nearest_segment_by_growing_cells(spark):
+    rng = np.random.default_rng(6)
+    ends = rng.uniform(0, 100, (60, 6)).tolist()
+    pipes = spark.createDataFrame([(k, *e[:3], *([v + 3 for v in e[:3]] if k % 3 else e[3:])) for k, e in enumerate(ends)], "pipe_id int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    places = spark.createDataFrame([(k, *rng.uniform(-200 if k < 5 else 0, 300 if k < 5 else 100, 3).tolist()) for k in range(200)] + [(900, None, 1.0, 1.0)], "point_id int, x double, y double, z double")
+    for planar in (True, False):
+        one, two = (spatial.segment_distances(places, pipes, planar, most).collect() for most in (10**9, 0))
+        assert len(one) == 200 and {r[0]: round(r[1], 9) for r in one} == {r[0]: round(r[1], 9) for r in two}
+    one, two = (sorted(spatial.nearest_segment(places, pipes, "point_id", "x", "y", most=most).collect()) for most in (10**9, 0))
+    assert one == two and len(one) == 200
+    assert spatial.nearest_segment(places, pipes.limit(0), "point_id", "x", "y", most=-1).count() == 0
+
+
+def test_matches_are_those_of_all_pairs(spark):
+    """Short truths, steep and long detections, far along their lines."""
+    rng = np.random.default_rng(7)
+    schema = "id int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
+
+    def lines(n, long):
+        at, turn = rng.uniform(0, 40, (n, 2)), rng.uniform(0, np.pi, n)
+        size = rng.choice(long, n)
+        return [(k, *at[k].tolist(), 0.0, float(at[k, 0] + size[k] * np.cos(turn[k])), float(at[k, 1] + size[k] * np.sin(turn[k])), 1.0) for k in range(n)]
+
+    gt, det = lines(300, [0.2, 0.9, 1.1, 6.0]), lines(200, [0.5, 3.0, 60.0]) + [(900, 5.0, 0.0, 0.0, 5.0, 40.0, 0.0), (901, 0.0, 7.0, 0.0, 40.0, 7.0, 0.0), (902, 1.0, 1.0, 0.0, 1.0, 1.0, 0.0)]
+    g, d = spark.createDataFrame(gt, schema), spark.createDataFrame(det, schema)
+    found = sorted((r["gt_id"], r["det_id"]) for r in evaluation.match_pipes(g, d).collect())
+    gs, ds = G.ends("g"), G.ends("d")
+    pairs = g.toDF("gt_id", *(f"g{c}" for c in G.Ends._fields)).crossJoin(d.toDF("det_id", *(f"d{c}" for c in G.Ends._fields)))
+    wanted = sorted((r[0], r[1]) for r in pairs.filter(G.within_tolerance(ds, gs, evaluation.TOLERANCE)).select("gt_id", "det_id").collect())
+    assert found == wanted and len(wanted) > 100
+
+
+def test_rows_are_numbered_over_partitions(spark):
+    from strandline.session import numbered
+
+    rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("v"))
+    found = sorted((r["v"], r["n"]) for r in numbered(rows, "v").collect())
+    assert [n for _, n in found] == list(range(5000))
+    assert numbered(rows.limit(0), "v").count() == 0
+
+
+def test_hough_peaks_are_apart(spark):
+    votes = spark.createDataFrame([(0, 10, 50, 100), (0, 12, 55, 90), (0, 12, 80, 80), (0, 178, -52, 70), (0, 1, 50, 60), (0, 90, 0, 30), (1, 5, 5, 3), (1, 5, 6, 3)], "slice_id int, angle int, rho int, votes bigint")
+    found = [(r["slice_id"], r["angle"], r["rho"], r["place"]) for r in detection.hough_peaks(votes).orderBy("slice_id", "place").collect()]
+    assert found == [(0, 10, 50, 1), (0, 12, 80, 2), (0, 178, -52, 3), (1, 5, 5, 1)]
+
+
+def test_records_go_back_to_segments(spark):
+    from strandline.functions import records
+
+    segs = spark.createDataFrame([(5, 1.0, 2.0, 3.0, 4.0, 6.0, 3.0), (2, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)], "id int, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    made = records.segments_to_records(segs, "id")
+    assert [(r["pipe_number"], r["fitness"], r["p2_x"]) for r in made.orderBy("pipe_number").collect()] == [(1, 1.0, 1.0), (2, 5.0, 4.0)]
+    assert {tuple(r)[1:] for r in records.records_to_segments(made).collect()} == {tuple(r)[1:] for r in segs.collect()}
+    assert spark.createDataFrame([(0,), (2,), (None,)], "k int").select(records.mapped_label(F.col("k"), [7, 8, 9]).alias("v")).collect() == [(7,), (9,), (None,)]
