@@ -28,4 +28,4 @@ def records_to_segments(records: DataFrame) -> DataFrame:
 
 def mapped_label(label: Column, mapping: Sequence[int]) -> Column:
     """The entry of ``mapping`` at the label's place, from 0; a label outside it is an error, a null one stays null."""
-    return F.element_at(F.array(*map(F.lit, mapping)), (label + 1).cast("int"))
+    return F.when(label.isNotNull(), F.element_at(F.array(*map(F.lit, mapping)), (label + 1).cast("int")))
