@@ -64,3 +64,44 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
 """
+
+
+def _either(word: str) -> str:
+    """ASCII letters of a word in either case."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+#: The secret rules' patterns without possessive marks, and what their matches must hold.
+_KEYWORDS = "(?:" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + ")[\"']? *[:=] *[\"']?"
+_SECRETS = [
+    ("assign", _KEYWORDS + "[A-Za-z0-9+/_.=-]+", "length(regexp_replace(value, '^" + _KEYWORDS.replace("'", "''") + "', '')) >= 12"),
+    ("access", "AKIA[A-Z0-9]+", "length(value) >= 18"),
+    ("hex", "[0-9a-f]+", "length(value) >= 16"),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36}", "true"),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "true"),
+    ("private_key", "-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----", "true"),
+]
+
+
+def _found(place: int, kind: str, pattern: str, holds: str) -> str:
+    """Matches of one rule with their places: the lengths of all pieces and matches before them."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT r, {place} AS place, '{kind}' AS kind, value, low, low + length(value) AS high FROM (
+    SELECT r, unnest(v) AS value, unnest(list_transform(range(1, len(v) + 1), lambda i: CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS BIGINT))) AS low
+    FROM (SELECT r, regexp_extract_all(text, {p}) AS v, regexp_split_to_array(text, {p}) AS g FROM d)) WHERE {holds}"""
+
+
+def _digest(kinds: list[str], found: list[str]) -> str:
+    base = ", ".join(f"'{k}'" for k in kinds)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    text = "string_agg(kind || ':' || low || ':' || high, ',' ORDER BY low, place, high)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(found)})
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce({text} FILTER (kind IN ({base})), '')) AS base_sha256, coalesce({text} FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN found USING (r) GROUP BY r
+"""
+
+
+SECRETS = _digest(["assign", "access", "hex"], [_found(k, *rule) for k, rule in enumerate(_SECRETS)])

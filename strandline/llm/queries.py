@@ -81,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": oracle.CHAT,
     "op5_top_k": oracle.TOP_K,
+    "op9_secrets": oracle.SECRETS,
 }
