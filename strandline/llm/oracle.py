@@ -1,5 +1,9 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from strandline.llm import pii
+
 #: A 512-token budget with 96 tokens and 4 turns of history: the defaults of ``format_chat``.
 CHAT = r"""
 WITH input AS (
@@ -104,4 +108,45 @@ FROM d LEFT JOIN found USING (r) GROUP BY r
 """
 
 
+def _luhn(digits: str) -> str:
+    """The digits, doubled at every second place from the right, sum to a multiple of ten."""
+    d = f"CAST(substr({digits}, i, 1) AS INT)"
+    return f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 0 THEN {d} ELSE 2 * {d} - CASE WHEN {d} > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
+
+_DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
+_BARE = "replace(value, ' ', '')"
+_MOD97 = f"list_reduce(list_prepend(0, list_transform(string_split(substr({_BARE}, 5) || substr({_BARE}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END)), lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1"
+#: Kind, plain pattern, what a match must hold, score, context words.
+_PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(value, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(TRY_CAST(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+    ("card", "[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_luhn(_DIGITS)}"),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", f"length({_BARE}) BETWEEN 15 AND 34 AND {_MOD97}"),
+    ("ssn", "[0-9]+(?:-[0-9]+)*", f"regexp_matches(value, '{pii.SSN}')"),
+    ("birth", "[0-9]+(?:[./-][0-9]+)*", f"regexp_matches(value, '{pii.BIRTH}')"),
+]
+
+
+def _pii() -> str:
+    near = f"lower(substr(text, greatest(low - {pii.NEAR}, 0) + 1, low - greatest(low - {pii.NEAR}, 0)) || ' ' || substr(text, high + 1, {pii.NEAR}))"
+    edge = r"[^\p{L}\p{N}_]"
+    scores = " ".join(f"WHEN '{k}' THEN {pii.PRIOR[k]}e0 + CASE WHEN regexp_matches({near}, '(^|{edge})(?:{pii.CONTEXT[k]})($|{edge})') THEN {pii.RAISE}e0 ELSE 0e0 END" for k in pii.KINDS)
+    base = ", ".join(f"'{k}'" for k in pii.BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE_KINDS)
+    text = "string_agg(kind || ':' || low || ':' || high, ',' ORDER BY low, place, high)"
+    matches = " UNION ALL ".join(_found(k, *rule) for k, rule in enumerate(_PII))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({matches}),
+scored AS (SELECT r, place, kind, low, high, round(CASE kind {scores} END, 6) AS score FROM matches JOIN d USING (r)),
+found AS (SELECT * FROM scored WHERE score >= {pii.KEEP})
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256(coalesce({text} FILTER (kind IN ({base})), '')) AS base_sha256, coalesce({text} FILTER (kind IS NOT NULL), '') AS spans,
+  coalesce(string_agg(printf('%.1f', score), ',' ORDER BY low, place, high) FILTER (kind IS NOT NULL), '') AS scores
+FROM d LEFT JOIN found USING (r) GROUP BY r
+"""
+
+
+PII = _pii()
 SECRETS = _digest(["assign", "access", "hex"], [_found(k, *rule) for k, rule in enumerate(_SECRETS)])

@@ -16,9 +16,11 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-BIRTH = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[./](?:0?[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![0-9/-])"
+IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"
+#: Runs of digits and marks, which count if the whole run has a form.
+DASHED, DATED = r"[0-9]++(?:-[0-9]++)*+", r"[0-9]++(?:[./-][0-9]++)*+"
+SSN = r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"
+BIRTH = r"^(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[./](?:0?[1-9]|1[0-2])[./](?:19|20)[0-9]{2})$"
 
 #: Whole words near a span that raise its score, by kind.
 CONTEXT = {
@@ -62,7 +64,7 @@ def _scored(cut: Column, spans: Column) -> Column:
         prior, hit = F.lit(0.0), F.lit(False)
         for kind in KINDS:
             prior = F.when(s["kind"] == kind, F.lit(PRIOR[kind])).otherwise(prior)
-            hit = F.when(s["kind"] == kind, near.rlike(rf"\b(?:{CONTEXT[kind]})\b")).otherwise(hit)
+            hit = F.when(s["kind"] == kind, near.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{CONTEXT[kind]})(?![\p{{L}}\p{{N}}_])")).otherwise(hit)
         return s.withField("score", F.round(prior + F.when(hit, F.lit(RAISE)).otherwise(F.lit(0.0)), 6))
 
     return F.filter(F.transform(spans, score), lambda s: s["score"] >= KEEP)
@@ -79,8 +81,8 @@ def _found(text: Column) -> Column:
         guarded(digit, regex_spans(text, CARD, "card", _card)),
         guarded(digit & holds("+"), regex_spans(text, PHONE, "phone", phone)),
         guarded(digit & text.rlike("[A-Z]{2}[0-9]{2}"), regex_spans(text, IBAN, "iban", _mod97)),
-        guarded(digit & holds("-"), regex_spans(text, SSN, "ssn")),
-        guarded(digit & text.rlike("[0-9]{4}"), regex_spans(text, BIRTH, "birth")),
+        guarded(text.rlike("[0-9]-[0-9]{2}-[0-9]"), regex_spans(text, DASHED, "ssn", lambda v: v.rlike(SSN))),
+        guarded(text.rlike("[0-9][./-][0-9]"), regex_spans(text, DATED, "birth", lambda v: v.rlike(BIRTH))),
     ]
     return F.concat(*parts)
 

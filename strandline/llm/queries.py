@@ -81,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": oracle.CHAT,
     "op5_top_k": oracle.TOP_K,
+    "op7_pii": oracle.PII,
     "op9_secrets": oracle.SECRETS,
 }
