@@ -1,12 +1,19 @@
-"""Connected components as alternating large-star and small-star rounds."""
+"""Connected components: few edges in one task, many as alternating large-star and small-star rounds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.session import checkpoint
 
+#: Edges that one task may solve, some megabytes.
+FEW = 250_000
+
 
 def _neighbours(edges: DataFrame) -> DataFrame:
     both = F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -28,17 +35,42 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``(node, component)`` for every node of ``edges(a, b)``; the component is its least node.
+def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All edges in, every node with the least node of its component out."""
+    edges = [b for b in batches if len(b)]
+    if not edges:
+        return
+    nodes, ends = np.unique(np.concatenate([b[c].to_numpy() for c in ("a", "b") for b in edges]), return_inverse=True)
+    a, b = ends[: len(ends) // 2], ends[len(ends) // 2 :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        # the hubs of both ends move too, so that components grow by more than a step
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    yield pd.DataFrame({"node": nodes, "component": nodes[label]})
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, few: int = FEW) -> DataFrame:
+    """``(node, component)`` for every node of ``edges(a, b)``, which are whole numbers; the component is its least node.
 
-    Each round is a few grouped minima and joins whose rows never exceed a small
-    multiple of the edges; its output is checkpointed, so lineage stays short.
-    Loops and repeated edges are allowed, null ends are ignored, and a node that
-    occurs only in a loop is its own component.
+    Up to ``few`` distinct edges one task solves them.  Beyond, each round is a
+    few grouped minima and joins whose rows never exceed a small multiple of the
+    edges; its output is checkpointed, so lineage stays short.  Loops and repeated
+    edges are allowed, null ends are ignored, and a node that occurs only in a
+    loop is its own component.
     """
-    edges = edges.select("a", "b").filter("a is not null and b is not null")
+    edges = edges.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = checkpoint(edges.distinct())
+    if edges.count() <= few:
+        return edges.coalesce(1).mapInPandas(_solved, f"node {edges.dtypes[0][1]}, component {edges.dtypes[0][1]}")
     loops = edges.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
-    current = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    current = edges.filter("a <> b")
     seen = None
     for _ in range(max_rounds):
         # a star forest repeats itself: as many edges, and the same sums

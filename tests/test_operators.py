@@ -38,12 +38,15 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*edges, (None, 3)], "a bigint, b bigint")).collect()}
-    assert found == {x: root(x) for x in parent}
+    table = spark.createDataFrame([*edges, (None, 3), (9000, None)], "a bigint, b bigint")
+    for few in (250_000, 0):
+        found = {r["node"]: r["component"] for r in connected_components(table, few=few).collect()}
+        assert found == {x: root(x) for x in parent}
 
 
 def test_components_of_nothing(spark):
-    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    for few in (250_000, -1):
+        assert connected_components(spark.createDataFrame([], "a bigint, b bigint"), few=few).count() == 0
 
 
 def _fold(rows, gap):
