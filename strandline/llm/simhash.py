@@ -207,6 +207,11 @@ def _chunk_pairs(rows: DataFrame, cut: DataFrame, on: str, label: str, by: str)
     return rows.withColumn("c", F.explode(F.when(F.col("n_out").isNull(), none).otherwise(pairs)))
 
 
+def _scattered(cut: DataFrame) -> bool:
+    """Whether some group has more than a chunk of rows outside its greatest part."""
+    return not cut.filter("n_out > 1").isEmpty()
+
+
 def _own_chunks(rows: DataFrame, cut: DataFrame, on: str, by: str, salt: int) -> DataFrame:
     """Rows of the groups in ``cut``, each in one chunk ``c`` of its group."""
     n = F.col("n_in") + F.col("n_out")
@@ -218,7 +223,7 @@ def _own_chunks(rows: DataFrame, cut: DataFrame, on: str, by: str, salt: int) ->
 def _compared(rows: DataFrame, on: str, columns: list[str], compare) -> DataFrame:
     """The links ``(a, b)`` that ``compare`` finds in each group and pair of chunks ``c``."""
     rows = rows.select(F.xxhash64(on, "c.s0", "c.s1").alias("g"), F.col("c.part").cast("tinyint").alias("part"), *columns)
-    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_whole_groups(compare), "a bigint, b bigint").distinct()
+    return rows.repartition("g").sortWithinPartitions("g").mapInPandas(_whole_groups(compare), "a bigint, b bigint")
 
 
 def _merged(nodes: DataFrame, label: str, found: DataFrame) -> DataFrame:
@@ -240,11 +245,14 @@ def links(nodes: DataFrame, keys: list[list[tuple[int, int]]], words: int, dista
     f = [f"f{k}" for k in range(words)]
     tagged = lambda x: x.select("root", *(F.col("f")[k].alias(f"f{k}") for k in range(words)), F.explode(F.array(*tags)).alias("key"))
     compare = _verifier(words, distance)
-    cut = checkpoint(_cut(tagged(nodes).select("key", F.lit(0).alias("root")), "key", "root", F.lit(1), CHUNK))
-    if not cut.isEmpty():
-        nodes = _merged(nodes, "root", _compared(_own_chunks(tagged(nodes), cut, "key", "f0", first_key), "key", ["root", *f], compare))
-        large = _spread(tagged(nodes).select("key", "root"), cut.select("key", "n_in"), "key", "root").filter("n_in is not null")
-        cut = checkpoint(_cut(large, "key", "root", F.lit(1), CHUNK))
+    large = checkpoint(tagged(nodes).groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CHUNK))
+    label = lambda x: checkpoint(_cut(_spread(tagged(x).select("key", "root"), large, "key", "root").filter("m is not null"), "key", "root", F.lit(1), CHUNK))
+    cut = large.select("key", *(F.lit(None).cast(kind).alias(c) for c, kind in (("inside", "bigint"), ("n_in", "int"), ("n_out", "int"))))
+    if not large.isEmpty():
+        cut = label(nodes)
+        if _scattered(cut):
+            nodes = _merged(nodes, "root", _compared(_own_chunks(tagged(nodes), cut, "key", "f0", first_key), "key", ["root", *f], compare))
+            cut = label(nodes)
     return _merged(nodes, "root", _compared(_chunk_pairs(tagged(nodes), cut, "key", "root", "f0"), "key", ["root", *f], compare))
 
 
@@ -406,11 +414,11 @@ def _similar_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, simil
     sets = texts.mapInPandas(run, "f array<bigint>, s array<bigint>").select(F.xxhash64("f").alias("node"), "s")
     sets = sets.join(asked.select("node", "root"), "node").groupBy("node", "root").agg(F.min("s").alias("s")).withColumn("label", F.col("node"))
     sets, size, compare = checkpoint(sets), F.size("s"), _exact(similarity)
-    cut = checkpoint(_cut(sets.select("root", "s", F.lit(0).alias("label")), "root", "label", size, SET_CHUNK))
-    if not cut.isEmpty():
-        for salt in range(2):  # within chunks, which differ from one time to the other
+    cut = checkpoint(_cut(sets, "root", "label", size, SET_CHUNK))
+    for salt in range(2):  # within chunks, which differ from one time to the other
+        if _scattered(cut):
             sets = _merged(sets, "label", _compared(_own_chunks(sets, cut, "root", "node", salt), "root", ["label", "s"], compare))
-        cut = checkpoint(_cut(sets, "root", "label", size, SET_CHUNK))
+            cut = checkpoint(_cut(sets, "root", "label", size, SET_CHUNK))
     sets = _merged(sets, "label", _compared(_chunk_pairs(sets, cut, "root", "label", "node"), "root", ["label", "s"], compare))
     return checkpoint(nodes.join(sets.select("node", "label"), "node", "left").select("node", "least", F.coalesce("label", "node").alias("root")))
 
