@@ -41,17 +41,17 @@ class _Blocks:
         return at - (2**self.depth - 1)
 
 
-def _box_distances(xy: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+def _box_distances(xy: np.ndarray, boxes: np.ndarray, metric: str) -> np.ndarray:
     """(points, boxes); boxes are (x, y, x, y) of their least and greatest corners."""
     apart = [np.maximum(np.maximum(boxes[:, i] - xy[:, i, None], xy[:, i, None] - boxes[:, 2 + i]), 0) for i in (0, 1)]
     # a hair less, so that no rounding hides a pair
-    return np.hypot(*apart) * (1 - 1e-9)
+    return kernels.METRICS[metric](*apart) * (1 - 1e-9)
 
 
-def _bottlenecks(at: np.ndarray, core: np.ndarray, inner: np.ndarray) -> np.ndarray:
+def _bottlenecks(at: np.ndarray, core: np.ndarray, inner: np.ndarray, metric: str) -> np.ndarray:
     """Between every two blocks, a length within which any of their points are linked: over the blocks' first points and the blocks' own trees."""
     m = len(at)
-    step = np.hypot(at[:, None, 0] - at[:, 0], at[:, None, 1] - at[:, 1])
+    step = kernels.METRICS[metric](at[:, None, 0] - at[:, 0], at[:, None, 1] - at[:, 1])
     for side in (np.maximum(core, inner), np.maximum(core, inner)[:, None]):
         step = np.maximum(step, side)
     reach = np.full((m, m), np.inf)
@@ -68,7 +68,7 @@ def _bottlenecks(at: np.ndarray, core: np.ndarray, inner: np.ndarray) -> np.ndar
     return reach * (1 + 1e-9)
 
 
-def _to_blocks(rows: DataFrame, boxes: np.ndarray, reach: np.ndarray | None, schema: str) -> DataFrame:
+def _to_blocks(rows: DataFrame, boxes: np.ndarray, reach: np.ndarray | None, schema: str, metric: str) -> DataFrame:
     """Every row once for each block ``to`` within its ``reach``: its own ``core`` if None, else that from its own block to another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +76,7 @@ def _to_blocks(rows: DataFrame, boxes: np.ndarray, reach: np.ndarray | None, sch
             for low in range(0, len(whole), 1000):
                 batch = whole.iloc[low : low + 1000]
                 own = batch["block"].to_numpy()
-                far = _box_distances(batch[["x", "y"]].to_numpy(), boxes)
+                far = _box_distances(batch[["x", "y"]].to_numpy(), boxes, metric)
                 near = far <= (batch["core"].to_numpy()[:, None] if reach is None else reach[own])
                 if reach is not None:
                     near[np.arange(len(own)), own] = False
@@ -86,7 +86,7 @@ def _to_blocks(rows: DataFrame, boxes: np.ndarray, reach: np.ndarray | None, sch
     return rows.mapInPandas(run, schema)
 
 
-def _joint_edges(rows: DataFrame, n: int, least: int) -> DataFrame:
+def _joint_edges(rows: DataFrame, n: int, least: int, metric: str) -> DataFrame:
     """``(a, b, w)`` between the nodes of ``n`` rows ``(node, x, y)``: they hold a least spanning tree of the mutual reachability.
 
     The plane is cut into blocks.  Core distances are sought in the blocks that
@@ -106,7 +106,7 @@ def _joint_edges(rows: DataFrame, n: int, least: int) -> DataFrame:
 
     def bound(g: pd.DataFrame) -> pd.DataFrame:
         xy = g[["x", "y"]].to_numpy()
-        return g.assign(core=kernels.nearest_distances(xy, xy, least)[:, -1] if len(g) >= least else np.inf)
+        return g.assign(core=kernels.nearest_distances(xy, xy, least, metric)[:, -1] if len(g) >= least else np.inf)
 
     blocks = checkpoint(rows.mapInPandas(cut, "node bigint, x double, y double, block int").groupBy("block").applyInPandas(bound, base))
     corners = [f(c) for f in (F.min, F.max) for c in ("x", "y")]
@@ -117,17 +117,17 @@ def _joint_edges(rows: DataFrame, n: int, least: int) -> DataFrame:
     boxes[np.isinf(boxes[:, 0])] = [np.inf, np.inf, -np.inf, -np.inf]
 
     def nearest(asked: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        d = kernels.nearest_distances(asked[["x", "y"]].to_numpy(), g[["x", "y"]].to_numpy(), least) if len(asked) and len(g) else np.zeros((0, 0))
+        d = kernels.nearest_distances(asked[["x", "y"]].to_numpy(), g[["x", "y"]].to_numpy(), least, metric) if len(asked) and len(g) else np.zeros((0, 0))
         return pd.DataFrame({"node": asked["node"].iloc[: len(d)], "d": list(d)})
 
-    asked = _to_blocks(blocks, boxes, None, f"{base}, to int")
+    asked = _to_blocks(blocks, boxes, None, f"{base}, to int", metric)
     found = asked.groupBy("to").cogroup(blocks.groupBy("block")).applyInPandas(nearest, "node bigint, d array<double>")
     core = found.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("d"))).alias("d")).select("node", F.element_at("d", least).alias("core"))
     blocks = checkpoint(blocks.drop("core").join(core, "node").select("node", "x", "y", "block", "core"))
 
     def tree(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("node", ignore_index=True)
-        a, b, w = kernels.spanning_tree(g[["x", "y"]].to_numpy(), g["core"].to_numpy())
+        a, b, w = kernels.spanning_tree(g[["x", "y"]].to_numpy(), g["core"].to_numpy(), metric)
         node, block = g["node"].to_numpy(), g["block"].to_numpy()
         return pd.DataFrame({"a": node[a], "b": node[b], "w": w, "block": block[a], "across": block[a] != block[b]})
 
@@ -138,8 +138,8 @@ def _joint_edges(rows: DataFrame, n: int, least: int) -> DataFrame:
     full = sorted(first)
     reach = np.full((2**depth, 2**depth), -1.0)
     at = np.array([first[k][:2] for k in full])
-    reach[np.ix_(full, full)] = _bottlenecks(at, np.array([first[k][2] for k in full]), np.array([longest.get(k, 0.0) for k in full]))
-    pairs = _to_blocks(blocks, boxes, reach, f"{base}, to int")
+    reach[np.ix_(full, full)] = _bottlenecks(at, np.array([first[k][2] for k in full]), np.array([longest.get(k, 0.0) for k in full]), metric)
+    pairs = _to_blocks(blocks, boxes, reach, f"{base}, to int", metric)
     # least trees of the points of two blocks; what lies inside one is known
     across = pairs.groupBy(F.least("block", "to"), F.greatest("block", "to")).applyInPandas(lambda g: tree(g[["node", "x", "y", "block", "core"]]), edges).filter("across")
     return inside.unionByName(across).select("a", "b", "w")
@@ -153,15 +153,15 @@ def density_clusters(points: DataFrame, settings: Components = Components(), mos
     condenses the edges, a few for each point.  Labels are the least point_id of
     a cluster.
     """
-    if settings.metric != "euclidean":
-        raise ValueError(f"metric {settings.metric} is not supported")
-    least, method = settings.min_points, settings.cluster_selection_method
+    if settings.metric not in kernels.METRICS:
+        raise ValueError(f"metric {settings.metric} is not one of {', '.join(kernels.METRICS)}")
+    least, method, metric = settings.min_points, settings.cluster_selection_method, settings.metric
     rows = checkpoint(points.select(F.monotonically_increasing_id().alias("node"), "point_id", F.col("x").cast("double"), F.col("y").cast("double")))
     n = rows.count()
     if n <= most or n < max(least, 2):
 
         def run(g: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"node": g["node"], "k": kernels.hdbscan(g[["x", "y"]].to_numpy(), least, method)})
+            return pd.DataFrame({"node": g["node"], "k": kernels.hdbscan(g[["x", "y"]].to_numpy(), least, method, metric)})
 
         found = rows.groupBy().applyInPandas(run, "node bigint, k bigint")
     else:
@@ -170,7 +170,7 @@ def density_clusters(points: DataFrame, settings: Components = Components(), mos
             nodes, ends = np.unique(np.concatenate([g["a"], g["b"]]), return_inverse=True)
             return pd.DataFrame({"node": nodes, "k": kernels.tree_labels(n, ends[: len(g)], ends[len(g) :], g["w"].to_numpy(), least, method)})
 
-        found = _joint_edges(rows.select("node", "x", "y"), n, least).groupBy().applyInPandas(condense, "node bigint, k bigint")
+        found = _joint_edges(rows.select("node", "x", "y"), n, least, metric).groupBy().applyInPandas(condense, "node bigint, k bigint")
     named = checkpoint(rows.join(found.filter("k >= 0"), "node").select("point_id", "k"))
     return named.join(named.groupBy("k").agg(F.min("point_id").alias("label")), "k").select("point_id", "label")
 

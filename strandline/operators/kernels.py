@@ -132,23 +132,36 @@ def hough_lines(edges: np.ndarray, threshold: int, length: int, gap: int, seed:
     return line
 
 
-def nearest_distances(q: np.ndarray, xy: np.ndarray, k: int) -> np.ndarray:
+#: Planar distances by name, from the differences along the axes.
+METRICS = {
+    "euclidean": lambda dx, dy: np.sqrt(dx * dx + dy * dy),
+    "l2": lambda dx, dy: np.sqrt(dx * dx + dy * dy),
+    "manhattan": lambda dx, dy: np.abs(dx) + np.abs(dy),
+    "cityblock": lambda dx, dy: np.abs(dx) + np.abs(dy),
+    "l1": lambda dx, dy: np.abs(dx) + np.abs(dy),
+    "chebyshev": lambda dx, dy: np.maximum(np.abs(dx), np.abs(dy)),
+    "infinity": lambda dx, dy: np.maximum(np.abs(dx), np.abs(dy)),
+}
+
+
+def nearest_distances(q: np.ndarray, xy: np.ndarray, k: int, metric: str = "euclidean") -> np.ndarray:
     """The distances, rising, from each row of ``q`` to its ``k`` nearest points, or to all if they are fewer."""
     k = min(k, len(xy))
     out = np.empty((len(q), k))
     step = max(1, 5_000_000 // max(1, len(xy)))
     for low in range(0, len(q), step):
-        d = np.sqrt(((q[low : low + step, None, :] - xy[None, :, :]) ** 2).sum(2))
+        part = q[low : low + step]
+        d = METRICS[metric](part[:, None, 0] - xy[None, :, 0], part[:, None, 1] - xy[None, :, 1])
         out[low : low + step] = np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
     return out
 
 
-def _core_distances(xy: np.ndarray, k: int) -> np.ndarray:
+def _core_distances(xy: np.ndarray, k: int, metric: str) -> np.ndarray:
     """Distance to the k-th nearest point, the point itself counted as the first."""
-    return nearest_distances(xy, xy, k)[:, -1]
+    return nearest_distances(xy, xy, k, metric)[:, -1]
 
 
-def spanning_tree(xy: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spanning_tree(xy: np.ndarray, core: np.ndarray, metric: str = "euclidean") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least spanning tree of the mutual reachability distance, by Prim; quadratic time, linear memory."""
     n = len(xy)
     nearest, source = np.full(n, np.inf), np.zeros(n, dtype=int)
@@ -157,7 +170,7 @@ def spanning_tree(xy: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = 0
     inside[0] = True
     for k in range(n - 1):
-        d = np.maximum(np.sqrt(((xy - xy[at]) ** 2).sum(1)), np.maximum(core, core[at]))
+        d = np.maximum(METRICS[metric](*(xy - xy[at]).T), np.maximum(core, core[at]))
         closer = ~inside & (d < nearest)
         nearest[closer], source[closer] = d[closer], at
         at = int(np.where(inside, np.inf, nearest).argmin())
@@ -166,7 +179,7 @@ def spanning_tree(xy: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndar
     return a, b, w
 
 
-def hdbscan(xy: np.ndarray, least: int, method: str = "eom") -> np.ndarray:
+def hdbscan(xy: np.ndarray, least: int, method: str = "eom", metric: str = "euclidean") -> np.ndarray:
     """Labels of hierarchical density clusters, -1 for noise.
 
     Mutual reachability with ``least`` neighbours, single linkage, a tree
@@ -177,7 +190,7 @@ def hdbscan(xy: np.ndarray, least: int, method: str = "eom") -> np.ndarray:
     n = len(xy)
     if n < max(least, 2):
         return np.full(n, -1)
-    return tree_labels(n, *spanning_tree(xy, _core_distances(xy, least)), least, method)
+    return tree_labels(n, *spanning_tree(xy, _core_distances(xy, least, metric), metric), least, method)
 
 
 def tree_labels(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, least: int, method: str = "eom") -> np.ndarray:

@@ -167,6 +167,16 @@ def merge_islands_z(spark, sf_dir):
     return rounded(lines.merge_clusters(named, 2.0, 1.5).select("cluster_id", "island", "x0", "y0", "z0", "x1", "y1", "z1"))
 
 
+@query
+def eps_neighbour_pairs_all(spark, sf_dir):
+    return lines.eps_pairs(lines.axial_features(planted(spark, sf_dir, "FRAGMENTS")), EPS)
+
+
+@query
+def line_clusters_dbscan_all(spark, sf_dir):
+    return lines.cluster_lines(planted(spark, sf_dir, "FRAGMENTS"), EPS, 3).select("seg_id", "cluster_id")
+
+
 # snapping
 
 
@@ -180,6 +190,11 @@ def ghost_segments(spark, sf_dir):
     return snapping.ghosts(_few(spark, sf_dir), _points(spark, sf_dir, 1), 0.8)
 
 
+@query
+def ghost_segments_all(spark, sf_dir):
+    return snapping.ghosts(planted(spark, sf_dir, "FRAGMENTS"), _points(spark, sf_dir, 1), 0.8)
+
+
 def _boxes(spark, sf_dir):
     return snapping.box_points(snapping.samples(_gt(spark, sf_dir, "seg_id")), _points(spark, sf_dir, 1))
 
@@ -250,6 +265,12 @@ def nearest_pipe(spark, sf_dir):
     return rounded(spatial.nearest_segment(places, _gt(spark, sf_dir, "pipe_id"), "seg_id", "x0", "y0"))
 
 
+@query
+def nearest_pipe_all(spark, sf_dir):
+    places = planted(spark, sf_dir, "FRAGMENTS").select("seg_id", "x0", "y0")
+    return rounded(spatial.nearest_segment(places, _gt(spark, sf_dir, "pipe_id"), "seg_id", "x0", "y0"))
+
+
 @query
 def component_boxes(spark, sf_dir):
     rows = planted(spark, sf_dir, "POINTS").filter("class = 2")

@@ -371,3 +371,10 @@ s AS (SELECT chain_id, part, i, j, count(*) AS inliers, round(sum(d * d), 9) AS
     "hough_votes": _with("POINTS", more=f"{_SLICES}, {_EXTENTS}, cells AS (SELECT DISTINCT slice_id, least(floor((y - y_min) / ((y_max - y_min) / ny)), ny - 1) AS r, least(floor((x - x_min) / ((x_max - x_min) / nx)), nx - 1) AS c FROM members JOIN extents USING (slice_id))")
     + f"SELECT slice_id, CAST(a AS INT) AS angle, CAST(round_even(c * cos(a * ({_PI} / 4) - {_PI} / 2) + r * sin(a * ({_PI} / 4) - {_PI} / 2), 0) AS INT) AS rho, count(*) AS votes FROM cells, unnest([0, 1, 2, 3]) AS t(a) GROUP BY ALL",
 }
+
+# the same questions of the many fragments; not their clusters, whose recursive closure takes too long
+SQL |= {
+    "eps_neighbour_pairs_all": _with("FRAGMENTS", more=f"{_features('fragments')}, {_PAIRS}") + "SELECT a, b FROM pairs",
+    "ghost_segments_all": SQL["ghost_segments"].replace(duck("FEW_FRAGMENTS"), duck("FRAGMENTS")),
+    "nearest_pipe_all": SQL["nearest_pipe"].replace(duck("FEW_FRAGMENTS"), duck("FRAGMENTS")),
+}

@@ -295,12 +295,19 @@ def test_density_clusters_are_the_same_in_blocks(spark, monkeypatch):
     xy = [(round(x + rng.gauss(0, 0.1), 2), round(y + rng.gauss(0, 0.1), 2)) for x, y in places for _ in range(8)]
     xy += [(round(rng.gauss(30, 2), 1), round(rng.gauss(30, 2), 1)) for _ in range(150)] + [(rng.uniform(-50, 90), rng.uniform(-50, 90)) for _ in range(12)]
     cloud = points(spark, [(k, x, y, 0.0, 2) for k, (x, y) in enumerate(xy)])
-    for method in ("eom", "leaf"):
-        settings = Components(min_points=5, cluster_selection_method=method)
+    for method, metric in (("eom", "euclidean"), ("leaf", "euclidean"), ("eom", "manhattan"), ("eom", "chebyshev")):
+        settings = Components(min_points=5, cluster_selection_method=method, metric=metric)
         joint, blocks = (sorted(map(tuple, components.density_clusters(cloud, settings, most=most).collect())) for most in (20_000, 100))
         assert joint == blocks and len({label for _, label in joint}) >= 20
 
 
+def test_metrics_of_density_clusters(spark):
+    q, xy = np.array([[0.0, 0.0]]), np.array([[3.0, 4.0], [0.0, 6.0], [5.0, 5.0]])
+    assert kernels.nearest_distances(q, xy, 3, "manhattan").tolist() == [[6.0, 7.0, 10.0]] and kernels.nearest_distances(q, xy, 3, "chebyshev").tolist() == [[4.0, 5.0, 6.0]]
+    with pytest.raises(ValueError, match="metric"):
+        components.density_clusters(points(spark, []), Components(metric="haversine"))
+
+
 def test_lines_over_tile_borders_are_whole(spark):
     from strandline.config import Hough
 
