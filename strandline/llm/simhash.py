@@ -43,14 +43,16 @@ _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in ran
 
 def _mixed(hashes: np.ndarray, words: int) -> np.ndarray:
     """(n, words) hashes: the shingle's own first, then mixed ones."""
-    out = np.empty((len(hashes), words), dtype=np.uint64)
-    out[:, 0] = hashes
-    for k in range(1, words):
-        x = hashes + np.uint64((_STEP * k) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = x ^ (x >> np.uint64(31))
-    return out
+    if words == 1:
+        return hashes[:, None].copy()
+    x = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(_STEP)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    x[:, 0] = hashes
+    return x
 
 
 def fingerprint(text: str | None, size: int = 3, words: int = 1, seed: int = 42, distinct: bool = False) -> np.ndarray:
