@@ -1,4 +1,9 @@
-"""Corpus preparation: five stages over ``documents``, each an operator of ``strandline.llm``."""
+"""Corpus preparation: five stages over ``documents``, each an operator of ``strandline.llm``.
+
+Every stage takes rows with nulls in any column, empty and very long texts,
+repeated rows, no rows, and columns of any name, which all but the last return as
+they are.
+"""
 
 from __future__ import annotations
 
@@ -10,28 +15,28 @@ from strandline.session import checkpoint, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network rejects go."""
+    """Documents that the toxicity network rejects go; null and empty texts are scored as one empty word, repeated rows stay or go together."""
     return toxicity.drop_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the least id."""
+    """One document of each group of near copies stays, the one with the least id; empty and null texts are one group, rows without an id stay, rows of one id stay or go together."""
     return simhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Documents that hold a benchmark passage go; null and empty texts hold none."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to the names of their kinds."""
+    """Personal data give way to the names of their kinds, and ``n_chars``, if there is one, follows; null and empty texts stay."""
     found = pii.redact(docs)
     return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else found
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids beside each text."""
+    """Piece ids and their number beside each text, in columns that replace any of those names; null and empty texts have none."""
     return pieces.encode_pieces(docs, pieces.load()).withColumn("n_tokens", F.size("ids"))
 
 
