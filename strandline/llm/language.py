@@ -30,6 +30,8 @@ PER_LANGUAGE, MOST_CHARS = 400, 20_000
 TEMPER = 0.1
 #: Pages' worth of its parent's shares that smooth a domain's and a host's, and of even shares that smooth a table's cell.
 PRIOR_PAGES, CELL = 4.0, 0.5
+#: Sums of keys that are broadcast, 8 bytes each.
+MOST_SUMS = 2_000_000
 _NOT_TEXT = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*>?")
 #: Comments, scripts and styles, which are skipped, or the attributes of an html start tag; every character is read once.
 _HTML = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b([^>]*)")
@@ -137,6 +139,22 @@ def _normal(values: list[Column]) -> list[Column]:
     return [p / total for p in parts]
 
 
+def _with_sums(rows: DataFrame, table: DataFrame, key: str, pages: int) -> DataFrame:
+    """``rows`` with their key's sums.
+
+    Few keys are broadcast.  Of many, those of over a thousandth of all pages,
+    of which there are a thousand at most, are broadcast, and the rest is
+    shuffled, so that no large host lands in one task.
+    """
+    table = checkpoint(table)
+    if table.count() * (len(table.columns) - 1) <= MOST_SUMS:
+        return rows.join(F.broadcast(table), key)
+    size = f"{table.columns[-1]}"
+    often = F.broadcast(table.filter(F.col(size) > pages / 1000))
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table, key)
+    return rows.join(often, key).unionByName(rest)
+
+
 def page_languages(pages: DataFrame, model: Model) -> DataFrame:
     """``(page_id, lang, probability, text_lang, declared, host)`` of every page.
 
@@ -153,9 +171,9 @@ def page_languages(pages: DataFrame, model: Model) -> DataFrame:
     sums = lambda prefix: [F.sum(f"p{k}").alias(f"{prefix}{k}") for k in n]
     whole = F.broadcast(shares.agg(*sums("all"), F.count("*").alias("all_n")))  # one row
     rows = shares.crossJoin(whole)
+    total = seen.count()
     for key, prefix in (("declared", "d"), ("suffix", "s"), ("domain", "o"), ("host", "h")):
-        table = shares.groupBy(F.col(key).alias(f"{prefix}_key")).agg(*sums(prefix), F.count("*").alias(f"{prefix}_n"))
-        rows = rows.join(table, rows[key] == table[f"{prefix}_key"])
+        rows = _with_sums(rows, shares.groupBy(key).agg(*sums(prefix), F.count("*").alias(f"{prefix}_n")), key, total)
     posterior = []
     for k in n:
         own, total = F.col(f"p{k}"), F.col(f"all{k}")
