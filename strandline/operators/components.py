@@ -16,8 +16,8 @@ from strandline.session import checkpoint
 
 #: Points that one group may cluster exactly; its time is quadratic and its memory linear.
 MOST_POINTS = 20_000
-#: Beyond that, points of one block of the plane, about.
-BLOCK = 2_000
+#: Beyond that, points of one block of the plane, about, and blocks, until they hold ``MOST_POINTS`` each.
+BLOCK, BLOCKS = 2_000, 1_024
 
 
 class _Blocks:
@@ -96,7 +96,8 @@ def _joint_edges(rows: DataFrame, n: int, least: int, metric: str) -> DataFrame:
     points of theirs, farther apart than a length within which other edges link
     them anyway add nothing and are not compared.
     """
-    depth = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))))
+    block = min(max(BLOCK, n // BLOCKS), max(BLOCK, MOST_POINTS))
+    depth = max(0, int(np.ceil(np.log2(max(1, n / block)))))
     sample = rows.select("x", "y").sample(min(1.0, 64 * 2**depth / n), seed=42).toPandas().to_numpy()
     cuts, base = _Blocks(sample, depth), "node bigint, x double, y double, block int, core double"
 
@@ -150,8 +151,10 @@ def density_clusters(points: DataFrame, settings: Components = Components(), mos
 
     There is one hierarchy of all points at any size.  Up to ``most`` points one
     task builds it; beyond, its edges are found block by block, and one task
-    condenses the edges, a few for each point.  Labels are the least point_id of
-    a cluster.
+    condenses the edges, a few for each point.  The driver holds a number for
+    each pair of blocks, 8 MB up to 2 * 10**7 points and as the square of the
+    points beyond; that, and the one task, end at some 10**8 points.  Labels are
+    the least point_id of a cluster.
     """
     if settings.metric not in kernels.METRICS:
         raise ValueError(f"metric {settings.metric} is not one of {', '.join(kernels.METRICS)}")
@@ -185,17 +188,18 @@ def component_boxes(points: DataFrame, labels: DataFrame, pipes: DataFrame, thre
     return boxes.select("comp_id", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z", "cx", "cy", F.col("pipe_z").alias("cz"))
 
 
-def find_components(points: DataFrame, pipes: DataFrame, settings: Components = Components(), thinning_radius: float | None = 0.02) -> DataFrame:
-    """``COMPONENTS`` of class-2 points; without pipes or points there are none.
-
-    Thinning and the nearness to pipes are both judged on all points, then
-    combined.
-    """
+def component_points(points: DataFrame, pipes: DataFrame, settings: Components = Components(), thinning_radius: float | None = 0.02) -> DataFrame:
+    """The points that may make components: thinned, and near pipes, as the settings ask; both are judged on all points, then combined."""
     kept = points.select("point_id", "x", "y", "z")
     chosen = kept
     if settings.apply_thinning and thinning_radius:
         chosen = chosen.join(thin(kept, thinning_radius), "point_id", "left_semi")
     if settings.filter_near_pipes:
         chosen = chosen.join(near_segments(kept, pipes, settings.pipe_distance_threshold).select("point_id"), "point_id", "left_semi")
-    chosen = checkpoint(chosen)
+    return chosen
+
+
+def find_components(points: DataFrame, pipes: DataFrame, settings: Components = Components(), thinning_radius: float | None = 0.02) -> DataFrame:
+    """``COMPONENTS`` of class-2 points; without pipes or points there are none."""
+    chosen = checkpoint(component_points(points, pipes, settings, thinning_radius))
     return component_boxes(chosen, density_clusters(chosen, settings), pipes, settings.pipe_distance_threshold)

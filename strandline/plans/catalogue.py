@@ -17,7 +17,7 @@ from strandline.operators import components, detection, evaluation, lines, slici
 from strandline.plans import extraction, oracle
 from strandline.plans.fixtures import planted
 from strandline.session import checkpoint, read_table
-from strandline.sources import geojson, obj
+from strandline.sources import geojson, las, obj
 
 THICKNESS, CELL, EPS = 0.2, 0.5, 0.45
 #: The planted clouds are sparse, so their rasters are coarser than the default.
@@ -73,6 +73,14 @@ def las_class_split(spark, sf_dir):
     return planted(spark, sf_dir, "POINTS").groupBy("class").agg(F.count("*").alias("n"), *sides)
 
 
+@query
+def las_roundtrip(spark, sf_dir):
+    """All points written as LAS files and read again: numbers and sums in units of a file's steps."""
+    points = planted(spark, sf_dir, "POINTS").select(F.lit(0).cast("bigint").alias("point_id"), "x", "y", "z", F.col("class").cast("int").alias("class"))
+    step = lambda c: F.sum(F.round(F.col(c) * 10000).cast("bigint")).alias(f"sum_{c}")
+    return las.written_and_read(points).groupBy("class").agg(F.count("*").alias("n"), *map(step, "xyz"))
+
+
 @query
 def z_slices(spark, sf_dir):
     return rounded(slicing.z_slices(_points(spark, sf_dir, 1), THICKNESS))
@@ -195,6 +203,13 @@ def ghost_segments_all(spark, sf_dir):
     return snapping.ghosts(planted(spark, sf_dir, "FRAGMENTS"), _points(spark, sf_dir, 1), 0.8)
 
 
+@query
+def snap_tiny(spark, sf_dir):
+    """Segments without length stay as they are, unless no point is near."""
+    tips = _gt(spark, sf_dir, "seg_id").withColumns({"x1": F.col("x0"), "y1": F.col("y0"), "z1": F.col("z0")})
+    return rounded(snapping.snap(tips, _points(spark, sf_dir, 1))[0])
+
+
 def _boxes(spark, sf_dir):
     return snapping.box_points(snapping.samples(_gt(spark, sf_dir, "seg_id")), _points(spark, sf_dir, 1))
 
@@ -277,6 +292,11 @@ def component_boxes(spark, sf_dir):
     return rounded(components.component_boxes(rows.select("point_id", "x", "y", "z"), rows.select("point_id", F.col("supplier").alias("label")), _gt(spark, sf_dir, "pipe_id"), 0.5))
 
 
+@query
+def component_mask(spark, sf_dir):
+    return components.component_points(_points(spark, sf_dir, 2), _gt(spark, sf_dir)).select("point_id")
+
+
 @query
 def thin_first_round(spark, sf_dir):
     return spatial.thin_first_round(_points(spark, sf_dir, 2), 0.02)
@@ -474,6 +494,11 @@ def obj_lines(spark, sf_dir):
     return obj.segment_lines(_gt(spark, sf_dir), "id").select("part", "n", "k", "line")
 
 
+@query
+def obj_slice(spark, sf_dir):
+    return obj.slice_segment_lines(_few(spark, sf_dir), 5, 1.25).select("part", "n", "k", "line")
+
+
 @query
 def obj_missed(spark, sf_dir):
     return obj.segment_lines(evaluation.missed(_gt(spark, sf_dir), _matches(spark, sf_dir)), "id").select("part", "n", "k", "line")

@@ -370,6 +370,11 @@ s AS (SELECT chain_id, part, i, j, count(*) AS inliers, round(sum(d * d), 9) AS
     + f"SELECT {_REPORT}, {_PCT}, (SELECT count(xy) FROM samples) AS n_xy, round((SELECT sum(xy) FROM samples), 6) + 0e0 AS sum_xy, (SELECT count(z) FROM samples) AS n_z, round((SELECT sum(z) FROM samples), 6) + 0e0 AS sum_z FROM report",
     "hough_votes": _with("POINTS", more=f"{_SLICES}, {_EXTENTS}, cells AS (SELECT DISTINCT slice_id, least(floor((y - y_min) / ((y_max - y_min) / ny)), ny - 1) AS r, least(floor((x - x_min) / ((x_max - x_min) / nx)), nx - 1) AS c FROM members JOIN extents USING (slice_id))")
     + f"SELECT slice_id, CAST(a AS INT) AS angle, CAST(round_even(c * cos(a * ({_PI} / 4) - {_PI} / 2) + r * sin(a * ({_PI} / 4) - {_PI} / 2), 0) AS INT) AS rho, count(*) AS votes FROM cells, unnest([0, 1, 2, 3]) AS t(a) GROUP BY ALL",
+    "las_roundtrip": _with("POINTS") + "SELECT class, count(*) AS n, " + ", ".join(f"CAST(sum(CAST(round({c} * 10000) AS BIGINT)) AS BIGINT) AS sum_{c}" for c in "xyz") + " FROM points GROUP BY class",
+    "snap_tiny": _with("GT", "POINTS") + f"SELECT id AS seg_id, 0 AS part, {', '.join(f'round({a}0, 6) + 0e0 AS {a}{i}' for i in (0, 1) for a in 'xyz')} FROM gt s WHERE EXISTS (SELECT 1 FROM points p WHERE class = 1 AND (p.x - s.x0) * (p.x - s.x0) + (p.y - s.y0) * (p.y - s.y0) <= 0.8e0 * 0.8e0)",
+    "component_mask": _with("GT", "POINTS", more=_thinned(2, "xy") + ", two AS (SELECT * FROM points WHERE class = 2), " + _plane("two", "point_id", "x", "y"), recursive=True)
+    + "SELECT point_id FROM turns WHERE turn = (SELECT max(turn) FROM turns) AND stays AND point_id IN (SELECT point_id FROM d GROUP BY point_id HAVING min(distance) < 0.5e0)",
+    "obj_slice": _with("FEW_FRAGMENTS", more="own AS (SELECT * FROM few_fragments WHERE slice_id = 5), r AS (SELECT *, row_number() OVER (ORDER BY seg_id) - 1 AS n FROM own), texts AS (SELECT 0 AS part, 0 AS n, unnest([0, 1, 2]) AS k, unnest(['# slice 5', '# height: 1.250000', '# lines: ' || (SELECT count(*) FROM own)]) AS line UNION ALL SELECT 1, n, unnest([0, 1, 2]), unnest([printf('v %.6f %.6f %.6f', x0, y0, z0), printf('v %.6f %.6f %.6f', x1, y1, z1), printf('l %d %d', n * 2 + 1, n * 2 + 2)]) FROM r)") + _TEXT,
 }
 
 # the same questions of the many fragments; not their clusters, whose recursive closure takes too long

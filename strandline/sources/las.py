@@ -12,6 +12,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from strandline.session import checkpoint
+
 SCHEMA = "point_id bigint, x double, y double, z double, class int"
 #: Records of a partition.
 CHUNK = 1_000_000
@@ -208,3 +211,13 @@ def load_points(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.format("las").load(path)
     df = spark.read.parquet(path)
     return df.select("point_id", *(F.col(c).cast("double").alias(c) for c in "xyz"), class_column(df))
+
+
+def written_and_read(points: DataFrame) -> DataFrame:
+    """The points as they come back from LAS files, which go to a folder of their own beside the session's checkpoints."""
+    spark = points.sparkSession
+    spark.dataSource.register(LasSource)
+    checkpoint(spark.range(0))  # names the folder
+    folder = urlsplit(spark.sparkContext.getCheckpointDir()).path + f"/las-{uuid.uuid4().hex[:12]}"
+    points.write.format("las").mode("overwrite").save(folder)
+    return load_points(spark, folder)
