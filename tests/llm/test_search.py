@@ -261,6 +261,60 @@ def test_pipeline_on_planted_corpus(spark, tmp_path, words):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
 
 
+def test_pipeline_matches_brute_force(spark, tmp_path, words):
+    """Every stage by plain loops: the same rows, texts and ids come out."""
+    import re
+    from itertools import combinations
+
+    import corpus_pipeline
+    from strandline.llm import simhash, toxicity
+
+    rng, rows = random.Random(15), []
+    bench = [(k, " ".join(words(91_000 + k, 25))) for k in range(3)]
+    for k in range(150):
+        own = words(92_000 + k, rng.randrange(20, 160))
+        if k % 5 == 0:
+            for _ in range(4):
+                own[rng.randrange(len(own))] = "vilescum" + rng.choice(["en", "ly"])
+        text = " ".join(own)
+        if k % 20 == 3:
+            text += " " + _edited(bench[k % 3][1], rng.randrange(3), rng) + " and more"
+        if k % 7 == 1:
+            text += " write bob%d@mail.example.org or 10.0.0.%d now" % (k, k)
+        rows.append((k, text))
+    for k in (2, 4, 6, 8, 9, 11, 12):  # copies of all degrees, also of copies
+        own = rows[k][1].split()
+        for j in range(6):
+            own = list(own)
+            own[rng.randrange(len(own))] = f"changed{j}"
+            rows.append((1000 + 10 * k + j, " ".join(own)))
+    rows += [(5, rows[5][1]), (None, rows[6][1]), (2000, None), (2001, ""), (2002, "two words"), (2003, "two words")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars int")
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(150)], "doc_id bigint, quality int, toxic int")
+    for name, frame in (("documents", docs), ("labels", labels), ("benchmark", spark.createDataFrame(bench, "item_id bigint, text string"))):
+        frame.write.parquet(str(tmp_path / f"{name}.parquet"))
+    found = sorted((repr(r["doc_id"]), r["text"], tuple(r["ids"]), r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    model = toxicity.train(docs, labels)
+    left = [r for r in rows if model.scores([r[1]])[0] < toxicity.THRESHOLD]
+    sets = {t: frozenset(simhash.shingles(t, 5)) for _, t in left}
+    name = list(range(len(left)))
+    for i, j in combinations(range(len(left)), 2):
+        a, b = sets[left[i][1]], sets[left[j][1]]
+        if a == b or len(a & b) >= 0.8 * len(a | b):
+            name = [name[i] if x == name[j] else x for x in name]
+    least = {g: min((d for (d, _), n in zip(left, name, strict=True) if n == g and d is not None), default=None) for g in set(name)}
+    gone = {d for (d, _), n in zip(left, name, strict=True) if d is not None and d != least[n]}
+    left = [r for r in left if r[0] not in gone]
+    fold = lambda t: re.sub(r"\s", " ", (t or "").lower())
+    left = [r for r in left if not any(_edit_distance(fold(b), fold(r[1])) <= decontaminate.budget(len(b)) for _, b in bench)]
+    mask = lambda t: t and re.sub(r"[0-9]+(\.[0-9]+){3}", "[ip]", re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[email]", t))
+    codec = pieces.Codec(pieces.load())
+    wanted = sorted((repr(d), mask(t), tuple(codec.encode(mask(t)).tolist()), len(codec.encode(mask(t)))) for d, t in left)
+    assert [f[:2] for f in found] == [w[:2] for w in wanted] and found == wanted
+    assert 80 < len(found) < 130
+
+
 def test_stages_on_edge_rows(spark, tmp_path):
     import corpus_pipeline
 
