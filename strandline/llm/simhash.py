@@ -306,8 +306,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: The wide form of the pipeline: words of a fingerprint, those that gate a pair, rounds of keys, bits of a block at least, and the share of pairs at the similarity that no block may miss.
 WIDE_WORDS, WIDE_CHECK, WIDE_ROUNDS, WIDE_BITS, WIDE_MISSED = 27, 4, 4, 18, 0.006
-#: Shingles of the sets that one task compares among themselves; a larger candidate group is cut into chunks, as a key's rows are.
-SET_CHUNK = 500_000
+#: Shingles of the sets that one task compares among themselves, a set counting as ``SET_LEAST`` more; a larger candidate group is cut into chunks, as a key's rows are.
+SET_CHUNK, SET_LEAST = 100_000, 100
 
 
 def bit_rate(similarity: float) -> float:
@@ -415,7 +415,7 @@ def _similar_nodes(docs: DataFrame, id_col: str, text_col: str, size: int, simil
 
     sets = texts.mapInPandas(run, "f array<bigint>, s array<bigint>").select(F.xxhash64("f").alias("node"), "s")
     sets = sets.join(asked.select("node", "root"), "node").groupBy("node", "root").agg(F.min("s").alias("s")).withColumn("label", F.col("node"))
-    sets, size, compare = checkpoint(sets), F.size("s"), _exact(similarity)
+    sets, size, compare = checkpoint(sets), F.size("s") + SET_LEAST, _exact(similarity)
     cut = checkpoint(_cut(sets, "root", "label", size, SET_CHUNK))
     for salt in range(2):  # within chunks, which differ from one time to the other
         if _scattered(cut):
