@@ -26,6 +26,8 @@ from strandline.session import checkpoint
 BUCKETS = 1 << 15
 #: Bounds of the training sample: rows of a language, characters of a row.
 PER_LANGUAGE, MOST_CHARS = 400, 20_000
+#: Shares of a language's rows that are ranked before the language is.
+SHARES = 16
 #: N-grams overlap, so their log likelihood counts by this share.
 TEMPER = 0.1
 #: Pages' worth of its parent's shares that smooth a domain's and a host's, and of even shares that smooth a table's cell.
@@ -110,8 +112,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = M
     """
     known = docs.filter("lang is not null and doc_id is not null and text is not null")
     rows = known.select("doc_id", "lang", (F.char_length("text") > most_chars).alias("long"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    # first within shares of a language, so that no task reads more than those leave
+    for share in ([F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))], []):
+        rank = F.row_number().over(Window.partitionBy("lang", *share).orderBy("long", F.xxhash64("doc_id"), "doc_id"))
+        rows = rows.withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank")
+    chosen = rows.select("doc_id", "lang").distinct()
     texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.substring("text", 1, most_chars).alias("text"))
     return fit([(r["lang"], r["text"]) for r in texts.collect()] or [("und", "")])
 
