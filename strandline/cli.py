@@ -1,4 +1,4 @@
-"""Command line: ``python -m strandline.cli --input CLOUD [--output_dir DIR] [--config_path JSON] [--gt_path GEOJSON] [--eval]``."""
+"""Command line: ``python -m strandline.cli --input CLOUD [--output_dir DIR] [--config_path JSON] [--gt_path GEOJSON] [--eval] [--clean]``."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--gt_path", help="GeoJSON ground truth")
     p.add_argument("--output_dir", default="./output")
     p.add_argument("--eval", action="store_true", help="report against the ground truth")
+    p.add_argument("--clean", action="store_true", help="remove what earlier runs left in the output's folders first")
     return p
 
 
@@ -25,7 +26,7 @@ def main(args: Sequence[str] | None = None, spark: SparkSession | None = None) -
     given = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("strandline").getOrCreate()
     name = os.path.splitext(os.path.basename(given.input.rstrip("/")))[0]
-    found = extract_features(spark, given.input, given.output_dir, given.config_path, given.gt_path, given.eval and given.gt_path is not None, name)
+    found = extract_features(spark, given.input, given.output_dir, given.config_path, given.gt_path, given.eval and given.gt_path is not None, name, given.clean)
     for key in ("pipe_report", "component_report"):
         if key in found:
             found[key].show(truncate=False, vertical=True)

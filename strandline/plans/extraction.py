@@ -46,12 +46,26 @@ def extract_components(points: DataFrame, pipes: DataFrame, config: Config = Con
     return checkpoint(components.find_components(points, pipes, config.pipeComponent_clustering, config.point_sample_radius))
 
 
-def extract_features(spark: SparkSession, cloud: str, output: str, config_path: str | None = None, truth: str | None = None, evaluate: bool = False, name: str = "cloud") -> dict[str, DataFrame]:
+#: Folders of an output.
+FOLDERS = ("obj", "geojson", "metrics")
+
+
+def clear_output(spark: SparkSession, output: str) -> None:
+    """Remove the folders that runs write under ``output``, wherever Spark writes; what else lies there stays."""
+    for name in FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{output}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def extract_features(spark: SparkSession, cloud: str, output: str, config_path: str | None = None, truth: str | None = None, evaluate: bool = False, name: str = "cloud", clean: bool = False) -> dict[str, DataFrame]:
     """Read a classified cloud, write its features under ``output`` and return them; with a truth file, reports too.
 
-    Only this run's own files under ``output`` are replaced.
+    Only this run's own files under ``output`` are replaced, unless it is to be
+    ``clean``: then what earlier runs left in its folders goes first.
     """
     ship(spark)
+    if clean:
+        clear_output(spark, output)
     config = load_config(spark, config_path)
     cloud_points = checkpoint(schema.require(las.load_points(spark, cloud), schema.POINTS, "points"))
     if config.point_sample_radius:

@@ -179,6 +179,16 @@ def test_empty_cloud_gives_empty_features(spark, tmp_path):
     assert all(df.count() == 0 for df in found.values())
 
 
+def test_clean_output(spark, tmp_path):
+    schema.empty(spark, schema.POINTS).write.parquet(str(tmp_path / "none.parquet"))
+    for name in ("obj/old", "geojson/old", "kept"):
+        (tmp_path / "out" / name).mkdir(parents=True)
+    args = ["--input", str(tmp_path / "none.parquet"), "--output_dir", str(tmp_path / "out")]
+    assert cli.main(args, spark) == 0 and (tmp_path / "out/obj/old").exists()
+    assert cli.main([*args, "--clean"], spark) == 0
+    assert not (tmp_path / "out/obj/old").exists() and not (tmp_path / "out/geojson/old").exists() and (tmp_path / "out/kept").exists()
+
+
 def test_stream_of_tiles(spark, tmp_path):
     folder = str(tmp_path / "tiles")
     for k in range(2):
