@@ -83,14 +83,15 @@ def _with_rules(docs: DataFrame, text_col: str, rules: list[Rule], name: str) ->
     moves.  Beyond it the rows go to their keys, in ``SALTS`` shares by the task
     that read them, so that copies of one text do not share a task.
     """
-    found = checkpoint(candidates(postings(docs, text_col, rules), rules)).select(F.col("key").alias(f"{name}_key"), F.col("rules").alias(name))
-    key = F.xxhash64(docs[text_col]) == found[f"{name}_key"]
+    key, salt, share = (fresh(docs, f"{name}_{part}") for part in ("key", "salt", "share"))
+    found = checkpoint(candidates(postings(docs, text_col, rules), rules)).select(F.col("key").alias(key), F.col("rules").alias(name))
+    same = F.xxhash64(docs[text_col]) == found[key]
     if found.count() <= MOST_BROADCAST:
-        return docs.join(F.broadcast(found), key, "left").drop(f"{name}_key")
-    rows = docs.withColumn(f"{name}_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    found = found.withColumn(f"{name}_share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    key = (F.xxhash64(rows[text_col]) == found[f"{name}_key"]) & (rows[f"{name}_salt"] == found[f"{name}_share"])
-    return rows.join(found, key, "left").drop(f"{name}_key", f"{name}_salt", f"{name}_share")
+        return docs.join(F.broadcast(found), same, "left").drop(key)
+    rows = docs.withColumn(salt, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    found = found.withColumn(share, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.xxhash64(rows[text_col]) == found[key]) & (rows[salt] == found[share])
+    return rows.join(found, same, "left").drop(key, salt, share)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets", rules: list[Rule] = RULES) -> DataFrame:

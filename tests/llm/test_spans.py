@@ -143,7 +143,10 @@ def test_extra_columns_stay(docs_of):
 def test_many_candidates_go_to_their_keys(docs_of, monkeypatch):
     rows = docs_of([(k, t) for k, t in enumerate(CASES * 3)]).repartition(5)
     few = sorted(map(repr, secrets.secrets_digest(rows).collect()))
+    clash = rows.drop("_rules").withColumns({c: rows["doc_id"] for c in ("_rules_share", "_rules_salt", "_rules_key")})
+    assert secrets.find_secrets(clash, into="found").columns == [*clash.columns, "found"]
     monkeypatch.setattr(secrets, "MOST_BROADCAST", 0)
+    assert secrets.find_secrets(clash, into="found").columns == [*clash.columns, "found"]
     assert sorted(map(repr, secrets.secrets_digest(rows).collect())) == few and len(few) == 3 * len(CASES)
 
 
