@@ -26,8 +26,6 @@ from strandline.session import checkpoint
 BUCKETS = 1 << 15
 #: Bounds of the training sample: rows of a language, characters of a row.
 PER_LANGUAGE, MOST_CHARS = 400, 20_000
-#: Shares of a language's rows that are ranked before the language is.
-SHARES = 16
 #: N-grams overlap, so their log likelihood counts by this share.
 TEMPER = 0.1
 #: Pages' worth of its parent's shares that smooth a domain's and a host's, and of even shares that smooth a table's cell.
@@ -107,18 +105,24 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = M
 
     Longer texts than ``most_chars`` give their start, and only where a
     language has too few others.  Rows without a text, language or id are passed
-    over, repeated ones count as often; without any row there is one language,
-    ``und``.
+    over, of several rows with one id the least text counts; without any row
+    there is one language, ``und``.
     """
     known = docs.filter("lang is not null and doc_id is not null and text is not null")
-    rows = known.select("doc_id", "lang", (F.char_length("text") > most_chars).alias("long"))
-    # first within shares of a language, so that no task reads more than those leave
-    for share in ([F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))], []):
-        rank = F.row_number().over(Window.partitionBy("lang", *share).orderBy("long", F.xxhash64("doc_id"), "doc_id"))
-        rows = rows.withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank")
-    chosen = rows.select("doc_id", "lang").distinct()
-    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.substring("text", 1, most_chars).alias("text"))
-    return fit([(r["lang"], r["text"]) for r in texts.collect()] or [("und", "")])
+    long, low = F.char_length("text") > most_chars, F.xxhash64("doc_id")
+    counts = known.groupBy("lang").agg(*(F.approx_count_distinct(F.when(c, F.col("doc_id"))).alias(n) for n, c in (("n_short", ~long), ("n_long", long)))).collect()
+    if not counts:
+        return fit([("und", "")])
+    # the least hashes of each language, several times as many as are needed: only those rows are ranked
+    enough = lambda n: min(1.0, 4 * per_language / max(n, 1))
+    shares = [(r["lang"], enough(r["n_short"]), 0.0 if r["n_short"] >= 2 * per_language else enough(r["n_long"])) for r in counts]
+    table = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, short_share double, long_share double"))
+    rows = known.select("doc_id", F.col("lang").cast("string").alias("lang"), long.alias("long"), low.alias("low")).join(table, "lang")
+    rows = rows.filter(F.col("low") / 2.0**64 + 0.5 <= F.when(F.col("long"), F.col("long_share")).otherwise(F.col("short_share"))).select("doc_id", "lang", "long", "low").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "low", "doc_id"))
+    chosen = rows.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    texts = known.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    return fit([(r["lang"], r["text"]) for r in texts.select("lang", F.substring("text", 1, most_chars).alias("text")).collect()])
 
 
 def page_evidence(pages: DataFrame, model: Model) -> DataFrame:
@@ -151,9 +155,9 @@ def _with_sums(rows: DataFrame, table: DataFrame, key: str, pages: int) -> DataF
     of which there are a thousand at most, are broadcast, and the rest is
     shuffled, so that no large host lands in one task.
     """
-    table = checkpoint(table)
     if table.count() * (len(table.columns) - 1) <= MOST_SUMS:
         return rows.join(F.broadcast(table), key)
+    table = checkpoint(table)
     size = f"{table.columns[-1]}"
     often = F.broadcast(table.filter(F.col(size) > pages / 1000))
     rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(table, key)

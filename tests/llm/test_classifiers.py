@@ -303,6 +303,20 @@ def test_declared_language_after_a_long_start():
     assert language.declared_language("<html lang=e" * 200_000) == language.declared_language("<!--" * 200_000) == ""
 
 
+def test_training_rows_are_the_least_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(k % 900, f"text {k % 900}" + " long" * (2000 if k % 50 == 0 else 1), "aa" if k % 3 else "bb") for k in range(1800)] + [(5, "text of five", "aa")] * 500
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = []
+    monkeypatch.setattr(language, "fit", lambda found: got.extend(found))
+    language.train(docs, per_language=7, most_chars=1000)
+    ranked = docs.withColumn("low", F.xxhash64("doc_id")).withColumn("long", F.length("text") > 1000).orderBy("lang", "long", "low", "doc_id").collect()
+    for lang in ("aa", "bb"):
+        ids = list(dict.fromkeys(r["doc_id"] for r in ranked if r["lang"] == lang and not r["long"]))[:7]
+        assert sorted(t for x, t in got if x == lang) == sorted(min(r["text"] for r in ranked if r["lang"] == lang and r["doc_id"] == d) for d in ids)
+
+
 def test_every_language_is_trained(spark):
     rows = [(k, f"words of {k} " * 3, f"l{k:03d}") for k in range(120)]
     rows += [(1000 + k, "lange worte " * 2000, "zz") for k in range(3)]
