@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,8 +17,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     """At most ``per_class`` (text, label) pairs of label 0 and of label 1, and the share of label 1 among all labelled ids.
 
     ``learn`` says which ids may be used.  The rows come in the order of a hash
-    of the id; ids with two different labels take the larger, texts longer than
-    ``most_chars`` are passed over.  Only the chosen ids' texts move, and the
+    of the id; ids with two different labels take the larger, of several texts of
+    an id the least counts, texts longer than ``most_chars`` are passed over.  Only the chosen ids' texts move, and the
     join is with at most a quarter more ids than rows are asked for.
     """
     known = labels.filter(learn & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -26,8 +26,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     order = F.xxhash64("doc_id")
     chosen = reduce(DataFrame.unionByName, (known.filter(F.col("y") == y).orderBy(order, "doc_id").limit(per_class[y] * 5 // 4) for y in (0, 1)))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.char_length(F.coalesce("text", F.lit(""))) <= most_chars)
-    one = texts.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("r = 1")
-    rows = one.orderBy(order, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y").collect()
+    one = texts.groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = one.orderBy(order, "doc_id").select("text", "y").collect()
     kept: dict[int, list[tuple[str, int]]] = {0: [], 1: []}
     for r in rows:
         if len(kept[r["y"]]) < per_class[r["y"]]:
