@@ -245,17 +245,17 @@ def links(nodes: DataFrame, keys: list[list[tuple[int, int]]], words: int, dista
     """
     tags = [F.xxhash64(F.lit(first_key + k), *(_bits(low, high) for low, high in blocks)) for k, blocks in enumerate(keys)]
     f = [f"f{k}" for k in range(words)]
-    tagged = lambda x: x.select("root", *(F.col("f")[k].alias(f"f{k}") for k in range(words)), F.explode(F.array(*tags)).alias("key"))
+    tagged = lambda x: x.select("node", "root", *(F.col("f")[k].alias(f"f{k}") for k in range(words)), F.explode(F.array(*tags)).alias("key"))
     compare = _verifier(words, distance)
     large = checkpoint(tagged(nodes).groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > CHUNK))
-    label = lambda x: checkpoint(_cut(_spread(tagged(x).select("key", "root"), large, "key", "root").filter("m is not null"), "key", "root", F.lit(1), CHUNK))
+    label = lambda x: checkpoint(_cut(_spread(tagged(x).select("key", "root", "node"), large, "key", "node").filter("m is not null"), "key", "root", F.lit(1), CHUNK))
     cut = large.select("key", *(F.lit(None).cast(kind).alias(c) for c, kind in (("inside", "bigint"), ("n_in", "int"), ("n_out", "int"))))
     if not large.isEmpty():
         cut = label(nodes)
         if _scattered(cut):
-            nodes = _merged(nodes, "root", _compared(_own_chunks(tagged(nodes), cut, "key", "f0", first_key), "key", ["root", *f], compare))
+            nodes = _merged(nodes, "root", _compared(_own_chunks(tagged(nodes), cut, "key", "node", first_key), "key", ["root", *f], compare))
             cut = label(nodes)
-    return _merged(nodes, "root", _compared(_chunk_pairs(tagged(nodes), cut, "key", "root", "f0"), "key", ["root", *f], compare))
+    return _merged(nodes, "root", _compared(_chunk_pairs(tagged(nodes), cut, "key", "root", "node"), "key", ["root", *f], compare))
 
 
 def _rooted(tagged: DataFrame, keys: list[list[tuple[int, int]]], check: int, distance: int, rounds: int) -> DataFrame:
