@@ -367,6 +367,12 @@ def pipe_snapping(spark, sf_dir):
     return snapping.snap(_gt(spark, sf_dir, "seg_id"), _points(spark, sf_dir, 1))[0]
 
 
+@query
+def pipe_snapping_whole(spark, sf_dir):
+    """Snapping of the pipes to all points of their boxes."""
+    return rounded(snapping.snap(_gt(spark, sf_dir, "seg_id"), _points(spark, sf_dir, 1), thinning=False)[0])
+
+
 @query
 def pipeline_features(spark, sf_dir):
     points = checkpoint(planted(spark, sf_dir, "POINTS").drop("supplier"))

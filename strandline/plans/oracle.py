@@ -164,9 +164,9 @@ c AS (SELECT chain_id, part, row_number() OVER (PARTITION BY chain_id, part ORDE
 l AS (SELECT p.chain_id, p.part, p.idx AS i, q.idx AS j, p.x AS ix, p.y AS iy, q.x AS jx, q.y AS jy, sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)) AS size FROM c p JOIN c q ON p.chain_id = q.chain_id AND p.part = q.part AND p.idx < q.idx),
 d AS (SELECT l.chain_id, l.part, i, j, x, y, abs((jx - ix) * (y - iy) - (jy - iy) * (x - ix)) / size AS d FROM l JOIN c ON c.chain_id = l.chain_id AND c.part = l.part WHERE size > 0),
 s AS (SELECT chain_id, part, i, j, count(*) AS inliers, round(sum(d * d), 9) AS residual, avg(x) AS ox, avg(y) AS oy, atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) / 2 AS turn FROM d WHERE d < 0.05e0 GROUP BY chain_id, part, i, j),
-best AS (SELECT chain_id, part, ox, oy, cos(turn) AS dx, sin(turn) AS dy FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, part ORDER BY inliers DESC, residual, i, j) AS place FROM s) WHERE place = 1),
+fitted AS (SELECT chain_id, part, ox, oy, cos(turn) AS dx, sin(turn) AS dy FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, part ORDER BY inliers DESC, residual, i, j) AS place FROM s) WHERE place = 1),
 feet AS (SELECT chain_id, part, idx = 1 AS head, z, ox + ((x - ox) * dx + (y - oy) * dy) * dx AS fx, oy + ((x - ox) * dx + (y - oy) * dy) * dy AS fy
-  FROM c JOIN best USING (chain_id, part) WHERE idx = 1 OR idx = (SELECT max(idx) FROM c e WHERE e.chain_id = c.chain_id AND e.part = c.part))"""
+  FROM c JOIN fitted USING (chain_id, part) WHERE idx = 1 OR idx = (SELECT max(idx) FROM c e WHERE e.chain_id = c.chain_id AND e.part = c.part))"""
 
 
 def _thinned(code: int, axes: str) -> str:
@@ -375,6 +375,17 @@ s AS (SELECT chain_id, part, i, j, count(*) AS inliers, round(sum(d * d), 9) AS
     "component_mask": _with("GT", "POINTS", more=_thinned(2, "xy") + ", two AS (SELECT * FROM points WHERE class = 2), " + _plane("two", "point_id", "x", "y"), recursive=True)
     + "SELECT point_id FROM turns WHERE turn = (SELECT max(turn) FROM turns) AND stays AND point_id IN (SELECT point_id FROM d GROUP BY point_id HAVING min(distance) < 0.5e0)",
     "obj_slice": _with("FEW_FRAGMENTS", more="own AS (SELECT * FROM few_fragments WHERE slice_id = 5), r AS (SELECT *, row_number() OVER (ORDER BY seg_id) - 1 AS n FROM own), texts AS (SELECT 0 AS part, 0 AS n, unnest([0, 1, 2]) AS k, unnest(['# slice 5', '# height: 1.250000', '# lines: ' || (SELECT count(*) FROM own)]) AS line UNION ALL SELECT 1, n, unnest([0, 1, 2]), unnest([printf('v %.6f %.6f %.6f', x0, y0, z0), printf('v %.6f %.6f %.6f', x1, y1, z1), printf('l %d %d', n * 2 + 1, n * 2 + 2)]) FROM r)") + _TEXT,
+    "pipe_snapping_whole": _with(
+        "GT",
+        "POINTS",
+        more=f"{_SAMPLES}, {_BOXES}, {_top('boxes', 'seg_id, k')}, means AS (SELECT seg_id, k, avg(x) AS cx, avg(y) AS cy FROM boxes GROUP BY seg_id, k), "
+        + "cent AS (SELECT seg_id, k, cx, cy, top_z AS z FROM means JOIN top USING (seg_id, k)), usable AS (SELECT seg_id FROM cent GROUP BY seg_id HAVING count(*) >= 2), "
+        + "chain AS (SELECT seg_id AS chain_id, row_number() OVER (PARTITION BY seg_id ORDER BY k) - 1 AS seq, cx AS x, cy AS y, z FROM cent WHERE seg_id IN (SELECT seg_id FROM usable)), "
+        + f"{_BUCKETS}, {_PARTS}",
+        recursive=True,
+    )
+    + f"SELECT a.chain_id AS seg_id, a.part, {', '.join(f'round({v}, 6) + 0e0 AS {n}' for v, n in (('a.fx', 'x0'), ('a.fy', 'y0'), ('a.z', 'z0'), ('b.fx', 'x1'), ('b.fy', 'y1'), ('b.z', 'z1')))} FROM feet a JOIN feet b ON a.chain_id = b.chain_id AND a.part = b.part AND a.head AND NOT b.head "
+    + f"UNION ALL SELECT id, 0, {_r('x0', 'y0', 'z0', 'x1', 'y1', 'z1')} FROM gt g WHERE id NOT IN (SELECT seg_id FROM usable) AND EXISTS (SELECT 1 FROM points p WHERE class = 1 AND least((p.x - g.x0) * (p.x - g.x0) + (p.y - g.y0) * (p.y - g.y0), (p.x - g.x1) * (p.x - g.x1) + (p.y - g.y1) * (p.y - g.y1)) <= 0.8e0 * 0.8e0)",
 }
 
 # the same questions of the many fragments; not their clusters, whose recursive closure takes too long
