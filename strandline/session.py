@@ -41,10 +41,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, *by: str, into: str = "n") -> DataFrame:
-    """``df`` with each row's place, from 0, in order of ``by``: sorted by ranges, and each range's places follow those of the ranges before it."""
+def numbered(df: DataFrame, *by: str, into: str = "n", few: int = 200_000) -> DataFrame:
+    """``df`` with each row's place, from 0, in order of ``by``.
+
+    Up to ``few`` rows are sorted in one task.  More are sorted by ranges, and
+    each range's places follow those of the ranges before it.
+    """
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
+    if df.count() <= few:
+        return df.withColumn(into, (F.row_number().over(Window.orderBy(*by)) - 1).cast("bigint"))
     rows = checkpoint(df.repartitionByRange(*by).sortWithinPartitions(*by))
     # the number of a checkpoint's partition and the row's place in it
     rows = rows.withColumn(into, F.monotonically_increasing_id())

@@ -384,9 +384,11 @@ def test_rows_are_numbered_over_partitions(spark):
     from strandline.session import numbered
 
     rows = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("v"))
-    found = sorted((r["v"], r["n"]) for r in numbered(rows, "v").collect())
-    assert [n for _, n in found] == list(range(5000))
-    assert numbered(rows.limit(0), "v").count() == 0
+    for few in (200_000, -1):
+        found = numbered(rows, "v", few=few)
+        assert dict(found.dtypes)["n"] == "bigint"
+        assert [r["n"] for r in sorted(found.collect())] == list(range(5000))
+        assert numbered(rows.limit(0), "v", few=few).count() == 0
 
 
 def test_hough_peaks_are_apart(spark):
