@@ -57,12 +57,12 @@ class Lines:
         self.counts = np.array([b.count(b"\n") + 1 for b in blobs], dtype=np.int64)
         self.size = np.fromiter(map(len, self.lines), dtype=np.int64, count=len(self.lines))
         self.first = np.cumsum(self.counts) - self.counts
-        code = np.fromiter(map(hash, self.lines), dtype=np.int64, count=len(self.lines))
-        self.again = np.ones(len(self.lines), dtype=np.int64)
-        for low, n in zip(self.first.tolist(), self.counts.tolist(), strict=True):
-            if n > 1:
-                _, where, times = np.unique(code[low : low + n], return_inverse=True, return_counts=True)
-                self.again[low : low + n] = times[where]
+        # one number for a line and its text
+        doc = np.repeat(np.arange(len(texts), dtype=np.uint64), self.counts)
+        code = np.fromiter(map(hash, self.lines), dtype=np.int64, count=len(self.lines)).view(np.uint64)
+        code = (code ^ (code >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + doc * np.uint64(0x9E3779B97F4A7C15)
+        _, where, times = np.unique(code, return_inverse=True, return_counts=True)
+        self.again = times[where]
         self.again[self.size == 0] = 1
 
     def own(self, low: int, high: int) -> np.ndarray:
