@@ -153,8 +153,7 @@ def strict_metric_pairs(spark, sf_dir):
 
 @query
 def strict_metric_clusters(spark, sf_dir):
-    few = _few(spark, sf_dir)
-    return lines.clusters(few, lines.strict_pairs(lines.axial_features(few), 0.3, 10.0), 2).select("seg_id", "cluster_id")
+    return lines.strict_clusters(_few(spark, sf_dir), 0.3, 10.0, 2).select("seg_id", "cluster_id")
 
 
 @query
