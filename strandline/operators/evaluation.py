@@ -36,22 +36,33 @@ def _in_box(s: G.Ends, edges, margin: float) -> tuple[Column, Column]:
 def match_pipes(gt: DataFrame, det: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """A row for each matching pair, with the pair's measures.
 
-    Matching is planar, coverage and height distances are spatial.  Lines that
-    meet at up to 60 degrees and match pass within two tolerances of each other,
-    so they share grid cells; steeper ones can only match ground truth shorter
-    than 2 tolerances / sin 60, whose middle lies within a tolerance of the
-    detection's line: it meets the cells of that line, as far as the box about
-    such ground truth goes.
+    Matching is planar, coverage and height distances are spatial.  As half of
+    the shorter one overlaps, its middle lies beside the longer one; where the
+    lines meet at up to 60 degrees it is within two tolerances of it.  So middles
+    are looked up in the cells of longer segments, and a pair is found once.
+    Steeper lines can only match ground truth shorter than 2 tolerances / sin 60,
+    whose middle lies within a tolerance of the detection's line: it meets the
+    cells of that line, as far as the box about such ground truth goes.
     """
     g, d = _sides(gt, det)
     gs, ds = G.ends("g"), G.ends("d")
     match = G.within_tolerance(ds, gs, tolerance)
     size = max(4 * tolerance, 8.0)
     short = G.length_xy(gs) <= 2 * tolerance / math.sin(math.pi / 3) + 1e-9
-    cells = g.filter(~short).withColumn("_g", F.explode(segment_cells(gs, size, False)))
-    around = d.withColumn("_d", F.explode(segment_cells(ds, size, True)))
-    # a pair may share many cells: it counts at the first one
-    far = cells.join(around, (F.col("_g.cx") == F.col("_d.cx")) & (F.col("_g.cy") == F.col("_d.cy")) & match).drop("_g", "_d").dropDuplicates(["gt_id", "det_id"])
+    # a middle is within 2 tolerances of a place on the segment, and that within a quarter of a step of one of its marks
+    step, long = max(3 * tolerance, 1e-9), g.filter(~short)
+    gx, gy, dx, dy = (gs.x0 + gs.x1) / 2, (gs.y0 + gs.y1) / 2, (ds.x0 + ds.x1) / 2, (ds.y0 + ds.y1) / 2
+    shorter = G.length_xy(ds) <= G.length_xy(gs)
+    # cosine of the angle between them, with a hair for rounding
+    level = F.abs((gs.x1 - gs.x0) * (ds.x1 - ds.x0) + (gs.y1 - gs.y0) * (ds.y1 - ds.y0)) >= (0.5 - 1e-6) * G.length_xy(gs) * G.length_xy(ds)
+
+    def beside(middles: DataFrame, x: Column, y: Column, others: DataFrame, s: G.Ends, kind: Column) -> DataFrame:
+        around = others.withColumn("_c", F.explode(segment_cells(s, step, True)))
+        own = middles.withColumns({"_x": cell(x, step), "_y": cell(y, step)})
+        on = (F.col("_x") == F.col("_c.cx")) & (F.col("_y") == F.col("_c.cy"))
+        return own.hint("merge").join(around, on & kind & level & match).select(*g.columns, *d.columns)
+
+    far = beside(d, dx, dy, long, gs, shorter).unionByName(beside(long, gx, gy, d, ds, ~shorter))
     few, mx, my = g.filter(short), (gs.x0 + gs.x1) / 2, (gs.y0 + gs.y1) / 2
     edges = few.agg(*(f(c) for c in (mx, my) for f in (F.min, F.max))).first()
     pairs = far

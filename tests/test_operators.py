@@ -430,3 +430,13 @@ def test_crowded_clusters_list_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(lines, "checkpoint", lambda df: (seen.append(kept(df)), seen[-1])[1])
     found = lines.cluster_lines(seg(spark, rows), 0.45, 3).collect()
     assert {r["cluster_id"] for r in found} == {0} and max(df.count() for df in seen) <= 2000
+
+
+def test_matches_in_a_crowd_come_from_few_candidates(spark):
+    """Pipes side by side in one large cell, and a pair exactly two tolerances apart and half beside each other."""
+    rows = [(k, 0.0, 1.2 * k, 0.0, 6.0, 1.2 * k, 0.0) for k in range(60)] + [(100, 200.0, 0.0, 0.0, 210.0, 0.0, 0.0)]
+    det = [*rows[:60], (100, 205.0, 0.5, 0.0, 215.0, 0.5, 0.0), (101, 206.0, 0.5, 0.0, 216.0, 0.5, 0.0)]
+    found = evaluation.match_pipes(seg(spark, rows, "id"), seg(spark, det, "id"))
+    assert sorted((r["gt_id"], r["det_id"]) for r in found.collect()) == [*((k, k) for k in range(60)), (100, 100)]
+    # a pair is found once, so nothing is sorted out afterwards
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
