@@ -76,7 +76,7 @@ def near_segments(points: DataFrame, pipes: DataFrame, threshold: float, planar:
 
 
 #: Pairs of places and segments that are tried outright, and segments that are broadcast for it.
-MOST_PAIRS, MOST_SEGMENTS = 1_000_000_000, 20_000
+MOST_PAIRS, MOST_SEGMENTS = 20_000_000, 20_000
 
 
 def _least(places: DataFrame, pipes: DataFrame, key: str, x: Column, y: Column, measure: Column, most: int) -> DataFrame:
