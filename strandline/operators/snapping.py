@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from strandline.config import Snap
 from strandline.functions import geometry as G
-from strandline.operators.spatial import priority, radius_join
-from strandline.session import checkpoint
+from strandline.operators.spatial import cell, priority
+from strandline.session import broadcast_if_small, checkpoint
 
 TINY = 1e-6
 
@@ -21,7 +21,22 @@ def ghosts(segments: DataFrame, points: DataFrame, reach: float) -> DataFrame:
     """``(seg_id)`` of the segments that have no point within ``reach`` of either end, in the plane."""
     s = G.ends()
     tips = segments.select("seg_id", F.explode(F.array(F.struct(s.x0.alias("tx"), s.y0.alias("ty")), F.struct(s.x1.alias("tx"), s.y1.alias("ty")))).alias("e")).select("seg_id", "e.tx", "e.ty")
-    near = radius_join(points.select("x", "y"), tips, ["x", "y"], ["tx", "ty"], reach, few=True).select(F.col("seg_id").alias("near_id")).distinct()
+    # two places of a cell are within reach, whatever else there is
+    size = reach * math.sqrt(0.5) * (1 - 1e-6)
+    full = checkpoint(points.select(cell(F.col("x"), size).alias("_x"), cell(F.col("y"), size).alias("_y")).distinct())
+    tips = tips.withColumns({"_x": cell(F.col("tx"), size), "_y": cell(F.col("ty"), size)})
+    sure = tips.join(full, ["_x", "_y"], "left_semi").select(F.col("seg_id").alias("near_id")).distinct()
+    sure = checkpoint(sure)
+    # of the others, those beside full cells are tested point by point, and only by the points of those cells
+    left = tips.join(sure, F.col("seg_id") == F.col("near_id"), "left_anti")
+    steps = [F.struct((F.col("_x") + i).alias("_x"), (F.col("_y") + j).alias("_y")) for i in range(-2, 3) for j in range(-2, 3)]
+    left = left.select("seg_id", "tx", "ty", F.explode(F.array(*steps)).alias("_c")).select("seg_id", "tx", "ty", "_c.*")
+    left = checkpoint(left.join(full, ["_x", "_y"], "left_semi"))
+    own = points.select("x", "y", cell(F.col("x"), size).alias("_x"), cell(F.col("y"), size).alias("_y"))
+    own = own.join(broadcast_if_small(left.select("_x", "_y").distinct()), ["_x", "_y"], "left_semi").withColumnsRenamed({"_x": "px", "_y": "py"})
+    d2 = (F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty"))
+    found = left.hint("merge").join(own, (F.col("_x") == F.col("px")) & (F.col("_y") == F.col("py")) & (d2 <= F.lit(reach * reach)), "left_semi")
+    near = sure.unionByName(found.select(F.col("seg_id").alias("near_id")).distinct())
     return segments.select("seg_id").join(near, F.col("seg_id") == F.col("near_id"), "left_anti")
 
 
@@ -36,16 +51,35 @@ def samples(segments: DataFrame, settings: Snap = Snap()) -> DataFrame:
 
 
 def box_points(sample_rows: DataFrame, points: DataFrame, settings: Snap = Snap()) -> DataFrame:
-    """Points in each sample's oriented box, of samples with enough points in the circle about the box and in the box itself."""
-    radius = math.sqrt(settings.tangential_length**2 + settings.normal_length**2)
-    near = radius_join(points.select("point_id", "x", "y", "z"), sample_rows, ["x", "y"], ["sx", "sy"], radius, few=True)
+    """Points in each sample's oriented box, of samples with enough points in the circle about the box and in the box itself.
+
+    The circle holds the box, and both ask for the same number, so points are
+    counted in the box only.  Cells are small, and those that a box meets are
+    named, so that few points outside of it are tried; samples are counted in a
+    first pass, and no pair is shuffled.
+    """
+    t, n = settings.tangential_length, settings.normal_length
+    radius, size = math.sqrt(t**2 + n**2), max(min(t, n) * 2, max(t, n) / 4)
     dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
     u, v = dx * F.col("tx") + dy * F.col("ty"), dx * F.col("nx") + dy * F.col("ny")
-    near = near.withColumns({"u": u, "v": v, "in_box": (F.abs(u) <= settings.tangential_length) & (F.abs(v) <= settings.normal_length)})
-    own = Window.partitionBy("seg_id", "k")
-    near = near.withColumns({"in_circle": F.count("*").over(own), "n_box": F.sum(F.col("in_box").cast("int")).over(own)})
-    enough = (F.col("in_circle") >= settings.min_points_for_centroid) & (F.col("n_box") >= settings.min_points_for_centroid)
-    return near.filter(F.col("in_box") & enough).drop("d2", "in_box", "in_circle", "n_box")
+    inside = (dx * dx + dy * dy <= F.lit(radius * radius)) & (F.abs(u) <= t) & (F.abs(v) <= n)
+    # places of the box at most half a cell apart, and the cells about them, as far as a box reaches
+    marks = [max(1, math.ceil(2 * r / (size / 2))) for r in (t, n)]
+    places = [(-t + 2 * t * i / marks[0], -n + 2 * n * j / marks[1]) for i in range(marks[0] + 1) for j in range(marks[1] + 1)]
+    at = [(F.col("sx") + a * F.col("tx") + b * F.col("nx"), F.col("sy") + a * F.col("ty") + b * F.col("ny")) for a, b in places]
+    quarter = size * (0.25 * math.sqrt(2) + 1e-6)  # a point of the box is no farther from the next of these places
+    cells = F.array_distinct(F.array(*(F.struct(cell(x + i * quarter, size).alias("cx"), cell(y + j * quarter, size).alias("cy")) for x, y in at for i in (-1, 1) for j in (-1, 1))))
+    own = points.select("point_id", "x", "y", "z", cell(F.col("x"), size).alias("_x"), cell(F.col("y"), size).alias("_y"))
+
+    def joined(rows: DataFrame) -> DataFrame:
+        copies = rows.withColumn("_c", F.explode(cells)).select(*rows.columns, "_c.cx", "_c.cy")
+        copies = F.broadcast(copies) if rows.count() <= 10_000 else copies.hint("merge")
+        return own.join(copies, (F.col("_x") == F.col("cx")) & (F.col("_y") == F.col("cy")) & inside)
+
+    sample_rows = checkpoint(sample_rows)
+    enough = joined(sample_rows).groupBy("seg_id", "k").agg(F.count("*").alias("_m")).filter(F.col("_m") >= settings.min_points_for_centroid).drop("_m")
+    found = joined(checkpoint(sample_rows.join(enough.hint("merge"), ["seg_id", "k"], "left_semi")))
+    return found.withColumns({"u": u, "v": v}).drop("_x", "_y", "cx", "cy")
 
 
 def thin_boxes(boxes: DataFrame, radius: float, least: int) -> DataFrame:

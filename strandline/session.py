@@ -66,11 +66,15 @@ def numbered(df: DataFrame, *by: str, into: str = "n", few: int = 200_000) -> Da
 
 
 def broadcast_if_small(df: DataFrame, most: int = 500_000) -> DataFrame:
-    """``df`` checkpointed, and marked for broadcast if it has at most ``most`` (narrow) rows; beyond, joins shuffle."""
+    """``df`` checkpointed, and marked for broadcast if it has at most ``most`` (narrow) rows; beyond, joins shuffle.
+
+    Spark's own estimate of a checkpoint is that of its plan, in which rows that
+    were exploded count once: without the hint it may broadcast any number.
+    """
     from pyspark.sql import functions as F
 
     kept = checkpoint(df)
-    return F.broadcast(kept) if kept.count() <= most else kept
+    return F.broadcast(kept) if kept.count() <= most else kept.hint("merge")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

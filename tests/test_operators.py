@@ -440,3 +440,26 @@ def test_matches_in_a_crowd_come_from_few_candidates(spark):
     assert sorted((r["gt_id"], r["det_id"]) for r in found.collect()) == [*((k, k) for k in range(60)), (100, 100)]
     # a pair is found once, so nothing is sorted out afterwards
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ghosts_and_boxes_are_those_of_all_pairs(spark):
+    """Ends near, at and beyond the reach of points; boxes at any angle, none of whose pairs pass a window."""
+    from strandline.config import Snap
+
+    rng = np.random.default_rng(8)
+    rows = [(k, *map(float, rng.uniform(0, 8, 2)), 0.0, *map(float, rng.uniform(0, 8, 2)), 0.0) for k in range(40)] + [(90, 20.0, 0.0, 0.0, 30.0, 0.0, 0.0), (91, 40.0, 0.0, 0.0, 50.0, 0.0, 0.0)]
+    points = [(k, *map(float, rng.uniform(0, 4, 2)), 0.0) for k in range(900)] + [(2000, 20.0, 0.75, 0.0), (2001, 40.0, 0.9, 0.0)]
+    s, p = seg(spark, rows), spark.createDataFrame(points, "point_id bigint, x double, y double, z double")
+    far = lambda x, y: min((a - x) ** 2 + (b - y) ** 2 for _, a, b, _ in points) > 0.75 * 0.75
+    wanted = sorted(r[0] for r in rows if far(r[1], r[2]) and far(r[4], r[5]))
+    assert sorted(r[0] for r in snapping.ghosts(s, p, 0.75).collect()) == wanted and 91 in wanted and 90 not in wanted
+    for settings in (Snap(), Snap(tangential_length=0.6, normal_length=0.3)):
+        t, n = settings.tangential_length, settings.normal_length
+        found = snapping.box_points(snapping.samples(s, settings), p, settings)
+        own = {}
+        for q in snapping.samples(s, settings).collect():
+            at = [i for i, x, y, _ in points if abs((x - q["sx"]) * q["tx"] + (y - q["sy"]) * q["ty"]) <= t and abs((x - q["sx"]) * q["nx"] + (y - q["sy"]) * q["ny"]) <= n]
+            if len(at) >= settings.min_points_for_centroid:
+                own |= {(q["seg_id"], q["k"], i): 1 for i in at}
+        assert sorted((r["seg_id"], r["k"], r["point_id"]) for r in found.collect()) == sorted(own) and own
+        assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
