@@ -149,13 +149,30 @@ def priority(id_col: Column, seed: int = 42) -> Column:
     return F.pmod(F.pmod(id_col, F.lit(m)) * 48271 + seed, F.lit(m))
 
 
+#: Sides of the cells in which close pairs in space are sought, in radii.
+WIDE = 8
+
+
 def _close_pairs(points: DataFrame, radius: float, planar: bool, seed: int) -> DataFrame:
-    """(worse, better): each pair closer than ``radius``, by priority."""
+    """(worse, better): each pair closer than ``radius``, by priority.
+
+    In space a cell is ``WIDE`` radii wide, so that a point is copied to about
+    two cells and not to 27, and a cell goes as one hash.
+    """
     axes = ["x", "y"] if planar else ["x", "y", "z"]
-    a = points.select("point_id", priority(F.col("point_id"), seed).alias("rank"), *axes)
-    b = a.select(F.col("point_id").alias("q_id"), F.col("rank").alias("q_rank"), *(F.col(c).alias(f"q{c}") for c in axes))
-    pairs = radius_join(a, b, axes, [f"q{c}" for c in axes], radius, strict=True)
-    first = (F.col("q_rank") < F.col("rank")) | ((F.col("q_rank") == F.col("rank")) & (F.col("q_id") < F.col("point_id")))
+    a = points.select("point_id", *axes)
+    b = a.select(F.col("point_id").alias("q_id"), *(F.col(c).alias(f"q{c}") for c in axes))
+    if planar:
+        pairs = radius_join(a, b, axes, [f"q{c}" for c in axes], radius, strict=True)
+    else:
+        size, hair = WIDE * radius, radius * (1 + 1e-6)
+        corners = [F.xxhash64(*(cell(F.col(f"q{c}") + s, size) for c, s in zip(axes, side, strict=True))) for side in product((-hair, hair), repeat=3)]
+        near = b.withColumn("_q", F.explode(F.array_distinct(F.array(*corners))))
+        own = a.withColumn("_p", F.xxhash64(*(cell(F.col(c), size) for c in axes)))
+        d2 = reduce(lambda p, q: p + q, ((F.col(c) - F.col(f"q{c}")) * (F.col(c) - F.col(f"q{c}")) for c in axes))
+        pairs = own.join(near.hint("merge"), (F.col("_p") == F.col("_q")) & (d2 < F.lit(radius * radius)))
+    rank, q_rank = priority(F.col("point_id"), seed), priority(F.col("q_id"), seed)
+    first = (q_rank < rank) | ((q_rank == rank) & (F.col("q_id") < F.col("point_id")))
     return pairs.filter(first & (F.col("q_id") != F.col("point_id"))).select(F.col("point_id").alias("worse"), F.col("q_id").alias("better"))
 
 

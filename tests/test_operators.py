@@ -463,3 +463,17 @@ def test_ghosts_and_boxes_are_those_of_all_pairs(spark):
                 own |= {(q["seg_id"], q["k"], i): 1 for i in at}
         assert sorted((r["seg_id"], r["k"], r["point_id"]) for r in found.collect()) == sorted(own) and own
         assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_close_pairs_in_space_are_all_found_with_few_copies(spark):
+    rng = np.random.default_rng(12)
+    at = np.round(rng.uniform(-1, 1, (1200, 3)), 2)
+    points = spark.createDataFrame([(k, *map(float, p)) for k, p in enumerate(at)], "point_id bigint, x double, y double, z double")
+    found = spatial._close_pairs(points, 0.1, False, 42)
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    near = {(i, j) for i, j in zip(*np.nonzero(d2 < 0.1 * 0.1 - 1e-12), strict=True) if i < j}
+    edge = {(i, j) for i, j in zip(*np.nonzero(np.abs(d2 - 0.1 * 0.1) <= 1e-12), strict=True) if i < j}
+    rows = [tuple(sorted(r)) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and near <= set(rows) <= near | edge and len(near) > 100
+    # eight corners, not 27 cells
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(") <= 10
