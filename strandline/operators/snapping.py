@@ -68,18 +68,19 @@ def box_points(sample_rows: DataFrame, points: DataFrame, settings: Snap = Snap(
     places = [(-t + 2 * t * i / marks[0], -n + 2 * n * j / marks[1]) for i in range(marks[0] + 1) for j in range(marks[1] + 1)]
     at = [(F.col("sx") + a * F.col("tx") + b * F.col("nx"), F.col("sy") + a * F.col("ty") + b * F.col("ny")) for a, b in places]
     quarter = size * (0.25 * math.sqrt(2) + 1e-6)  # a point of the box is no farther from the next of these places
-    cells = F.array_distinct(F.array(*(F.struct(cell(x + i * quarter, size).alias("cx"), cell(y + j * quarter, size).alias("cy")) for x, y in at for i in (-1, 1) for j in (-1, 1))))
-    own = points.select("point_id", "x", "y", "z", cell(F.col("x"), size).alias("_x"), cell(F.col("y"), size).alias("_y"))
+    cells = F.array_distinct(F.array(*(F.xxhash64(cell(x + i * quarter, size), cell(y + j * quarter, size)) for x, y in at for i in (-1, 1) for j in (-1, 1))))
+    # cells go as hashes: those of numbers are told apart by hashing, of structs by trying all pairs
+    own = points.select("point_id", "x", "y", "z", F.xxhash64(cell(F.col("x"), size), cell(F.col("y"), size)).alias("_x"))
 
     def joined(rows: DataFrame) -> DataFrame:
-        copies = rows.withColumn("_c", F.explode(cells)).select(*rows.columns, "_c.cx", "_c.cy")
+        copies = rows.withColumn("_c", F.explode(cells)).select(*rows.columns, "_c")
         copies = F.broadcast(copies) if rows.count() <= 10_000 else copies.hint("merge")
-        return own.join(copies, (F.col("_x") == F.col("cx")) & (F.col("_y") == F.col("cy")) & inside)
+        return own.join(copies, (F.col("_x") == F.col("_c")) & inside)
 
     sample_rows = checkpoint(sample_rows)
     enough = joined(sample_rows).groupBy("seg_id", "k").agg(F.count("*").alias("_m")).filter(F.col("_m") >= settings.min_points_for_centroid).drop("_m")
     found = joined(checkpoint(sample_rows.join(enough.hint("merge"), ["seg_id", "k"], "left_semi")))
-    return found.withColumns({"u": u, "v": v}).drop("_x", "_y", "cx", "cy")
+    return found.withColumns({"u": u, "v": v}).drop("_x", "_c")
 
 
 def thin_boxes(boxes: DataFrame, radius: float, least: int) -> DataFrame:
