@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as G
-from strandline.operators.spatial import cell, radius_join, segment_cells
+from strandline.operators.spatial import cell, cells_beside, radius_join, segment_cells
 from strandline.session import checkpoint
 
 TOLERANCE = 0.5
@@ -33,45 +33,83 @@ def _in_box(s: G.Ends, edges, margin: float) -> tuple[Column, Column]:
     return F.greatest(*low), F.least(*high)
 
 
+def _flat(rows: DataFrame, s: str) -> DataFrame:
+    """Segments of finite planar coordinates with a length, which is added as ``{s}l``; the rest matches nothing.
+
+    Columns that are never null need no tests for it, which would make the joins'
+    code too long to be compiled.
+    """
+    planar = [f"{s}{c}" for c in ("x0", "y0", "x1", "y1")]
+    finite = reduce(lambda a, b: a & b, (F.abs(c) < float("inf") for c in planar))
+    rows = rows.filter(finite).withColumns({c: F.coalesce(c, F.lit(0.0)) for c in planar})
+    return rows.withColumn(f"{s}l", G.length_xy(G.ends(s))).filter(F.col(f"{s}l") > 0)
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows over all cores: a table of one small file is one task, and its cells are many."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 50_000)), rows.columns[0])
+
+
+def _matching(base: str, other: str, tolerance: float, level: bool) -> Column:
+    """``G.within_tolerance`` of flat segments prefixed g and d, of which ``base`` is the shorter; the cheapest tests go first.
+
+    With ``level`` only for lines that meet at up to 60 degrees.
+    """
+    along = lambda e: (F.col(f"{e}x1") - F.col(f"{e}x0"), F.col(f"{e}y1") - F.col(f"{e}y0"))
+    (u, v), (p, q), long = along("d"), along(base), F.col("dl")
+    off = lambda i: F.abs(u * (F.col(f"gy{i}") - F.col("dy0")) - v * (F.col(f"gx{i}") - F.col("dx0"))) / long <= tolerance
+    at = lambda i: ((F.col(f"{other}x{i}") - F.col(f"{base}x0")) * p + (F.col(f"{other}y{i}") - F.col(f"{base}y0")) * q) / (p * p + q * q)
+    low, high = F.greatest(F.lit(0.0), F.least(at(0), at(1))), F.least(F.lit(1.0), F.greatest(at(0), at(1)))
+    size = F.col(f"{base}l")
+    shared = F.greatest(F.lit(0.0), high - low) * size / size >= 0.5
+    if not level:
+        return off(0) & off(1) & shared
+    a, b = along("g")
+    # cosine of the angle between them, with a hair for rounding
+    return (F.abs(a * u + b * v) >= (0.5 - 1e-6) * F.col("gl") * long) & off(0) & off(1) & shared
+
+
 def match_pipes(gt: DataFrame, det: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """A row for each matching pair, with the pair's measures.
 
     Matching is planar, coverage and height distances are spatial.  As half of
     the shorter one overlaps, its middle lies beside the longer one; where the
     lines meet at up to 60 degrees it is within two tolerances of it.  So middles
-    are looked up in the cells of longer segments, and a pair is found once.
+    are looked up in the cells about longer segments, and a pair is found once.
     Steeper lines can only match ground truth shorter than 2 tolerances / sin 60,
     whose middle lies within a tolerance of the detection's line: it meets the
     cells of that line, as far as the box about such ground truth goes.
     """
     g, d = _sides(gt, det)
+    columns = [*g.columns, *d.columns]
+    g, d = _flat(g, "g"), _flat(d, "d")
     gs, ds = G.ends("g"), G.ends("d")
-    match = G.within_tolerance(ds, gs, tolerance)
     size = max(4 * tolerance, 8.0)
-    short = G.length_xy(gs) <= 2 * tolerance / math.sin(math.pi / 3) + 1e-9
-    # a middle is within 2 tolerances of a place on the segment, and that within a quarter of a step of one of its marks
-    step, long = max(3 * tolerance, 1e-9), g.filter(~short)
-    gx, gy, dx, dy = (gs.x0 + gs.x1) / 2, (gs.y0 + gs.y1) / 2, (ds.x0 + ds.x1) / 2, (ds.y0 + ds.y1) / 2
-    shorter = G.length_xy(ds) <= G.length_xy(gs)
-    # cosine of the angle between them, with a hair for rounding
-    level = F.abs((gs.x1 - gs.x0) * (ds.x1 - ds.x0) + (gs.y1 - gs.y0) * (ds.y1 - ds.y0)) >= (0.5 - 1e-6) * G.length_xy(gs) * G.length_xy(ds)
-
-    def beside(middles: DataFrame, x: Column, y: Column, others: DataFrame, s: G.Ends, kind: Column) -> DataFrame:
-        around = others.withColumn("_c", F.explode(segment_cells(s, step, True)))
+    short = F.col("gl") <= 2 * tolerance / math.sin(math.pi / 3) + 1e-9
+    mx, my = (gs.x0 + gs.x1) / 2, (gs.y0 + gs.y1) / 2
+    n, *edges = g.agg(F.count("*"), *(f(F.when(short, c)) for c in (mx, my) for f in (F.min, F.max))).first()
+    g, d = _dealt(g, n), _dealt(d, d.count())
+    # a hair more for rounding
+    step, reach, long = max(2 * tolerance, 0.25), 2 * tolerance + 1e-6, g.filter(~short)
+    dx, dy = (ds.x0 + ds.x1) / 2, (ds.y0 + ds.y1) / 2
+
+    def beside(middles: DataFrame, x: Column, y: Column, others: DataFrame, s: G.Ends, kind: Column, base: str, other: str) -> DataFrame:
+        around = cells_beside(others, s, F.col(f"{other}l"), step, reach)
         own = middles.withColumns({"_x": cell(x, step), "_y": cell(y, step)})
-        on = (F.col("_x") == F.col("_c.cx")) & (F.col("_y") == F.col("_c.cy"))
-        return own.hint("merge").join(around, on & kind & level & match).select(*g.columns, *d.columns)
+        on = (F.col("_x") == F.col("_cx")) & (F.col("_y") == F.col("_cy"))
+        return own.hint("merge").join(around, on & kind & _matching(base, other, tolerance, True)).select(*columns)
 
-    far = beside(d, dx, dy, long, gs, shorter).unionByName(beside(long, gx, gy, d, ds, ~shorter))
-    few, mx, my = g.filter(short), (gs.x0 + gs.x1) / 2, (gs.y0 + gs.y1) / 2
-    edges = few.agg(*(f(c) for c in (mx, my) for f in (F.min, F.max))).first()
+    shorter = F.col("dl") <= F.col("gl")
+    far = beside(d, dx, dy, long, gs, shorter, "d", "g").unionByName(beside(long, mx, my, d, ds, ~shorter, "g", "d"))
     pairs = far
     if edges[0] is not None:
         low, high = _in_box(ds, edges, 2 * tolerance)
         line = G.Ends(*(a + t * (b - a) for t in (low, high) for a, b in ((ds.x0, ds.x1), (ds.y0, ds.y1), (ds.z0, ds.z1))))
-        along = d.filter((G.length_xy(ds) > 0) & (low <= high)).withColumn("_d", F.explode(segment_cells(line, size, True)))
-        own = few.withColumns({"_x": cell(mx, size), "_y": cell(my, size)})
-        near = along.join(own, (F.col("_x") == F.col("_d.cx")) & (F.col("_y") == F.col("_d.cy")) & match).select(*far.columns)
+        along = d.filter(low <= high).withColumn("_d", F.explode(segment_cells(line, size, True)))
+        own = g.filter(short).withColumns({"_x": cell(mx, size), "_y": cell(my, size)})
+        on = (F.col("_x") == F.col("_d.cx")) & (F.col("_y") == F.col("_d.cy"))
+        match = (shorter & _matching("d", "g", tolerance, False)) | (~shorter & _matching("g", "d", tolerance, False))
+        near = along.join(own, on & match).select(*columns)
         pairs = far.unionByName(near)
     t0, t1 = G.place_on_segment(ds.x0, ds.y0, ds.z0, gs), G.place_on_segment(ds.x1, ds.y1, ds.z1, gs)
     return pairs.withColumns(

@@ -61,6 +61,29 @@ def segment_cells(s: G.Ends, size: float, around: bool) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), steps), at)))
 
 
+def cells_beside(rows: DataFrame, s: G.Ends, length: Column, size: float, reach: float) -> DataFrame:
+    """``rows``, finite segments of a planar ``length`` above 0, once for each cell ``_cx, _cy`` that may hold a place within ``reach``.
+
+    Row of cells by row of cells, the strip about the segment's line is cut by
+    the box about the segment.  Sequences stay inside generated code.
+    """
+    u, v = s.x1 - s.x0, s.y1 - s.y0
+    rows = rows.withColumn("_cy", F.explode(F.sequence(cell(F.least(s.y0, s.y1) - reach, size), cell(F.greatest(s.y0, s.y1) + reach, size))))
+    # where the segment's line crosses the row's lower and upper bound
+    lower, upper = ((F.col("_cy") + k) * F.lit(size) - s.y0 for k in (0, 1))
+    side = F.abs(length / v) * reach
+    one, two = s.x0 + lower * u / v, s.x0 + upper * u / v
+    low, high = F.least(s.x0, s.x1) - reach, F.greatest(s.x0, s.x1) + reach
+    steep = F.abs(v) > 1e-9 * length  # else the box is the strip
+    rows = rows.withColumns(
+        {
+            "_low": cell(F.when(steep, F.greatest(low, F.least(one, two) - side)).otherwise(low), size),
+            "_high": cell(F.when(steep, F.least(high, F.greatest(one, two) + side)).otherwise(high), size),
+        }
+    )
+    return rows.withColumn("_cx", F.explode(F.when(F.col("_low") <= F.col("_high"), F.sequence("_low", "_high")))).drop("_low", "_high")
+
+
 def near_segments(points: DataFrame, pipes: DataFrame, threshold: float, planar: bool = True) -> DataFrame:
     """Points closer than ``threshold`` to any segment of ``pipes(x0 .. z1)``; all columns of ``points(x, y, z, ..)`` stay.
 

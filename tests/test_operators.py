@@ -380,6 +380,46 @@ def test_matches_are_those_of_all_pairs(spark):
     assert found == wanted and len(wanted) > 100
 
 
+def test_joins_of_matches_are_compiled(spark):
+    """The JVM only interprets methods of over 8000 bytes."""
+    g = seg(spark, [(k, 1.0 * k, 0.0, 0.0, 1.0 * k + 3, 1.0, 1.0) for k in range(50)], "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hits = evaluation.match_pipes(g, g).select(*(f"{s}{c}" for s in "gd" for c in G.Ends._fields))
+        found = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(hits._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    parts = [found.apply(k) for k in range(found.size())]
+    sizes = [p._3().maxMethodCodeSize() for p in parts if "SortMergeJoin" in p._1()]
+    assert len(sizes) == 2 and max(sizes) < 8000
+
+
+def test_cells_beside_hold_all_places_within_reach(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, *(float(v) for v in rng.uniform(-9, 9, 6))) for k in range(60)]
+    rows += [(60, 0.0, 1.0, 0.0, 7.0, 1.0, 0.0), (61, 2.0, 8.0, 0.0, 2.0, -3.0, 0.0), (62, 0.0, 0.0, 0.0, 5.0, 1e-310, 0.0), (63, 0.0, 0.0, 0.0, 5.0, 1e-8, 0.0), (64, 3.0, 3.0, 0.0, 3.0 + 1e-9, 3.0, 0.0)]
+    s, size, reach = G.ends(), 0.7, 1.3
+    found = [(r["seg_id"], r["_cx"], r["_cy"]) for r in spatial.cells_beside(seg(spark, rows), s, G.length_xy(s), size, reach).collect()]
+    assert len(found) == len(set(found))
+    cells = set(found)
+    for k, x0, y0, _, x1, y1, _ in rows:
+        # any place of the segment, and from there any way of at most the reach
+        at, turn, far = rng.uniform(0, 1, 400), rng.uniform(0, 2 * np.pi, 400), reach * rng.choice([1.0, 0.999, 0.5], 400)
+        px, py = x0 + at * (x1 - x0) + far * np.cos(turn), y0 + at * (y1 - y0) + far * np.sin(turn)
+        assert {(k, int(i), int(j)) for i, j in zip(np.floor(px / size), np.floor(py / size), strict=True)} <= cells
+    # about as many as the strip holds
+    assert len([c for c in found if c[0] == 60]) <= ((7 + 2 * reach) / size + 2) * (2 * reach / size + 2)
+
+
+def test_odd_segments_match_nothing(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [(1, None, 0.0, 0.0, 4.0, 0.0, 0.0), (2, nan, 0.0, 0.0, 4.0, 0.0, 0.0), (3, 0.0, 0.0, 0.0, inf, 0.0, 0.0), (4, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
+    whole = [(5, 0.0, 0.0, None, 4.0, 0.0, nan), (6, 0.0, 0.0, 0.0, 4.0, 1e-310, 0.0)]
+    rows = seg(spark, odd + whole, "id")
+    assert {(r["gt_id"], r["det_id"]) for r in evaluation.match_pipes(rows, rows).collect()} == {(a, b) for a in (5, 6) for b in (5, 6)}
+    assert evaluation.match_pipes(rows, rows.limit(0)).count() == evaluation.match_pipes(rows.limit(0), rows).count() == 0
+
+
 def test_rows_are_numbered_over_partitions(spark):
     from strandline.session import numbered
 
