@@ -189,6 +189,35 @@ def test_axial_seam(spark):
     assert (1, 2) in fixed and (1, 3) not in fixed and plain <= fixed
 
 
+def test_eps_pairs_are_those_of_all_pairs(spark):
+    """Lines all round the circle and on the vertical, by group, and few copies of each for it."""
+    rng = np.random.default_rng(11)
+    turn = np.concatenate([rng.uniform(0, np.pi, 150), rng.normal(0, 1e-3, 50), rng.normal(np.pi / 2, 1e-3, 50)])
+    at = rng.uniform(-1.5, 1.5, (250, 2))
+    rows = [(k, *at[k].tolist(), 0.0, float(at[k, 0] + np.cos(turn[k])), float(at[k, 1] + np.sin(turn[k])), 0.0) for k in range(250)]
+    s = seg(spark, rows).withColumn("grp", F.col("seg_id") % 2)
+    for eps, by, seam in ((0.45, None, False), (0.45, None, True), (0.2, "grp", True), (2.5, None, True)):
+        features = lines.axial_features(s, by=by)
+        found = lines.eps_pairs(features, eps, by, seam)
+        f = features.toPandas()
+        c2, s2, r, theta = (f[c].to_numpy() for c in ("c2", "s2", "r", "theta"))
+        flat = (c2[:, None] - c2) ** 2 + (s2[:, None] - s2) ** 2
+        near = flat + (r[:, None] - r) ** 2 <= eps * eps
+        if seam:
+            near |= (np.abs(theta[:, None] - theta) > np.pi / 2) & (flat + (r[:, None] + r) ** 2 <= eps * eps)
+        if by:
+            near &= f[by].to_numpy()[:, None] == f[by].to_numpy()
+        ids = f["seg_id"].to_numpy()
+        wanted = sorted((int(ids[i]), int(ids[j])) for i, j in zip(*np.nonzero(near), strict=True))
+        assert sorted((p["a"], p["b"]) for p in found.collect()) == wanted and len(wanted) > 250
+    node = lines.eps_pairs(lines.axial_features(s), 0.45)._jdf.queryExecution().optimizedPlan()
+    parts = [node]
+    for part in parts:
+        parts += [part.children().apply(k) for k in range(part.children().size())]
+    copies = [p.generator().children().head().children().size() for p in parts if p.nodeName() == "Generate"]
+    assert copies == [9]
+
+
 def test_chain_becomes_segments(spark):
     rows = [(1, k, 0.5 * k, 0.01 * (k % 2), 1.0 if k < 8 else 1.6) for k in range(16)] + [(2, 0, 0.0, 0.0, 0.0)]
     found = snapping.chain_segments(spark.createDataFrame(rows, schema.CHAINS)).orderBy("x0").collect()
