@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline import schema
 from strandline.config import Snap
 from strandline.functions import geometry as G
-from strandline.operators.spatial import cell, priority
+from strandline.operators.spatial import cell
 from strandline.session import broadcast_if_small, checkpoint
 
 TINY = 1e-6
@@ -83,23 +84,168 @@ def box_points(sample_rows: DataFrame, points: DataFrame, settings: Snap = Snap(
     return found.withColumns({"u": u, "v": v}).drop("_x", "_c")
 
 
-def thin_boxes(boxes: DataFrame, radius: float, least: int) -> DataFrame:
-    """Box points no closer than ``radius`` to one another, greedily by priority; a box that would keep fewer than ``least`` keeps all.
+def _thinned(box: np.ndarray, order: np.ndarray, u: np.ndarray, v: np.ndarray, reach: float, radius: float) -> np.ndarray:
+    """Places of the box points that stay: no two of a box closer than ``radius``, chosen greedily by ``order``, which is unique in a box.
 
-    One box is a few square decimetres, so its points fit one group.
+    Boxes are cut across into strips no narrower than ``radius``.  The first
+    point of a strip stays if it comes before all of the strips beside it; those
+    too near to it go, and so on with what is left.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rank", "point_id"], ignore_index=True)
-        xy = group[["u", "v"]].to_numpy()
-        kept: list[int] = []
-        for i in range(len(xy)):
-            if not kept or ((xy[kept] - xy[i]) ** 2).sum(1).min() >= radius * radius:
-                kept.append(i)
-        return group.iloc[kept] if len(kept) >= least else group
-
-    ranked = boxes.withColumn("rank", priority(F.col("point_id")))
-    return ranked.groupBy("seg_id", "k").applyInPandas(run, ranked.schema).drop("rank")
+    width = max(radius * (1 + 1e-6), reach / 256)
+    strips = int(2 * reach / width) + 4  # with an empty one between boxes
+    key = box * strips + 1 + np.floor((v + reach) / width).astype(np.int64)
+    at = np.lexsort((order, key))
+    key, order, u, v = key[at], order[at], u[at], v[at]
+    size, kept = (int(box.max()) + 1) * strips if len(box) else 0, []
+    while len(key):
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        best = np.full(size, np.iinfo(np.int64).max)
+        best[key[first]] = order[first]
+        own = best[key[first]]
+        first = first[(own < best[key[first] - 1]) & (own < best[key[first] + 1])]
+        kept.append(at[first])
+        held = np.full((2, size), np.inf)
+        held[:, key[first]] = u[first], v[first]
+        left = np.ones(len(key), bool)
+        left[first] = False
+        for side in (-1, 0, 1):
+            left &= (held[0, key + side] - u) ** 2 + (held[1, key + side] - v) ** 2 >= radius * radius
+        at, key, order, u, v = at[left], key[left], order[left], u[left], v[left]
+    return np.concatenate(kept) if kept else at
+
+
+def _tops(box: np.ndarray, z: np.ndarray, precision: float) -> np.ndarray:
+    """``top_heights`` of the boxes 0, 1, .. in their order; none is empty, and ``box`` is sorted."""
+    start = np.flatnonzero(np.r_[True, box[1:] != box[:-1]])
+    low, high = np.minimum.reduceat(z, start), np.maximum.reduceat(z, start)
+    mean = np.add.reduceat(z, start) / np.diff(np.r_[start, len(z)])
+    bins = np.maximum(1, np.ceil((high - low) / precision)).astype(np.int64)
+    step = (high - low) / bins
+    with np.errstate(invalid="ignore", divide="ignore"):
+        place = np.where(bins[box] == 1, 0, np.minimum(np.floor((z - low[box]) / step[box]), bins[box] - 1)).astype(np.int64)
+    at = np.lexsort((place, box))
+    own, place = box[at], place[at]
+    head = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (place[1:] != place[:-1])])
+    own, place, n = own[head], place[head], np.diff(np.r_[head, len(at)])
+    # empty bins come first in the order of counts
+    counts = n[np.lexsort((n, own))]
+    begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    empty = bins - np.diff(np.r_[begin, len(own)])
+    nth = lambda i: np.where(i < empty, 0, counts[np.minimum(begin + np.maximum(i - empty, 0), len(counts) - 1)])
+    median = (nth((bins - 1) // 2) + nth(bins // 2)) / 2
+    best = np.maximum.reduceat(np.where(n >= median[own] / 2, place, -1), begin)
+    best = np.where(median == 0, bins - 1, best)
+    return np.where(bins == 1, mean, low + (best + 0.5) * step)
+
+
+#: Box points that are looked at together, and points of a tile beyond which tiles are halved.
+BOX_POINTS, TILE_POINTS = 1_000_000, 500_000
+
+
+def _box_rows(asked: pd.DataFrame, own: pd.DataFrame, settings: Snap, thinning: bool) -> pd.DataFrame:
+    """``asked`` samples with the mean, top height and number of their boxes' points, of those with enough points among ``own``."""
+    t, n, least = settings.tangential_length, settings.normal_length, settings.min_points_for_centroid
+    none = asked.iloc[:0].assign(cx=0.0, cy=0.0, z=0.0, n_pts=0)
+    if not len(asked) or not len(own):
+        return none
+    radius = math.sqrt(t**2 + n**2)
+    x, y, z = (own[c].to_numpy(np.float64) for c in "xyz")
+    ids = own["point_id"].to_numpy()
+    order = np.empty(len(own), np.int64)
+    order[np.lexsort((ids, (ids % 2147483647 * 48271 + 42) % 2147483647))] = np.arange(len(own))
+    # rows of points, each from left to right, far enough apart for one search
+    size = max(min(t, n) * 2, max(t, n) / 8)
+    ox, oy = x.min() - radius, y.min() - radius
+    span = 2 * (x.max() - ox + 4 * radius)
+    row = np.floor((y - oy) / size).astype(np.int64)
+    rows = int(row.max()) + 1
+    place = row * span + (x - ox)
+    at = np.argsort(place, kind="stable")
+    x, y, z, order, place = x[at], y[at], z[at], order[at], place[at]
+
+    sx, sy, tx, ty, nx, ny = (asked[c].to_numpy(np.float64) for c in ("sx", "sy", "tx", "ty", "nx", "ny"))
+    flat = (tx == 0) & (ty == 0)  # an upright segment's box is the circle
+    hx, hy = (np.where(flat, radius, np.minimum(t * np.abs(a) + n * np.abs(b), radius)) + 1e-9 for a, b in ((tx, nx), (ty, ny)))
+    down, up = (np.clip(np.floor((sy + side * hy - oy) / size), -1, rows).astype(np.int64) for side in (-1, 1))
+    i = np.repeat(np.arange(len(asked)), up - down + 1)
+    r = down[i] + np.arange(len(i)) - np.repeat(np.cumsum(up - down + 1) - (up - down + 1), up - down + 1)
+    bottom = np.maximum(oy + r * size - sy[i], -hy[i]) - 1e-9
+    top = np.minimum(oy + (r + 1) * size - sy[i], hy[i]) + 1e-9
+    left, right = -hx[i], hx[i].copy()
+    for ax, ay, most in ((tx[i], ty[i], t), (nx[i], ny[i], n)):
+        # |dx * ax + dy * ay| <= most for a dy of the row
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = (-most - np.maximum(bottom * ay, top * ay)) / ax
+            b = (most - np.minimum(bottom * ay, top * ay)) / ax
+        sure = np.abs(ax) > 1e-6
+        left = np.where(sure, np.maximum(left, np.minimum(a, b) - 1e-9), left)
+        right = np.where(sure, np.minimum(right, np.maximum(a, b) + 1e-9), right)
+    from_ = np.searchsorted(place, r * span + np.clip(sx[i] + left - ox, 0, span / 2), "left")
+    till = np.searchsorted(place, r * span + np.clip(sx[i] + right - ox, 0, span / 2), "right")
+    some = (till > from_) & (r >= 0) & (r < rows)
+    i, from_, till = i[some], from_[some], till[some]
+    # candidates before each sample, so that samples go in blocks
+    before = np.r_[0, np.cumsum(np.bincount(i, till - from_, len(asked)))].astype(np.int64)
+    out, low = [], 0
+    while low < len(asked):
+        high = max(low + 1, int(np.searchsorted(before, before[low] + BOX_POINTS, "right")) - 1)
+        a, b = np.searchsorted(i, [low, high])
+        low, m = high, till[a:b] - from_[a:b]
+        box = np.repeat(i[a:b], m)
+        p = np.repeat(from_[a:b] - (np.cumsum(m) - m), m) + np.arange(len(box))
+        dx, dy = x[p] - sx[box], y[p] - sy[box]
+        u, v = dx * tx[box] + dy * ty[box], dx * nx[box] + dy * ny[box]
+        inside = (dx * dx + dy * dy <= radius * radius) & (np.abs(u) <= t) & (np.abs(v) <= n)
+        box, p, u, v = box[inside], p[inside], u[inside], v[inside]
+        enough = np.bincount(box, minlength=1) >= least
+        box, p, u, v = (e[enough[box]] for e in (box, p, u, v))
+        if not len(box):
+            continue
+        names, box = np.unique(box, return_inverse=True)
+        if thinning:
+            stay = _thinned(box, order[p], u, v, n, settings.poisson_radius)
+            few = np.bincount(box[stay], minlength=len(names)) < least
+            chosen = few[box]
+            chosen[stay] = True
+            box, p = box[chosen], p[chosen]
+        start = np.flatnonzero(np.r_[True, box[1:] != box[:-1]])
+        count = np.diff(np.r_[start, len(box)])
+        found = asked.iloc[names].copy()
+        found["cx"], found["cy"] = np.add.reduceat(x[p], start) / count, np.add.reduceat(y[p], start) / count
+        found["z"], found["n_pts"] = _tops(box, z[p], settings.quantization_precision), count
+        out.append(found)
+    return pd.concat(out) if out else none
+
+
+def box_rows(sample_rows: DataFrame, points: DataFrame, settings: Snap = Snap(), thinning: bool = True) -> DataFrame:
+    """``SAMPLES``: planar mean, top height and number of the points in each sample's oriented box, of boxes with enough points.
+
+    If ``thinning``, box points no closer than ``poisson_radius`` to one another
+    count, chosen greedily by priority; a box that would keep too few keeps all.
+    Points go to the tiles in whose boxes they may be, and a task does all
+    boxes of a tile in blocks, so that box points, of which there are many for
+    each point, are never shuffled.  Tiles get smaller where points are crowded.
+    """
+    radius = math.sqrt(settings.tangential_length**2 + settings.normal_length**2) * (1 + 1e-6)
+    side = 10 * radius
+    points = points.select("point_id", *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    points = points.filter(F.col("x").between(-1e300, 1e300) & F.col("y").between(-1e300, 1e300))
+    for _ in range(2):
+        if points.groupBy(cell(F.col("x"), side), cell(F.col("y"), side)).count().filter(F.col("count") > TILE_POINTS).isEmpty():
+            break
+        side /= 2
+    tile = lambda x, y: F.struct(cell(x, side).alias("_x"), cell(y, side).alias("_y"))
+    asked = sample_rows.select("seg_id", "k", "sx", "sy", "tx", "ty", "nx", "ny", tile(F.col("sx"), F.col("sy")).alias("_t")).select("*", "_t.*").drop("_t")
+    asked = checkpoint(asked)
+    corners = F.array_distinct(F.array(*(tile(F.col("x") + i * radius, F.col("y") + j * radius) for i in (-1, 1) for j in (-1, 1))))
+    near = points.select("*", F.explode(corners).alias("_t")).select("point_id", "x", "y", "z", "_t.*")
+    near = near.join(broadcast_if_small(asked.select("_x", "_y").distinct()), ["_x", "_y"], "left_semi")
+    names = [c.split()[0] for c in schema.SAMPLES.split(", ")]
+
+    def run(samples: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        return _box_rows(samples, own, settings, thinning)[names]
+
+    return asked.groupBy("_x", "_y").cogroup(near.groupBy("_x", "_y")).applyInPandas(run, schema.SAMPLES)
 
 
 def top_heights(rows: DataFrame, keys: list[str], z: str, precision: float) -> DataFrame:
@@ -296,11 +442,7 @@ def snap(segments: DataFrame, points: DataFrame, settings: Snap = Snap(), thinni
     real = segments.join(ghosts(segments, points, settings.normal_length).withColumnRenamed("seg_id", "ghost"), F.col("seg_id") == F.col("ghost"), "left_anti")
     tiny = G.length(s) < TINY
     grid = samples(real.filter(~tiny), settings)
-    boxes = box_points(grid, points, settings)
-    if thinning:
-        boxes = thin_boxes(boxes, settings.poisson_radius, settings.min_points_for_centroid)
-    found = box_centroids(checkpoint(boxes), settings.quantization_precision)
-    found = checkpoint(found.join(grid, ["seg_id", "k"]).select("seg_id", "k", "sx", "sy", "tx", "ty", "nx", "ny", "cx", "cy", "z", "n_pts"))
+    found = checkpoint(box_rows(grid, points, settings, thinning))
     chains = found.select(F.col("seg_id").alias("chain_id"), F.col("k").alias("seq"), F.col("cx").alias("x"), F.col("cy").alias("y"), "z")
     usable = found.groupBy("seg_id").agg(F.count("*").alias("m")).filter("m >= 2").select(F.col("seg_id").alias("usable"))
     kept = real.join(usable, F.col("seg_id") == F.col("usable"), "left_anti").select("seg_id", F.lit(0).alias("part"), *s)

@@ -262,6 +262,56 @@ def test_snapping_moves_a_pipe_onto_points(spark):
     assert chains == {1: 17, 2: 0, 3: 0}
 
 
+@pytest.mark.parametrize("thinning", [True, False])
+def test_box_rows_are_those_of_single_boxes(spark, monkeypatch, thinning):
+    """Every box by itself: thinned one point after another, at any angle, over borders of tiles, upright, crowded and nearly empty."""
+    rng = np.random.default_rng(21)
+    at = np.concatenate([rng.uniform(-3, 6, (3000, 2)), np.round(rng.normal(1, 0.1, (600, 2)), 2), [[40.0, 40.0]] * 5])
+    rows = [(int(k), float(x), float(y), float(np.round(rng.uniform(0, 0.2), 3)), 1) for k, (x, y) in zip(rng.permutation(len(at)) * 2**40, at, strict=True)]
+    rough = [(k, *map(float, rng.uniform(-3, 6, 2)), 0.0, *map(float, rng.uniform(-3, 6, 2)), 0.1) for k in range(30)]
+    rough += [(90, -2.0, 1.0, 0.0, 4.0, 1.0, 0.0), (91, 1.0, -2.0, 0.0, 1.0, 4.0, 0.0), (92, 1.0, 1.0, 0.0, 1.0, 1.0, 3.0), (93, 39.9, 40.0, 0.0, 40.1, 40.0, 0.0), (94, 80.0, 0.0, 0.0, 81.0, 0.0, 0.0)]
+    s, p = seg(spark, rough), points(spark, rows)
+    rank = lambda i: ((i % 2147483647 * 48271 + 42) % 2147483647, i)
+    for settings, tile in ((Snap(), 10**6), (Snap(tangential_length=0.6, normal_length=0.3, poisson_radius=0.05), 500)):
+        monkeypatch.setattr(snapping, "TILE_POINTS", tile)
+        monkeypatch.setattr(snapping, "BOX_POINTS", 2 * tile)
+        t, n, r = settings.tangential_length, settings.normal_length, settings.poisson_radius
+        wanted, members = {}, []
+        for q in snapping.samples(s, settings).collect():
+            own = []
+            for i, x, y, z, _ in sorted(rows, key=lambda e: rank(e[0])):
+                dx, dy = x - q["sx"], y - q["sy"]
+                u, v = dx * q["tx"] + dy * q["ty"], dx * q["nx"] + dy * q["ny"]
+                if dx * dx + dy * dy <= t * t + n * n and abs(u) <= t and abs(v) <= n:
+                    own.append((u, v, x, y, z))
+            if len(own) < settings.min_points_for_centroid:
+                continue
+            kept = []
+            for e in own:
+                if all((e[0] - f[0]) ** 2 + (e[1] - f[1]) ** 2 >= r * r for f in kept):
+                    kept.append(e)
+            own = kept if thinning and len(kept) >= settings.min_points_for_centroid else own
+            wanted[q["seg_id"], q["k"]] = (sum(e[2] for e in own) / len(own), sum(e[3] for e in own) / len(own), len(own))
+            members += [(q["seg_id"], q["k"], e[4]) for e in own]
+        tops = snapping.top_heights(spark.createDataFrame(members, "seg_id bigint, k int, z double"), ["seg_id", "k"], "z", settings.quantization_precision)
+        tops = {(e["seg_id"], e["k"]): e["top_z"] for e in tops.collect()}
+        found = {(e["seg_id"], e["k"]): e for e in snapping.box_rows(snapping.samples(s, settings), p, settings, thinning).collect()}
+        assert found.keys() == wanted.keys() and any(k[0] == 92 for k in found) and any(k[0] == 93 for k in found) and len(found) > 200
+        for k, (cx, cy, m) in wanted.items():
+            e = found[k]
+            assert e["n_pts"] == m and max(abs(e["cx"] - cx), abs(e["cy"] - cy), abs(e["z"] - tops[k])) < 1e-9
+
+
+def test_snapping_keeps_no_box_points(spark, monkeypatch):
+    """200 pipes in one place over 2,000 points have 75,000 box points: what is kept in between is a row for a sample."""
+    rows = [(i, 0.004 * i, 0.0, 1.0, 1) for i in range(2000)]
+    seen = []
+    kept = snapping.checkpoint
+    monkeypatch.setattr(snapping, "checkpoint", lambda df: (seen.append(kept(df)), seen[-1])[1])
+    pipes = snapping.snap(seg(spark, [(k, 0.0, 0.1, 1.0, 8.0, 0.1, 1.0) for k in range(200)]), points(spark, rows), thinning=False)[0]
+    assert pipes.count() == 200 and max(df.count() for df in seen) <= 200 * 17
+
+
 def test_evaluation_identity_and_missing_heights(spark):
     nan = float("nan")
     gt = seg(spark, [(1, 0.0, 0.0, 1.0, 4.0, 0.0, 1.0), (2, 0.0, 0.0, 1.0, 4.0, 0.0, 1.0), (3, 0.0, 9.0, nan, 4.0, 9.0, nan), (4, 7.0, 7.0, 0.0, 7.0, 7.0, 0.0)], "id")
