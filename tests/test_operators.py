@@ -218,6 +218,39 @@ def test_eps_pairs_are_those_of_all_pairs(spark):
     assert copies == [9]
 
 
+def test_eps_pairs_shuffle_few_copies_once(spark, monkeypatch):
+    """A segment goes to its block and to those it may have neighbours in, and nothing is joined."""
+    rng = np.random.default_rng(5)
+    turn, at = rng.uniform(0, np.pi, 1500), rng.uniform(-30, 30, (1500, 2))
+    rows = [(k, *at[k].tolist(), 0.0, float(at[k, 0] + np.cos(turn[k])), float(at[k, 1] + np.sin(turn[k])), 0.0) for k in range(1500)]
+    features = lines.checkpoint(lines.axial_features(seg(spark, rows)))
+    seen, kept = [], type(features).repartition
+    monkeypatch.setattr(type(features), "repartition", lambda df, *a: (seen.append(df), kept(df, *a))[1])
+    found = lines.eps_pairs(features, 0.45)
+    assert len(seen) == 1 and 1500 < seen[0].count() <= 2.5 * 1500
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.filter("a = b").count() == 1500
+
+
+@pytest.mark.parametrize("seam", [False, True])
+def test_near_pairs_of_a_block_come_in_runs(monkeypatch, seam):
+    """Runs of any size, rows that are not at home, crowds, and wide and narrow strips."""
+    rng = np.random.default_rng(6)
+    theta = np.concatenate([rng.uniform(0, np.pi, 200), np.abs(rng.normal(0, 0.02, 60)), np.pi - np.abs(rng.normal(0, 0.02, 60)) - 1e-9, np.full(40, 1.0)])
+    r = np.concatenate([rng.uniform(-1, 1, 200), rng.normal(0, 0.3, 120), np.full(40, 0.25)])
+    own = {"theta": theta, "r": r, "c2": np.cos(2 * theta), "s2": np.sin(2 * theta), "home": rng.random(360) < 0.7}
+    flat = (own["c2"][:, None] - own["c2"]) ** 2 + (own["s2"][:, None] - own["s2"]) ** 2
+    for eps, tried in ((0.45, 10**6), (0.45, 7), (0.01, 100), (1.9, 3000), (2.5, 1000)):
+        monkeypatch.setattr(lines, "TRIED", tried)
+        near = flat + (r[:, None] - r) ** 2 <= eps * eps
+        if seam:
+            near |= (np.abs(theta[:, None] - theta) > np.pi / 2) & (flat + (r[:, None] + r) ** 2 <= eps * eps)
+        near &= own["home"][:, None]
+        runs = list(lines._near_pairs(own, eps, seam))
+        found = sorted((int(a), int(b)) for p, q in runs for a, b in zip(p, q, strict=True))
+        assert found == list(zip(*(v.tolist() for v in np.nonzero(near)), strict=True)) and max(len(p) for p, _ in runs) <= max(4 * tried, 360)
+
+
 def test_chain_becomes_segments(spark):
     rows = [(1, k, 0.5 * k, 0.01 * (k % 2), 1.0 if k < 8 else 1.6) for k in range(16)] + [(2, 0, 0.0, 0.0, 0.0)]
     found = snapping.chain_segments(spark.createDataFrame(rows, schema.CHAINS)).orderBy("x0").collect()
